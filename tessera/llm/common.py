@@ -5,12 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-
-#: Separators of words in the text contracts: blank and the five ASCII controls 9 to 13.
-SPACE_CLASS = "[\\x20\\x09-\\x0D]"
-
+from pyspark.sql import types as T
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
@@ -45,3 +43,21 @@ def row_key(df: DataFrame, names: tuple[str, str] = ("_rk1", "_rk2")) -> DataFra
     for c in df.columns:
         cols += [F.col(f"`{c}`"), F.col(f"`{c}`").isNull()]
     return df.withColumns({names[0]: F.xxhash64(*cols), names[1]: F.xxhash64(F.lit(7), *reversed(cols))})
+
+
+def flat_text(text: Column) -> Column:
+    """The text with every run of blanks and ASCII controls 9 to 13 as one blank, and none at its ends; NULL becomes ''."""
+    out = F.coalesce(text, F.lit(""))
+    for c in "\n\t\r\x0b\f":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(F.contains(out, F.lit("  ")), F.regexp_replace(F.trim(out), " {2,}", " ")).otherwise(F.trim(out))
+
+
+def read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The Parquet table at path, or an empty one of that schema where there is none yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

@@ -5,13 +5,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules
+from tessera.llm import quality_rules, token_counts, token_files
+from tessera.llm.common import new_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as packed ids in files, read back."""
+    path = new_path(spark, "token-files")
+    token_files.write_tokens(_documents(spark, sf_dir), path, _vocabulary("byte_bpe_50k.json"), end_id=0)
+    return token_files.read_tokens(spark, path)
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of all documents through a cache that starts empty, so every distinct text is encoded once."""
+    return token_counts.token_counts(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), new_path(spark, "token-counts"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ledger of every document with the verdict of policy v1; base_failed is the base policy's verdict."""
     led = quality_rules.ledger(_documents(spark, sf_dir))
@@ -23,6 +42,8 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_token_files": op2_token_files,
+    "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
 }
 
