@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import quality_rules, token_counts, token_files
+from tessera.llm import packing, quality_rules, token_counts, token_files
 from tessera.llm.common import new_path
 
 
@@ -41,10 +41,16 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 tokens."""
+    return packing.pack_documents(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
+    "op6_best_fit_packing": op6_best_fit_packing,
 }
 
 #: DuckDB SQL where SQL can express the operator on whole tables.
