@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality_rules, token_counts, token_files
+from tessera.llm import packing, quality_rules, simhash, token_counts, token_files
 from tessera.llm.common import new_path
 
 
@@ -46,11 +46,18 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    found = simhash.near_duplicates(_documents(spark, sf_dir), ["doc_id"])
+    return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 QUERIES = {
     "op2_token_files": op2_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_simhash": op7_simhash,
 }
 
 #: DuckDB SQL where SQL can express the operator on whole tables.
