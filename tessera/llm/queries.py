@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality_rules, simhash, token_counts, token_files
+from tessera.llm import licenses, packing, quality_rules, secrets, simhash, token_counts, token_files
 from tessera.llm.common import new_path
 
 
@@ -19,6 +19,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as packed ids in files, read back."""
     path = new_path(spark, "token-files")
@@ -52,12 +57,19 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
     "op4_token_counts": op4_token_counts,
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash": op7_simhash,
+    "op10_secret_scan": op10_secret_scan,
 }
 
 #: DuckDB SQL where SQL can express the operator on whole tables.
