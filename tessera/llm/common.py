@@ -61,3 +61,9 @@ def read_if_there(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
+
+
+def word_count(text: Column) -> Column:
+    """Number of words between blanks and controls 9 to 13; 0 for NULL."""
+    flat = flat_text(text)
+    return F.when(flat == "", F.lit(0)).otherwise(F.length(flat) - F.length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")

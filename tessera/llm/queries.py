@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import licenses, packing, quality_rules, secrets, simhash, token_counts, token_files
+from tessera.llm import classifier, licenses, mixing, packing, quality_rules, secrets, simhash, token_counts, token_files
 from tessera.llm.common import new_path
 
 
@@ -62,6 +62,17 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
 
+def op8_entropy_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document."""
+    return mixing.mix(_documents(spark, sf_dir), ["doc_id"]).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a machine that never saw the held-out labels."""
+    docs = _documents(spark, sf_dir)
+    return classifier.score(docs, classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
@@ -69,6 +80,8 @@ QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_simhash": op7_simhash,
+    "op8_entropy_mix": op8_entropy_mix,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
 }
 
