@@ -16,19 +16,20 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-_SPACES = re.compile("([\t\n\r\x0b\x0c])")
 #: White space that isn't isolated. Python's class covers more than the library's, which is safe here.
 _RUNS = re.compile(r"\s\s|\A\s|\s\Z")
-_MARK_END = re.compile(r"[.,!?;:%$#&*|]+\Z")
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c]")
+#: Marks that stand apart from a letter before them under both pre-tokenizers.
+_MARKS = ".,!?;:%$#&*|"
 
 
 class Encoder:
     """Ids as little-endian bytes of `dtype`, as the library gives them without added special tokens.
 
-    `most` bounds each of the two generations of remembered pieces; forgetting costs time only.
+    `most` bounds each of the two generations of remembered words; forgetting costs time only.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
         self.library, self.size = (_sentencepiece if path.endswith(".model") else _tokenizers)(path)
         self.dtype = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.mode, self.special = "whole", ()
@@ -38,9 +39,20 @@ class Encoder:
                 spec = json.load(f)
             self.mode, self.special = _mode(spec), tuple(t["content"] for t in spec["added_tokens"])
         self.most = most
-        self.known: dict[str, bytes] = {"": b""}  # by word as it stands between blanks
+        self.known: dict[str, bytes] = {}  # by word as it stands after a blank
         self.before: dict[str, bytes] = {}
-        self.base: dict[str, bytes] = {}  # by piece as the library gets it
+        self.heads: dict[str, bytes] = {}  # by piece that no blank leads: marks, and the first word of a line
+        if self.mode == "blank first":
+            self.between, self.lead = "\n", " "
+        elif self.mode == "blank dropped":
+            self.between, self.lead = " ~ ", ""
+        if self.mode != "whole":
+            self.line_end = self.whole("\n")
+            self.cut = np.frombuffer(self.whole(self.between.strip(" ")), self.dtype)[0]
+            self._fresh()
+
+    def _fresh(self) -> None:
+        self.known, self.before, self.heads = {"": b""}, self.known, {"": b""}
 
     def whole(self, text: str) -> bytes:
         """What the library gives for the text as it is."""
@@ -51,7 +63,7 @@ class Encoder:
         return next(self.encode_all([text]))
 
     def encode_all(self, texts: Iterable[str], at_once: int = 2_000_000) -> Iterator[bytes]:
-        """The ids of each text in turn; about `at_once` characters are held as pieces at a time."""
+        """The ids of each text in turn; about `at_once` characters are held as words at a time."""
         held, n = [], 0
         for text in texts:
             held.append(text)
@@ -62,87 +74,96 @@ class Encoder:
         yield from self._encode(held)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        words: list[list[str] | None] = [self._words(t) for t in texts]
-        if len(self.known) >= self.most:
-            self.known, self.before = {"": b""}, self.known
-        self._learn(set().union(*filter(None, words)).difference(self.known))
+        words = [self._words(t) for t in texts]
+        if self.mode != "whole":
+            if len(self.known) + len(self.heads) >= self.most:
+                self._fresh()
+            self._learn(set().union(*filter(None, words)).difference(self.known))
         get = self.known.__getitem__
         return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
 
     def _words(self, text: str) -> list[str] | None:
-        """Words between blanks; a first word under blank-first rules is marked, as no blank leads it."""
+        """The words between blanks, or None for a text that the library gets whole.
+
+        Where blanks lead words, the first word is marked by a line end, as no blank leads it.
+        """
         if self.mode == "whole" or any(s in text for s in self.special):
             return None
         if self.mode == "blank dropped":
-            return text.split(" ")
-        if _RUNS.search(text):
+            if text.isascii():  # the tokenizer lowers letters itself
+                text = text.lower()
+            return _RARE_SPACE.sub(" ", text).replace("\n", " ").split(" ")
+        if not _plain(text) and (_RUNS.search(text) or _RARE_SPACE.search(text)):
             return None
         words = text.split(" ")
         words[0] = "\n" + words[0]
         return words
 
     def _learn(self, missing: set[str]) -> None:
-        before, plans, need = self.before, [], set()
+        """Make every missing word known: from the library, or from its parts."""
+        known, before, heads = self.known, self.before, self.heads
+        marked, lines, new, new_heads = [], [], set(), set()
+
+        def part(word: str, found: dict, wanted: set) -> tuple[str, str]:
+            """A word without and with its marks; what isn't known of it is wanted."""
+            bare = word.rstrip(_MARKS) if word[-1:] in _MARKS else word
+            if not bare or not bare[-1].isalpha():
+                bare = word
+            elif len(bare) < len(word) and (end := word[len(bare) :]) not in heads:
+                new_heads.add(end)
+            if bare not in found:
+                wanted.add(bare)
+            return bare, word[len(bare) :]
+
         for w in missing:
-            if (found := before.get(w)) is not None:
-                self.known[w] = found
+            if (old := before.get(w)) is not None:
+                known[w] = old
+            elif "\n" in w:
+                first, *rest = w.split("\n")
+                lines.append((w, part(first, known, new), [part(x, heads, new_heads) for x in rest]))
+            elif w[-1] in _MARKS:
+                bare, end = part(w, known, new)
+                if end:
+                    marked.append((w, bare, end))
             else:
-                plans.append((w, parts := self._parts(w)))
-                need.update(parts)
-        need.discard("")
-        if len(self.base) >= self.most:
-            self.base = {}
-        base = self.base
-        if new := [p for p in need if p not in base]:
-            self._add(new)
-        for w, parts in plans:
-            self.known[w] = base[parts[0]] if len(parts) == 1 else b"".join([base[p] for p in parts if p])
-
-    def _parts(self, word: str) -> list[str]:
-        """The pieces of a word, as the library is to get them."""
-        if self.mode == "blank dropped":
-            low = word.lower() if word.isascii() else word
-            return [p for x in _SPACES.split(low) if x and not _SPACES.match(x) for p in _marks(x)] or [""]
-        out = []
-        for k, x in enumerate(_SPACES.split(word[1:] if (first := word[:1] == "\n") else word)):
-            if x:
-                lead, *end = _marks(x)
-                out += [lead if k or first else " " + lead, *end]
-        return out or [""]
-
-    def _add(self, new: list[str]) -> None:
-        """Encode pieces, joined so that the library splits between them, and deal the ids out by offset."""
-        self.base[""] = b""
-        groups = {"": [p for p in new if p[0] == " "], "\n": [p for p in new if p[0] != " " and not p.isspace()]} if self.mode == "blank first" else {" ": new}
-        for p in new:
-            if self.mode == "blank first" and p != " " and p.isspace():
-                self.base[p] = self.whole(p)
-        for between, pieces in groups.items():
-            if not pieces:
-                continue
-            ends = np.cumsum([len(p) + len(between) for p in pieces])
-            got = self.library.encode(between.join(pieces), add_special_tokens=False)
-            at = np.fromiter((o[0] for o in got.offsets), np.int64, len(got.offsets))
-            ids = np.array(got.ids, self.dtype)
-            if between == "\n":
-                inside = ~np.isin(at, ends - 1)
-                at, ids = at[inside], ids[inside]
-            cuts = np.searchsorted(at, ends, "left")
-            raw, size, begin = ids.tobytes(), self.dtype.itemsize, 0
-            for p, end in zip(pieces, (cuts * size).tolist(), strict=True):
-                self.base[p] = raw[begin:end]
-                begin = end
+                new.add(w)
+        self._add([w for w in new if w not in known], known, self.lead)
+        self._add([w for w in new_heads if w not in heads], heads, "")
+        for w, bare, end in marked:
+            known[w] = known[bare] + heads[end]
+        for w, (bare, end), rest in lines:
+            out = [known[bare], heads[end]]
+            for bare, end in rest:
+                out += [self.line_end, heads[bare], heads[end]]
+            # a text's first word is marked by the line end before it, which isn't part of the text
+            known[w] = b"".join(out[2:])[len(self.line_end) :] if w[0] == "\n" else b"".join(out)
+
+    def _add(self, new: list[str], to: dict[str, bytes], lead: str) -> None:
+        """Encode pieces in one call, joined so that the library splits around a token of its own between them."""
+        mark = self.between.strip(" ")
+        for p in [p for p in new if mark in p]:
+            to[p] = self.whole(lead + p)
+        if self.mode == "blank dropped" and new:
+            new = [p for p in new if mark not in p]
+        if not new:
+            return
+        ids = np.array(self.library.encode(self.between.join([lead + p for p in new]), add_special_tokens=False).ids, self.dtype)
+        ends = (np.append(np.flatnonzero(ids == self.cut), len(ids)) * self.dtype.itemsize).tolist()
+        raw, begin, step = ids.tobytes(), 0, self.dtype.itemsize
+        for p, end in zip(new, ends, strict=True):
+            to[p] = raw[begin:end]
+            begin = end + step
 
     def count(self, text: str) -> int:
         return len(self.encode(text)) // self.dtype.itemsize
 
 
-def _marks(word: str) -> tuple[str, ...]:
-    """A word and the ASCII marks at its end, apart where a letter stands before them."""
-    end = _MARK_END.search(word)
-    if end and end.start() and word[end.start() - 1].isalpha():
-        return word[: end.start()], end.group()
-    return (word,)
+def _plain(text: str) -> bool:
+    """True only where all white space is single blanks and line ends inside the text (a quick test)."""
+    ends = " \n"
+    return not (
+        text[:1] in ends or text[-1:] in ends or "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+    ) and text.replace("\n", "").isprintable()
 
 
 def _mode(spec: dict) -> str:
