@@ -80,8 +80,10 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
 
     From the least filled bin up, each tries up to `partners` bins with the most room: first moves, then
     exchanges of one for one, two for one and one for two. `rounds` bounds the passes. The sum of
-    squares only rises, so no state comes twice.
+    squares only rises, so no state comes twice. The search also ends where the number of bins is the
+    least that can hold the total: no exchange can empty another.
     """
+    least = -(-sum(lengths) // capacity)
     fill = [sum(lengths[i] for i in b) for b in bins]
 
     def exchange(a: int, b: int) -> bool:
@@ -108,8 +110,12 @@ def local_search(bins: list[list[int]], lengths: list[int], capacity: int, round
 
     for _ in range(rounds):
         changed = False
+        if sum(map(bool, bins)) <= least:
+            break
         under = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
         for at, a in enumerate(under):
+            if at % 64 == 0 and sum(map(bool, bins)) <= least:
+                break
             for b in under[at + 1 : at + 1 + partners]:
                 if not bins[a]:
                     break
