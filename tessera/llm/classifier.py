@@ -85,6 +85,11 @@ class Machine:
     def fresh(cls, seed: int) -> "Machine":
         return cls(0.0, np.zeros(BUCKETS), np.random.default_rng(seed).normal(0, 0.05, (BUCKETS, RANK)))
 
+    @classmethod
+    def blank(cls) -> "Machine":
+        """Every score is 0.5."""
+        return cls(0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, RANK)))
+
     def sums(self, idx: np.ndarray, value: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Raw scores, and the rows' sums of factors times values."""
         vx = self.factor[idx] * value[:, None]
@@ -134,7 +139,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int
 def fitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Arrow function of one task: (id, text, label) rows to one row with the machine."""
     found = sorted((d, features(t or b""), y) for b in batches for d, t, y in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True))
-    m = fit([f for _, f, _ in found], np.array([y for _, _, y in found], float)) if found else Machine(0.0, np.zeros(BUCKETS), np.zeros((BUCKETS, RANK)))
+    m = fit([f for _, f, _ in found], np.array([y for _, _, y in found], float)) if found else Machine.blank()
     yield pa.RecordBatch.from_pydict({"machine": pa.array([m.to_bytes()], pa.binary())})
 
 
@@ -150,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     sample = texts.join(F.broadcast(y), "id").groupBy("id", "y").agg(F.min("t").alias("t"))  # at most most_rows ids: a bounded broadcast
     fitted = sample.select("id", "t", "y").coalesce(1).mapInArrow(fitting, "machine binary")
-    return Machine.from_bytes(bytes(fitted.first()[0]))
+    row = fitted.first()  # none where there is no labelled row, as empty plans aren't run
+    return Machine.from_bytes(bytes(row[0])) if row else Machine.blank()
 
 
 def scoring(machine: bytes):
