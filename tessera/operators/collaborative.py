@@ -74,13 +74,13 @@ def profile_scores(profile: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def row_similarity(profile: DataFrame, rows: DataFrame, weights: DataFrame | None = None, k: int = 50) -> DataFrame:
-    """row, other, sim: the k most similar other rows by cosine of item weights (1 without `weights`)."""
+    """row, other, sim: the k most similar other rows: the sum of shared items' weights (1 without `weights`) over both weighted lengths."""
     w = weights if weights is not None else rows.select("item").distinct().withColumn("weight", F.lit(1.0))
     heavy = rows.join(w, "item")
     length = heavy.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("len"))
     mine = profile.join(w, "item")
     my_length = mine.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("my_len"))
-    dots = mine.select("row", "item", (F.col("weight") ** 2).alias("ww")).join(rows.select(F.col("row").alias("other"), "item"), "item").where("row <> other").groupBy("row", "other").agg(F.sum("ww").alias("d"))
+    dots = mine.select("row", "item", F.col("weight").alias("ww")).join(rows.select(F.col("row").alias("other"), "item"), "item").where("row <> other").groupBy("row", "other").agg(F.sum("ww").alias("d"))
     sims = dots.join(my_length, "row").join(length.select(F.col("row").alias("other"), "len"), "other").select("row", "other", F.try_divide(F.col("d"), F.col("my_len") * F.col("len")).alias("sim"))
     return topk_per_group(sims.where("sim > 0"), ["row"], [F.round("sim", 9).desc(), F.col("other")], k)
 

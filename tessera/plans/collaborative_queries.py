@@ -71,13 +71,13 @@ def rp3beta_topk(spark, d):
 
 
 NEAR_ROWS = """len AS (SELECT r, sqrt(sum(weight * weight)) AS l FROM rows JOIN wt USING (item) GROUP BY 1),
-dots AS (SELECT a.r, b.r AS o, sum(weight * weight) AS d FROM rows a JOIN rows b ON a.item = b.item AND a.r <> b.r JOIN wt ON wt.item = a.item WHERE a.r % 10 = 0 GROUP BY 1, 2),
+dots AS (SELECT a.r, b.r AS o, sum(weight) AS d FROM rows a JOIN rows b ON a.item = b.item AND a.r <> b.r JOIN wt ON wt.item = a.item GROUP BY 1, 2),
 near AS (SELECT d.r, o, d / (x.l * y.l) AS sim FROM dots d JOIN len x ON x.r = d.r JOIN len y ON y.r = o
   QUALIFY row_number() OVER (PARTITION BY d.r ORDER BY round(d / (x.l * y.l), 9) DESC, o) <= 20)"""
 LISTS = "SELECT r AS {key}, item AS track_id, round(score, 6) AS score, row_number() OVER (PARTITION BY r ORDER BY round(score, 9) DESC, item) AS rank FROM fresh QUALIFY rank <= 10"
 
 
-@_query("user_knn_scores", with_(USER_ROWS, "wt AS (SELECT DISTINCT item, 1.0::DOUBLE AS weight FROM rows)", NEAR_ROWS.replace(" WHERE a.r % 10 = 0", ""), """sz AS (SELECT r, count(*) AS size FROM rows GROUP BY 1),
+@_query("user_knn_scores", with_(USER_ROWS, "wt AS (SELECT DISTINCT item, 1.0::DOUBLE AS weight FROM rows)", NEAR_ROWS, """sz AS (SELECT r, count(*) AS size FROM rows GROUP BY 1),
 fresh AS (SELECT n.r, rows.item, sum(sim / sqrt(size)) AS score FROM near n JOIN rows ON rows.r = o JOIN sz ON sz.r = o GROUP BY 1, 2)""",
     body=LISTS.format(key="user_id").replace("FROM fresh", "FROM fresh ANTI JOIN rows USING (r, item)")))
 def user_knn_scores(spark, d):
@@ -86,7 +86,7 @@ def user_knn_scores(spark, d):
     return top.select(F.col("row").alias("user_id"), F.col("item").alias("track_id"), F.round("score", 6).alias("score"), "rank")
 
 
-@_query("session_knn_scores", with_(ROWS, "wt AS (SELECT item, ln((1 + (SELECT count(DISTINCT r) FROM rows)) / (1 + df)) + 1 AS weight FROM df)", NEAR_ROWS.replace(" WHERE a.r % 10 = 0", ""), """scored AS (SELECT n.r, rows.item, sum(sim) AS s FROM near n JOIN rows ON rows.r = o GROUP BY 1, 2),
+@_query("session_knn_scores", with_(ROWS, "wt AS (SELECT item, ln((1 + (SELECT count(DISTINCT r) FROM rows)) / (1 + df)) + 1 AS weight FROM df)", NEAR_ROWS, """scored AS (SELECT n.r, rows.item, sum(sim) AS s FROM near n JOIN rows ON rows.r = o GROUP BY 1, 2),
 fresh AS (SELECT s.r, s.item, s * weight AS score FROM scored s JOIN wt USING (item) ANTI JOIN rows ON rows.r = s.r AND rows.item = s.item)""", body=LISTS.format(key="session_id")))
 def session_knn_scores(spark, d):
     rows = cf.binary(T.interactions(spark, d))
