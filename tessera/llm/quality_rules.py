@@ -167,5 +167,11 @@ def ablation(led: DataFrame, policy: Policy) -> DataFrame:
 
 
 def keep_passing(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
-    """The documents that pass a policy, with the columns they came with."""
-    return ledger(docs.select("*", *[F.col(text).alias("_t")]), "_t").where(passes(policy)).select(*[f"`{c}`" for c in docs.columns])
+    """The documents that pass a policy, with the columns they came with.
+
+    A row of the ledger is kept by a generator of one element or none. A plain filter would be pushed
+    below the measurements, and they would be computed again at each of their mentions.
+    """
+    led = ledger(docs.select(F.struct("*").alias("_row"), F.col(text).alias("_t")), "_t")  # whatever the columns' names
+    one = F.when(passes(policy), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
+    return led.withColumn("_kept", F.explode(one)).select("_row.*")
