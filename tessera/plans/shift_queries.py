@@ -251,7 +251,7 @@ m AS (SELECT session_id, avg(year) AS y, avg(popularity) AS p, stddev_pop(popula
 z AS (SELECT w.*, coalesce(exp(-abs(year - y) / 5), 0) AS year_term, -coalesce(abs(popularity - p) / (s + 1.0), 0) / 10 AS pop_term FROM w JOIN tracks USING (track_id) LEFT JOIN m USING (session_id))"""
 
 
-@_query("heuristic_v0_topk", with_(INTER, CONTEXT, TRACKS, SESSIONS, SEEDS, body="""SELECT session_id, track_id, n_seeds, round(seed_term, 6) AS seed_term, round(year_term, 6) AS year_term, round(pop_term, 6) + 0.0 AS pop_term, round(seed_term + year_term + pop_term, 6) AS score,
+@_query("heuristic_v0_topk", with_(INTER, CONTEXT, TRACKS, SESSIONS, SEEDS, body="""SELECT session_id, track_id, n_seeds, round(seed_term, 6) AS seed_term, round(year_term, 6) AS year_term, round(pop_term, 9) + 0.0 AS pop_term, round(seed_term + year_term + pop_term, 6) AS score,
   row_number() OVER (PARTITION BY session_id ORDER BY round(seed_term + year_term + pop_term, 9) DESC, track_id) AS rank FROM z QUALIFY rank <= 10"""))
 def heuristic_v0_topk(spark, d):
     inter, tracks = T.interactions(spark, d), T.tracks(spark, d)
@@ -259,7 +259,7 @@ def heuristic_v0_topk(spark, d):
     boosts = T.sessions(spark, d).select("session_id", F.when(F.col("category").isin("1", "2"), 1.5).otherwise(1.0).alias("boost"))
     scored = heuristic.additive_scores(heuristic.seeds(seen, tracks, plays, 10, 10), seen, tracks, boosts)
     top = topk_per_group(scored, ["session_id"], [F.round("score", 9).desc(), F.col("track_id")], 10)
-    return _six(top, "seed_term", "year_term", "pop_term", "score")
+    return _six(top, "seed_term", "year_term", "score").withColumn("pop_term", F.round("pop_term", 9))
 
 
 NEG = """c AS (SELECT track_id, count(*) AS plays FROM inter GROUP BY 1), t AS (SELECT tracks.*, coalesce(plays, 0) AS plays FROM tracks LEFT JOIN c USING (track_id)),
