@@ -119,16 +119,16 @@ def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
     """Measurements and ``fail_bits``: bit k is set where the document fails RULES[k].
 
     few_words: under 20 words. repeated_windows: over 30% of the words stand in repeated windows.
-    symbols: over one symbol for every two words. repeated_lines: over 30% of the lines repeat earlier
-    ones. word_length: mean word under 1.5 or over 40 code points. shouting: of 50 code points in words or more,
+    symbols: over three symbols for every ten words. repeated_lines: over half of the lines repeat
+    earlier ones (a passage that many documents share is not enough). word_length: mean word under 1.5 or over 40 code points. shouting: of 50 code points in words or more,
     over half are A-Z. one_word: of 20 words or more, under 5% are distinct and fewer than 20.
     """
     c = F.col
     failed = {
         "few_words": c("n_words") < 20,
         "repeated_windows": 100 * c("n_repeat_words") > 30 * c("n_words"),
-        "symbols": 2 * c("n_symbols") > c("n_words"),
-        "repeated_lines": 100 * c("n_dup_lines") > 30 * c("n_lines"),
+        "symbols": 10 * c("n_symbols") > 3 * c("n_words"),
+        "repeated_lines": 2 * c("n_dup_lines") > c("n_lines"),
         "word_length": (2 * c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 40 * c("n_words")),
         "shouting": (c("word_chars") >= 50) & (2 * c("n_upper") > c("word_chars")),
         "one_word": (c("n_words") >= 20) & (c("n_distinct_words") < 20) & (100 * c("n_distinct_words") < 5 * c("n_words")),

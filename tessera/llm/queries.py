@@ -129,8 +129,8 @@ m AS (
   FROM w LEFT JOIN covered c ON c.r = w.r),
 f AS (
   SELECT *, CAST(
-      (n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (2 * n_symbols > n_words)::INT
-    + 8 * (100 * n_dup_lines > 30 * n_lines)::INT + 16 * (2 * word_chars < 3 * n_words OR word_chars > 40 * n_words)::INT
+      (n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > 3 * n_words)::INT
+    + 8 * (2 * n_dup_lines > n_lines)::INT + 16 * (2 * word_chars < 3 * n_words OR word_chars > 40 * n_words)::INT
     + 32 * (word_chars >= 50 AND 2 * n_upper > word_chars)::INT
     + 64 * (n_words >= 20 AND n_distinct_words < 20 AND 100 * n_distinct_words < 5 * n_words)::INT AS BIGINT) AS fail_bits
   FROM m)
