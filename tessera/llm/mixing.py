@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stored, word_count
 
 TOLERANCE = 1e-7
-SALT_ROWS = 4096
+SALT_ROWS = 512
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0) -> DataFrame:
