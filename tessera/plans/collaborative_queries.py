@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import collaborative as cf
 from tessera.operators import metrics
-from tessera.operators.ranking import drop_seen, topk_per_group
+from tessera.operators.ranking import topk_per_group
 from tessera.plans.sql import CONTEXT, INTER, SESSIONS, TRACKS, with_
 from tessera.sources import tables as T
 
@@ -136,7 +136,7 @@ def _rule_lists(spark, d):
     seen = T.context(inter)
     profile = cf.binary(seen)
     scored = cf.profile_scores(profile, cf.sequential_rules(seen)).select(F.col("row").alias("session_id"), F.col("item").alias("track_id"), "score")
-    return inter, topk_per_group(drop_seen(scored, seen, ["session_id", "track_id"]), ["session_id"], [F.round("score", 9).desc(), F.col("track_id")], 20)
+    return inter, topk_per_group(scored, ["session_id"], [F.round("score", 9).desc(), F.col("track_id")], 20)
 
 
 def _positions(spark, d, missing="zero"):
