@@ -167,3 +167,50 @@ def target_turns(spark, d):
     c = T.table(spark, d, "conversations")
     user = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("user_query"))
     return user.join(c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn")), ["conv_id", "turn"], "left_anti")
+
+
+PRIOR = """plays AS (SELECT doc_id, ln(1 + n_chars) AS s FROM documents), mm AS (SELECT min(s) AS lo, max(s) AS hi FROM plays)"""
+
+
+@_query("text_with_popularity_prior", with_(D, Q, N, BM25, BINARY, MATCH, PRIOR, "f AS (SELECT item_id, h.doc_id, score + 0.3 * (s - lo) / (hi - lo) AS score FROM hits h JOIN plays USING (doc_id), mm)",
+    body="SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM f QUALIFY rank <= 10"))
+def text_with_popularity_prior(spark, d):
+    """BM25 plus a weight times the min-max of a logged count (here of characters) of the document."""
+    from tessera.operators.ranking import topk_per_group
+
+    dp, qp, n = _corpus(spark, d)
+    hits = qp.select("item_id", "term").join(X.bm25_weights(dp, "doc_id", n), "term").groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
+    prior = T.table(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("s"))
+    ends = F.broadcast(prior.agg(F.min("s").alias("lo"), F.max("s").alias("hi")))
+    scored = hits.join(prior, "doc_id").crossJoin(ends).select("item_id", "doc_id", (F.col("score") + 0.3 * F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo"))).alias("score"))
+    return _six(topk_per_group(scored, ["item_id"], [F.round("score", 9).desc(), F.col("doc_id")], 10))
+
+
+@_query("hybrid_rrf", with_(D, Q, N, "idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM ddf, nn)",
+    *[f"{o}0 AS (SELECT {k}, term, (1 + ln(tf)) * idf AS w FROM {p} JOIN idf USING (term)), {o} AS (SELECT {k}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {k})) AS w FROM {o}0)" for o, k, p in (("td", "doc_id", "dp"), ("tq", "item_id", "qp"))],
+    BM25, """a AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(q.w * d.w), 9) DESC, doc_id) AS rank FROM tq q JOIN td d USING (term) GROUP BY 1, 2 QUALIFY rank <= 20),
+b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(d.w), 9) DESC, doc_id) AS rank FROM (SELECT DISTINCT item_id, term FROM qp) q JOIN dw d USING (term) GROUP BY 1, 2 QUALIFY rank <= 20),
+s AS (SELECT item_id, doc_id, sum(w / (rank + 60)) AS score FROM (SELECT *, 1.0::DOUBLE AS w FROM a UNION ALL SELECT *, 0.5 FROM b) GROUP BY 1, 2)""",
+    body="SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"))
+def hybrid_rrf(spark, d):
+    """Ranks of two text signals fused with weights."""
+    from tessera.operators.fusion import weighted_rrf
+
+    dp, qp, n = _corpus(spark, d)
+    idf = X.smooth_idf(dp, n)
+    tfidf = X.match(X.tfidf_weights(qp, "item_id", idf), "item_id", X.tfidf_weights(dp, "doc_id", idf), "doc_id", 20)
+    bm25 = X.match(qp.select("item_id", "term", F.lit(1.0).alias("w")), "item_id", X.bm25_weights(dp, "doc_id", n), "doc_id", 20)
+    pool = tfidf.withColumn("cg", F.lit("tfidf")).unionByName(bm25.withColumn("cg", F.lit("bm25"))).withColumn("bucket", F.lit("all")).withColumnRenamed("doc_id", "track_id")
+    weights = spark.createDataFrame([("tfidf", "all", 1.0), ("bm25", "all", 0.5)], "cg string, bucket string, weight double")
+    return _six(weighted_rrf(pool, weights, ["item_id"], "bucket", 60, 10).withColumnRenamed("track_id", "doc_id"))
+
+
+@_query("progress_labels", """SELECT u.conv_id, u.turn, CASE WHEN a.text IS NULL THEN NULL WHEN length(a.text) > length(u.text) THEN 'MOVES' ELSE 'DOES_NOT' END AS progress
+FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user'""")
+def progress_labels(spark, d):
+    """A user turn's progress, from the answer of the turn after it: NULL where there is none."""
+    c = T.table(spark, d, "conversations")
+    reply = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.length("text").alias("reply"))
+    rows = c.where("role = 'user'").join(reply, ["conv_id", "turn"], "left")
+    label = F.when(F.col("reply") > F.length("text"), "MOVES").when(F.col("reply").isNotNull(), "DOES_NOT")
+    return rows.select("conv_id", "turn", label.alias("progress"))
