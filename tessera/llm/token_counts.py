@@ -60,9 +60,10 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     def stored_counts() -> DataFrame:
         return read_if_there(spark, cache, schema).where(F.col("tokenizer") == version).select("digest", "n_tokens")
 
-    misses = keyed.select("digest", "_norm").join(stored_counts().select("digest"), "digest", "left_anti")
-    distinct = misses.groupBy("digest").agg(F.first("_norm").alias("_norm"))
-    fresh = distinct.mapInArrow(count_texts(tokenizer), "digest binary, n_tokens long")
+    # distinct first: copies meet before the shuffle, so a hot text reaches its task once from each other task
+    distinct = keyed.groupBy("digest").agg(F.first("_norm").alias("_norm"))
+    misses = distinct.join(stored_counts().select("digest"), "digest", "left_anti")
+    fresh = misses.mapInArrow(count_texts(tokenizer), "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = stored_counts().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs at once may add a digest twice
     counts = stored(counts, "counts")  # read anew, it is shuffled for the join, which can then split a hot digest
