@@ -26,9 +26,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One document of each near-duplicate component: that of the smallest doc_id, then of the smallest row key."""
     keyed = row_key(docs.select(COLUMNS))
     found = simhash.near_duplicates(keyed, ["doc_id", "_rk1", "_rk2"])
-    # fp tells components of NULL ids alone apart
-    group = [F.col("component_id"), F.when(F.col("component_id").isNull(), F.col("fp"))]
-    first = found.groupBy(*[c.alias(f"_g{k}") for k, c in enumerate(group)]).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rk1", "_rk2")).alias("first"))
+    # by the component itself: NULL ids and ids on several texts don't name one
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_rk1", "_rk2")).alias("first"))
     stay = stored(first.select("first._rk1", "first._rk2"), "survivors")
     kept = keyed.join(stay, ["_rk1", "_rk2"], "left_semi")
     once = Window.partitionBy("_rk1", "_rk2").orderBy("_rk1")  # rows equal in every column

@@ -162,9 +162,11 @@ def links(distinct: DataFrame, radius: int = 2, blocks: int = 4, residents: int
 
 
 def near_duplicates(docs: DataFrame, keys: list[str], text: str = "text", id_col: str = "doc_id", radius: int = 2, width: int = 3, seed: int = 42) -> DataFrame:
-    """The key columns of every row with `fp` (signed long) and `component_id`.
+    """The key columns of every row with `fp` (signed long), `root` and `component_id`.
 
-    component_id is the smallest id_col that links reach, the row's own included. id_col must be among keys.
+    root names the component: its smallest fingerprint, the row's own where nothing is linked to it.
+    component_id is the smallest id_col that links reach, the row's own included; it doesn't tell
+    components apart where ids are NULL or stand on several texts. id_col must be among keys.
     """
     rows = docs.select(*keys, F.col(text).alias("_text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_text").dtypes) + ", fp long"
@@ -173,10 +175,10 @@ def near_duplicates(docs: DataFrame, keys: list[str], text: str = "text", id_col
     found = components(links(distinct, radius))
     grouped = stored(found.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first_id"), "grouped")
     firsts = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    linked = grouped.join(stored(firsts, "firsts"), "root").select("fp", "component_id")
+    linked = grouped.join(stored(firsts, "firsts"), "root").select("fp", "root", "component_id")
     # an unlinked fingerprint is a component of its own
-    of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(stored(of_fp, "components"), "fp").select(*keys, "fp", "component_id")
+    of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return marked.join(stored(of_fp, "components"), "fp").select(*keys, "fp", "root", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

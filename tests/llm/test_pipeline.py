@@ -49,6 +49,21 @@ def test_stages(spark, tmp_path):
     assert max(r[0] for r in after.groupBy("sequence_id").sum("length").select("sum(length)").collect()) <= 4096
 
 
+def test_one_of_each_component_whatever_its_ids(spark):
+    words = [f"w{k}" for k in range(600)]
+    base = " ".join(words)
+    at = simhash.fingerprints([base.encode()])[0]
+    bits = lambda t: int(at ^ simhash.fingerprints([t.encode()])[0]).bit_count()
+    near = next(t for k in range(600) if bits(t := " ".join([*words[:k], "other", *words[k + 1 :]])) in (1, 2))
+    one, two = "the first text of its own kind", "another thing that nobody wrote before"
+    rows = [(None, base), (None, near), (7, one), (7, two), (8, two), (9, one)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_each(spark, docs, SF).collect()]
+    assert len(kept) == 3
+    assert sum(t in (base, near) for _, t in kept) == 1  # linked, though no id names their component
+    assert (7, one) in kept and (7, two) in kept  # one id, two components
+
+
 def test_sql_of_the_queries(spark):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
