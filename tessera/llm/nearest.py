@@ -8,15 +8,16 @@ query's distance and the median exceeds the distance of its k-th best so far. Th
 `factor` times: 1 skips only what can't hold a better vector and is exact, more skips more. All
 queries of a block go down the tree together, so each node is one numpy product.
 
-Of equal vectors only the k + 1 smallest ids can be among k nearest (a query leaves out itself at
-most), so no more of them are indexed. Searches against all rows take the queries in slabs, each
+Of equal vectors only rows of the k + 1 smallest ids, k of each at most, can be among k nearest (a
+query leaves out the rows of one id), so no more of them are indexed. Searches against all rows take the queries in slabs, each
 against each shard; no pair is formed before it is compared, and k rows leave a slab and shard for
 each query.
 
 Defined cases: vectors that are NULL, empty, zero or hold a NULL or non-finite component take no
 part, as query or candidate; NULL ids neither. Vectors meet those of their own length only. Of
-repeated rows each is a candidate; a query leaves out every row of its own id. Extra columns aren't
-read. An empty table gives no row.
+repeated rows (of one id and vector) each is a candidate, but they ask once. An id that asks with
+several vectors gets k rows, ranked from 1, for each of them. A query leaves out every row of its
+own id. Extra columns aren't read. An empty table gives no row.
 """
 
 from __future__ import annotations
@@ -126,7 +127,7 @@ def _matrix(column: pa.ChunkedArray, rows: np.ndarray, length: int) -> np.ndarra
 
 
 def searching(k: int, factor: float, norm: float):
-    """Arrow function of one shard and slab (id, vector, asks, ...): k rows a query."""
+    """Arrow function of one shard and slab (id, vector, v1, v2, asks, ...): k rows a query, which v1 and v2 tell from others of its id."""
 
     def run(table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
@@ -142,7 +143,9 @@ def searching(k: int, factor: float, norm: float):
         a, r, score = a[order], r[order], score[order]
         first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(q)))])
         top = np.arange(len(a)) - first[a] < k
-        return pa.Table.from_arrays([pa.array(q_ids[a[top]]), pa.array(x_ids[r[top]]), pa.array(score[top])], names=["query_id", "vec_id", "score"])
+        v1, v2 = (table.column(n).to_numpy()[asks][a[top]] for n in ("v1", "v2"))
+        columns = [q_ids[a[top]], v1, v2, x_ids[r[top]], score[top]]
+        return pa.Table.from_arrays([pa.array(c) for c in columns], names=["query_id", "v1", "v2", "vec_id", "score"])
 
     return run
 
@@ -167,12 +170,18 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = 1.
     if not n or not asked:
         return rows.select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.col("id").alias("vec_id"), F.lit(0.0).alias("score")).limit(0)
     shards, slabs = -(-n // shard_rows), -(-asked // slab_rows)
-    equal = Window.partitionBy("vector").orderBy("id")
-    indexed = rows.withColumn("_n", F.row_number().over(equal)).where(F.col("_n") <= k + 1)
-    part = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id"), F.lit(m))
+    distinct = rows.groupBy("id", "vector", "length").agg(F.count("*").alias("n"), F.max("asks").alias("asks"))
+    distinct = stored(distinct.withColumns({"v1": F.xxhash64("vector"), "v2": F.xxhash64(F.lit(7), "vector")}), "distinct-vectors")
+    # first by parts of a vector's ids, so that no task meets all rows of a common vector
+    first = lambda keys: F.row_number().over(Window.partitionBy("vector", *keys).orderBy("id"))
+    indexed = distinct.withColumn("_part", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(16)))
+    indexed = indexed.withColumn("_n", first(["_part"])).where(F.col("_n") <= k + 1).withColumn("_n", first([])).where(F.col("_n") <= k + 1)
+    indexed = indexed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.col("n"), F.lit(k)))))
+    part = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id", "v1"), F.lit(m))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
-    stand = indexed.select("id", "vector", F.lit(False).alias("asks"), "length", part(1, shards).alias("shard"), every(slabs).alias("slab"))
-    come = rows.where("asks").select("id", "vector", F.lit(True).alias("asks"), "length", every(shards).alias("shard"), part(2, slabs).alias("slab"))
-    near = stand.unionByName(come).groupBy("length", "shard", "slab").applyInArrow(searching(k, factor, float(most) ** 0.5), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    what = ["id", "vector", "v1", "v2"]
+    stand = indexed.select(*what, F.lit(False).alias("asks"), "length", part(1, shards).alias("shard"), every(slabs).alias("slab"))
+    come = distinct.where("asks").select(*what, F.lit(True).alias("asks"), "length", every(shards).alias("shard"), part(2, slabs).alias("slab"))
+    near = stand.unionByName(come).groupBy("length", "shard", "slab").applyInArrow(searching(k, factor, float(most) ** 0.5), "query_id long, v1 long, v2 long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "v1", "v2").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

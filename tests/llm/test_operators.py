@@ -145,6 +145,18 @@ def test_nearest_is_exact_with_factor_one_and_close_beyond(spark):
     assert nearest.nearest(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_with_repeated_rows(spark):
+    same, other = [3.0, 0.0], [0.0, 2.0]
+    rows = [(0, same)] * 30 + [(5, same)] * 2 + [(i, same) for i in range(101, 131) if i % 20] + [(0, other), (7, other)] + [(i, [1.0, 1.0]) for i in range(201, 206)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = nearest.nearest(df, F.col("vec_id") % 20 == 0, k=20, shard_rows=10, slab_rows=2).collect()
+    want = []
+    for q, x in ((0, same), (0, other)):  # the rows of id 0 ask once for each of its two vectors
+        near = sorted((-sum(a * b for a, b in zip(x, y, strict=True)), i) for i, y in rows if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(near[:20])]
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
+
+
 def test_token_counts_and_the_cache(spark, docs, empty):
     path, cache = public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "cache")
     t = Tokenizer.from_file(path)
