@@ -1,5 +1,7 @@
 """Formulas on hand-computed rows, edge cases, and properties."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -194,3 +196,15 @@ def test_sources(spark, tmp_path):
     lists = spark.createDataFrame([(1, ["a", "b"])], "session_id long, track_ids array<string>")
     texts = spark.createDataFrame([(1, "hi")], "session_id long, response string")
     assert T.submission_records(lists, texts).first().record == '{"session_id":1,"predicted_track_ids":["a","b"],"predicted_response":"hi"}'
+
+
+def test_jaccard_pairs_count_common_members(spark):
+    rng = random.Random(4)
+    sets = {i: {m for m in range(40) if rng.random() < (0.9 if m < 4 else 0.15)} | {f"only {i}"} for i in range(30)}
+    df = spark.createDataFrame([(i, str(m)) for i, s in sets.items() for m in s], "id long, member string")
+    share = lambda a, b: len(a & b) / len(a | b)
+    pairs = [(x, y, share(sets[x], sets[y])) for x in sets for y in sets if x < y and sets[x] & sets[y]]
+    want = sorted(pairs, key=lambda p: (-round(p[2], 9), p[0], p[1]))[:12]
+    for seed_df in (1, 3, 8):  # the cost alone
+        got = [(r.x, r.y, round(r.jaccard, 9)) for r in text.jaccard_pairs(df, "id", 12, seed_df).collect()]
+        assert got == [(x, y, round(j, 9)) for x, y, j in want]
