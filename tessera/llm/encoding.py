@@ -3,28 +3,35 @@
 The library splits a text into pieces before it merges, and a piece's ids don't depend on its
 neighbours. For the two pre-tokenizers below the places where every split must fall are known
 (around isolated white space, and between a letter and the ASCII marks at the end of a word), so
-each distinct piece is encoded once by the library, many in one call, and then looked up. A text
-outside those rules (special-token strings, runs of white space) goes to the library whole. Ids
-equal those of the library for the whole text; tests compare them.
+each distinct piece is encoded once by the library, many in one call, and then looked up. Texts are
+taken a few million characters at a time: Arrow splits them and finds the distinct words, only these
+meet the memory, and numpy lays their ids out in the order of the words. A text outside those rules
+(special-token strings, runs of white space) goes to the library whole. Ids equal those of the
+library for the whole text; tests compare them.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space that isn't isolated. Python's class covers more than the library's, which is safe here.
 _RUNS = re.compile(r"\s\s|\A\s|\s\Z")
 _RARE_SPACE = re.compile("[\t\r\x0b\x0c]")
 #: Marks that stand apart from a letter before them under both pre-tokenizers.
 _MARKS = ".,!?;:%$#&*|"
+#: Letters of which any run is one piece under both pre-tokenizers, and which case and composition leave alone one by one.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+_ONE_PIECE = re.compile(f"[{_LETTERS}]+").fullmatch
 
 
 class Encoder:
-    """Ids as little-endian bytes of `dtype`, as the library gives them without added special tokens.
+    """Ids in `dtype`, as the library gives them without added special tokens.
 
     `most` bounds each of the two generations of remembered words; forgetting costs time only.
     """
@@ -39,7 +46,7 @@ class Encoder:
                 spec = json.load(f)
             self.mode, self.special = _mode(spec), tuple(t["content"] for t in spec["added_tokens"])
         self.most = most
-        self.known: dict[str, bytes] = {}  # by word as it stands after a blank
+        self.known: dict[str, bytes] = {}  # by word as it stands after a blank, or after a line end that leads it
         self.before: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}  # by piece that no blank leads: marks, and the first word of a line
         if self.mode == "blank first":
@@ -47,116 +54,174 @@ class Encoder:
         elif self.mode == "blank dropped":
             self.between, self.lead = " ~ ", ""
         if self.mode != "whole":
-            self.line_end = self.whole("\n")
-            self.cut = np.frombuffer(self.whole(self.between.strip(" ")), self.dtype)[0]
+            self.line_end = self.whole("\n").tobytes()
+            self.cut = self.whole(self.between.strip(" "))[0]
+            self._byte_letters()
             self._fresh()
 
     def _fresh(self) -> None:
         self.known, self.before, self.heads = {"": b""}, self.known, {"": b""}
 
-    def whole(self, text: str) -> bytes:
-        """What the library gives for the text as it is."""
-        got = self.library.encode(text, add_special_tokens=False).ids if self.json else self.library.encode(text)
-        return np.array(got, self.dtype).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        return next(self.encode_all([text]))
+    def _byte_letters(self) -> None:
+        """How the pre-tokenizer spells letters and the leading blank, asked of it letter by letter."""
+        letters = [chr(c) for c in range(256) if _ONE_PIECE(chr(c))]
+        lower = str.lower if self.mode == "blank dropped" else str
+        spell = lambda s: self.library.pre_tokenizer.pre_tokenize_str(s)[0][0]
+        self.spelt = str.maketrans({c: spell("a" + lower(c))[1:] for c in letters})
+        self.lead_spelt = spell(self.lead + "a")[:-1]
 
-    def encode_all(self, texts: Iterable[str], at_once: int = 2_000_000) -> Iterator[bytes]:
-        """The ids of each text in turn; about `at_once` characters are held as words at a time."""
+    def whole(self, text: str) -> np.ndarray:
+        """What the library gives for the text as it is."""
+        return np.array(self.library.encode(text, add_special_tokens=False).ids if self.json else self.library.encode(text), self.dtype)
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after the other, and how many each text has."""
+        found = list(self.in_parts(texts))
+        ids, lengths = zip(*found, strict=True) if found else ([np.zeros(0, self.dtype)], [np.zeros(0, np.int64)])
+        return np.concatenate(ids), np.concatenate(lengths)
+
+    def each(self, texts: list[str], end_id: int) -> Iterator[np.ndarray]:
+        """The ids of each text in turn, with end_id after them."""
+        for ids, lengths in self.in_parts(texts):
+            ends = np.cumsum(lengths)
+            ids = np.insert(ids, ends, end_id)
+            yield from np.split(ids, (ends + np.arange(1, len(ends) + 1))[:-1])
+
+    def count_all(self, texts: list[str]) -> np.ndarray:
+        """How many ids each text has."""
+        return np.concatenate([np.zeros(0, np.int64), *(n for _, n in self.in_parts(texts, ids=False))])
+
+    def in_parts(self, texts: list[str], ids: bool = True, at_once: int = 8_000_000) -> Iterator[tuple[np.ndarray | None, np.ndarray]]:
+        """ids and lengths of successive texts, about `at_once` characters at a time."""
         held, n = [], 0
         for text in texts:
             held.append(text)
             n += len(text)
             if n >= at_once:
-                yield from self._encode(held)
+                yield self._part(held, ids)
                 held, n = [], 0
-        yield from self._encode(held)
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        words = [self._words(t) for t in texts]
-        if self.mode != "whole":
-            if len(self.known) + len(self.heads) >= self.most:
-                self._fresh()
-            self._learn(set().union(*filter(None, words)).difference(self.known))
-        get = self.known.__getitem__
-        return [self.whole(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, words, strict=True)]
-
-    def _words(self, text: str) -> list[str] | None:
-        """The words between blanks, or None for a text that the library gets whole.
-
-        Where blanks lead words, the first word is marked by a line end, as no blank leads it.
+        if held:
+            yield self._part(held, ids)
+
+    def _part(self, texts: list[str], wanted: bool) -> tuple[np.ndarray | None, np.ndarray]:
+        ready = [self._ready(t) for t in texts]
+        lengths = np.zeros(len(texts), np.int64)
+        split = np.array([k for k, t in enumerate(ready) if t is not None], np.int64)
+        ids = np.zeros(0, self.dtype)
+        if len(split):
+            ids, lengths[split] = self._by_words([ready[k] for k in split], wanted)
+        rest = {k: self.whole(texts[k]) for k, t in enumerate(ready) if t is None}
+        if rest:
+            pieces, at = [], 0
+            for k, n in enumerate(lengths):
+                if k not in rest:
+                    pieces.append(ids[at : at + n])
+                    at += n
+                else:
+                    pieces.append(rest[k])
+                    lengths[k] = len(rest[k])
+            ids = np.concatenate(pieces)
+        return (ids if wanted else None), lengths
+
+    def _by_words(self, texts: list[str], wanted: bool) -> tuple[np.ndarray, np.ndarray]:
+        """ids and lengths of texts whose words stand between single blanks."""
+        lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        begin = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        if len(self.known) + len(self.heads) >= self.most:
+            self._fresh()
+        self._learn([w for w in words if w not in self.known])
+        found = list(map(self.known.__getitem__, words))
+        size = np.fromiter(map(len, found), np.int64, len(found)) // self.dtype.itemsize
+        n = size[at]
+        skip = np.zeros(len(at), np.int64)
+        if self.mode == "blank first":  # the line end that leads a text's first word isn't part of the text
+            skip[begin] = len(self.line_end) // self.dtype.itemsize
+            n -= skip
+        lengths = np.add.reduceat(n, begin)
+        if not wanted:
+            return np.zeros(0, self.dtype), lengths
+        first = (np.cumsum(size) - size)[at] + skip
+        first -= np.cumsum(n) - n  # from a place in the result to one among the words' ids
+        where = np.repeat(first, n)
+        where += np.arange(len(where))
+        return np.frombuffer(b"".join(found), self.dtype)[where], lengths
+
+    def _ready(self, text: str) -> str | None:
+        """The text with its words between single blanks, or None for one that the library gets whole.
+
+        Where blanks lead words, a word that a line end leads keeps it, and the first word gets one.
         """
         if self.mode == "whole" or any(s in text for s in self.special):
             return None
         if self.mode == "blank dropped":
-            if text.isascii():  # the tokenizer lowers letters itself
+            try:  # the tokenizer lowers letters itself; in Latin-1 that is done letter by letter
+                text.encode("latin-1")
                 text = text.lower()
-            return _RARE_SPACE.sub(" ", text).replace("\n", " ").split(" ")
+            except UnicodeEncodeError:
+                pass
+            return _RARE_SPACE.sub(" ", text).replace("\n", " ")
         if not _plain(text) and (_RUNS.search(text) or _RARE_SPACE.search(text)):
             return None
-        words = text.split(" ")
-        words[0] = "\n" + words[0]
-        return words
+        return "\n" + text.replace("\n", " \n")
 
-    def _learn(self, missing: set[str]) -> None:
+    def _learn(self, missing: list[str]) -> None:
         """Make every missing word known: from the library, or from its parts."""
         known, before, heads = self.known, self.before, self.heads
-        marked, lines, new, new_heads = [], [], set(), set()
-
-        def part(word: str, found: dict, wanted: set) -> tuple[str, str]:
-            """A word without and with its marks; what isn't known of it is wanted."""
-            bare = word.rstrip(_MARKS) if word[-1:] in _MARKS else word
-            if not bare or not bare[-1].isalpha():
-                bare = word
-            elif len(bare) < len(word) and (end := word[len(bare) :]) not in heads:
-                new_heads.add(end)
-            if bare not in found:
-                wanted.add(bare)
-            return bare, word[len(bare) :]
-
+        parts, new, new_heads = [], set(), set()
         for w in missing:
             if (old := before.get(w)) is not None:
                 known[w] = old
-            elif "\n" in w:
-                first, *rest = w.split("\n")
-                lines.append((w, part(first, known, new), [part(x, heads, new_heads) for x in rest]))
-            elif w[-1] in _MARKS:
-                bare, end = part(w, known, new)
-                if end:
-                    marked.append((w, bare, end))
+                continue
+            led = w[0] == "\n"
+            word = w[1:] if led else w
+            bare, end = word, ""
+            if word[-1:] in _MARKS and (bare := word.rstrip(_MARKS)) != word:
+                if bare and bare[-1].isalpha():
+                    end = word[len(bare) :]
+                    if end not in heads:
+                        new_heads.add(end)
+                else:
+                    bare = word
+            if led:
+                if bare not in heads:
+                    new_heads.add(bare)
+                parts.append((w, True, bare, end))
             else:
-                new.add(w)
-        self._add([w for w in new if w not in known], known, self.lead)
-        self._add([w for w in new_heads if w not in heads], heads, "")
-        for w, bare, end in marked:
-            known[w] = known[bare] + heads[end]
-        for w, (bare, end), rest in lines:
-            out = [known[bare], heads[end]]
-            for bare, end in rest:
-                out += [self.line_end, heads[bare], heads[end]]
-            # a text's first word is marked by the line end before it, which isn't part of the text
-            known[w] = b"".join(out[2:])[len(self.line_end) :] if w[0] == "\n" else b"".join(out)
-
-    def _add(self, new: list[str], to: dict[str, bytes], lead: str) -> None:
-        """Encode pieces in one call, joined so that the library splits around a token of its own between them."""
-        mark = self.between.strip(" ")
-        for p in [p for p in new if mark in p]:
-            to[p] = self.whole(lead + p)
-        if self.mode == "blank dropped" and new:
-            new = [p for p in new if mark not in p]
-        if not new:
+                if bare not in known:
+                    new.add(bare)
+                if end:
+                    parts.append((w, False, bare, end))
+        self._add(new, known, self.lead, self.lead_spelt)
+        self._add(new_heads, heads, "", "")
+        for w, led, bare, end in parts:
+            known[w] = self.line_end + heads[bare] + heads[end] if led else known[bare] + heads[end]
+
+    def _add(self, new: set[str], to: dict[str, bytes], lead: str, lead_spelt: str) -> None:
+        """Encode pieces: runs of letters one by one, the others in one call, joined so that the library splits around a token of its own between them."""
+        mark, others, dtype = self.between.strip(" "), [], self.dtype
+        tokenize, spelt = self.library.model.tokenize, self.spelt
+        for p in new:
+            if _ONE_PIECE(p):
+                to[p] = np.array([t.id for t in tokenize(lead_spelt + p.translate(spelt))], dtype).tobytes()
+            elif mark in p:
+                to[p] = self.whole(lead + p).tobytes()
+            elif p:
+                others.append(p)
+        if not others:
             return
-        ids = np.array(self.library.encode(self.between.join([lead + p for p in new]), add_special_tokens=False).ids, self.dtype)
-        ends = (np.append(np.flatnonzero(ids == self.cut), len(ids)) * self.dtype.itemsize).tolist()
-        raw, begin, step = ids.tobytes(), 0, self.dtype.itemsize
-        for p, end in zip(new, ends, strict=True):
+        joined = self.between.join([lead + p for p in others])
+        ids = np.array(self.library.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype)
+        ends = (np.append(np.flatnonzero(ids == self.cut), len(ids)) * dtype.itemsize).tolist()
+        raw, begin, step = ids.tobytes(), 0, dtype.itemsize
+        for p, end in zip(others, ends, strict=True):
             to[p] = raw[begin:end]
             begin = end + step
 
-    def count(self, text: str) -> int:
-        return len(self.encode(text)) // self.dtype.itemsize
-
 
 def _plain(text: str) -> bool:
     """True only where all white space is single blanks and line ends inside the text (a quick test)."""

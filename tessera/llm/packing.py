@@ -32,13 +32,12 @@ def cutting(path: str, end_id: int, capacity: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        end, step = np.array([end_id], e.dtype).tobytes(), capacity
         for b in batches:
             row, piece, start, length, crc = [], [], [], [], []
-            for k, ids in enumerate(e.encode_all(t or "" for t in b.column(2).to_pylist())):
-                wide = np.frombuffer(ids + end, e.dtype).astype("<u4")
-                for p, at in enumerate(range(0, len(wide), step)):
-                    cut = wide[at : at + step]
+            for k, ids in enumerate(e.each([t or "" for t in b.column(2).to_pylist()], end_id)):
+                wide = ids.astype("<u4")
+                for p, at in enumerate(range(0, len(wide), capacity)):
+                    cut = wide[at : at + capacity]
                     row.append(k)
                     piece.append(p)
                     start.append(at)

@@ -101,21 +101,20 @@ def packing(path: str, end_id: int, most_ids: int = 1_000_000, most_docs: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        bits, end = max(1, (e.size - 1).bit_length()), np.array([end_id], e.dtype).tobytes()
+        bits = max(1, (e.size - 1).bit_length())
         docs, lengths, parts, n, file, k = [], [], [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:
-            data = write_segment(docs, lengths, np.frombuffer(b"".join(parts), e.dtype), bits)
+            data = write_segment(docs, lengths, np.concatenate(parts), bits)
             return pa.RecordBatch.from_pydict({"file": [file], "segment": pa.array([k], pa.int32()), "n_docs": pa.array([len(docs)], pa.int32()), "n_ids": [n], "data": pa.array([data], pa.binary())})
 
         for b in batches:
-            texts = (t or "" for t in b.column(2).to_pylist())
-            for f, d, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), e.encode_all(texts), strict=True):
-                file = f
+            texts = [t or "" for t in b.column(2).to_pylist()]
+            for file, d, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), e.each(texts, end_id), strict=True):
                 docs.append(d)
-                parts += [ids, end]
-                lengths.append(len(ids) // e.dtype.itemsize + 1)
-                n += lengths[-1]
+                parts.append(ids)
+                lengths.append(len(ids))
+                n += len(ids)
                 if n >= most_ids or len(docs) >= most_docs:
                     yield segment()
                     docs, lengths, parts, n, k = [], [], [], 0, k + 1

@@ -60,8 +60,14 @@ def test_encoder_gives_the_library_ids(name):
     path = public_tokenizers.path(name)
     t, e = Tokenizer.from_file(path), encoding.Encoder(path, most=50)
     odd = ["a\n b", "a \nb", "a\n\nb c", "It's o'clock... don't.", "É́. x", "A\x1cB c", "ǅ İ Σας ΣΑΣ.", " lead", "trail ", "a ~ b~c ~. ~", "\n", "a\n", "...\n. x", "a\nb.\nc, d", "!", "12.5% $x #y|", "你好 世界。"]
-    for text in [x or "" for x in texts()] + odd:
-        assert np.frombuffer(e.encode(text), e.dtype).tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
+    every = [x or "" for x in texts()] + odd + ["ÀÉÎ ßtraße Ÿ ÿ µm a̅ H̱ ẖ", "İstanbul été\nÉté", "\n\n"]
+    for text in every:
+        assert e.encode(text).tolist() == t.encode(text, add_special_tokens=False).ids, text[:40]
+    ids, lengths = e.encode_all(every)
+    whole = [t.encode(x, add_special_tokens=False).ids for x in every]
+    assert lengths.tolist() == [len(x) for x in whole] == e.count_all(every).tolist() and ids.tolist() == sum(whole, [])
+    assert [x.tolist() for x in e.each(every, 3)] == [x + [3] for x in whole]
+    assert e.encode_all([])[0].tolist() == e.count_all([]).tolist() == []
 
 
 def test_licenses(docs, empty):
