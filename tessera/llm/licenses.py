@@ -1,12 +1,14 @@
 """Licence scans by a positional index of rare words.
 
-Templates are short licence texts, each with a key phrase that must stand in a file word for word.
-The index holds, for every template word, its places in the templates. For a file, its licence
-words are taken by falling inverse document frequency (over all files); a word's places in the file
-and in a template give the places where that template would start, and these are intersected with
-those of the phrase's other words until only verified starts are left. No start is missed: the
-phrase's rarest word must stand in the file. The score is the share of the template's words that
-stand where they should, at the best start of any template.
+Templates are passages of licences, each with a key phrase that must stand in a file word for word.
+The index posts every template word with its places in the templates. A file's licence words are
+looked up by falling inverse document frequency (over all files), so that each template gets the
+FEW rarest of its words that the file holds. Where a template's key phrase can stand, its rarest word
+in the file and the others in turn are intersected by their relative places; a place that is left
+verifies the phrase and says where the template starts. There the looked-up words vote: at least
+half must stand within SLACK words of where the template has them. A notice counts where then at
+least `least_cover` of all the template's words do; words may be changed, missing or put in. The score
+is the largest such share. No place of a key phrase is missed: all its words must stand in the file.
 
 Defined cases: a NULL or empty text has no word, no label and score 0. NULL ids and repeated rows
 get a result row each. Extra columns aren't read. An empty table gives no row. Texts are read whole.
@@ -14,6 +16,7 @@ get a result row each. Extra columns aren't read. An empty table gives no row. T
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -23,19 +26,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+FEW = 6
+SLACK = 4
+LEAST_COVER = 0.6
+
 
 @dataclass(frozen=True)
 class Template:
-    """A licence's label, its words, the mandatory phrase within them, and whether it is a base phrase."""
+    """A licence's label, its words, the key phrase's words and place within them, and whether it is a base phrase."""
 
     label: str
     words: tuple[bytes, ...]
     phrase: tuple[bytes, ...]
+    lead: int
     base: bool = False
 
 
 def template(label: str, text: str, phrase: str | None = None, base: bool = False) -> Template:
-    return Template(label, tuple(text.encode().split()), tuple((phrase or text).encode().split()), base)
+    words, key = tuple(text.encode().split()), tuple((phrase or text).encode().split())
+    lead = next((i for i in range(len(words)) if words[i : i + len(key)] == key), None)
+    if lead is None:
+        raise ValueError(f"the key phrase isn't in the template: {phrase}")
+    return Template(label, words, key, lead, base)
 
 
 #: The base phrases and their labels.
@@ -47,20 +59,24 @@ BASE = (
 
 #: Passages of public licences and of the usual notices for them, in lower case and without marks.
 TEMPLATES = BASE + (
-    template("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    template("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "deal in the software without restriction"),
+    template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "apache org licenses license 2 0"),
+    template("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
+    template("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
+    template("gpl-3", "gnu general public license version 3"),
+    template("gpl-2", "gnu general public license version 2"),
     template("lgpl", "gnu lesser general public license"),
     template("agpl", "gnu affero general public license"),
-    template("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
-    template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use copy modify"),
-    template("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software released into the public domain"),
-    template("cc0", "creative commons zero v1 0 universal", "creative commons zero"),
-    template("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
-    template("cc-by-nd", "licensed under cc by nd 4 0", "cc by nd"),
+    template("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "mozilla public license"),
+    template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "redistribution and use in source and binary forms"),
+    template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "with or without fee is hereby granted"),
+    template("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software", "unencumbered software released into the public domain"),
+    template("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "in no event will the authors be held liable"),
+    template("cc0", "creative commons zero"),
+    template("cc-by-sa", "cc by sa"),
+    template("cc-by-nd", "cc by nd"),
     template("epl", "eclipse public license"),
-    template("boost", "boost software license version 1 0", "boost software license"),
+    template("boost", "boost software license"),
 )
 
 _LOWER_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -95,53 +111,71 @@ def inverse_frequencies(docs: DataFrame, text: str, templates: tuple[Template, .
 
 
 class Index:
-    """Template postings: a word's (template, place in its phrase), asked by falling inverse frequency."""
-
-    def __init__(self, templates: tuple[Template, ...], idf: dict[bytes, float]):
-        self.templates = templates
-        self.vocabulary = frozenset(idf)
-        rare = lambda w: (-idf[w], w)
-        #: each phrase's words with their places, rarest first; a template is looked up by the first
-        self.orders = [sorted(((w, q) for q, w in enumerate(t.phrase)), key=lambda x: (rare(x[0]), x[1])) for t in templates]
-        self.by_word: dict[bytes, list[int]] = {}
-        for k, order in enumerate(self.orders):
-            self.by_word.setdefault(order[0][0], []).append(k)
-        self.asked = frozenset(self.by_word)
-        self.falling = sorted(self.asked, key=rare)
-
-    def starts(self, words: list[bytes]) -> dict[int, set[int]]:
-        """Template numbers and the places where their phrases start in a file."""
+    """Every template word's places in the templates, asked by falling inverse document frequency."""
+
+    def __init__(self, templates: tuple[Template, ...], idf: dict[bytes, float], few: int = FEW, slack: int = SLACK, least_cover: float = LEAST_COVER):
+        self.templates, self.few, self.slack, self.least_cover = templates, few, slack, least_cover
+        #: place of each word in the order of falling inverse frequency
+        self.rarity = {w: k for k, w in enumerate(sorted(idf, key=lambda w: (-idf[w], w)))}
+        self.postings: dict[bytes, dict[int, list[int]]] = {}
+        for k, t in enumerate(templates):
+            for q, w in enumerate(t.words):
+                self.postings.setdefault(w, {}).setdefault(k, []).append(q)
+        #: a key phrase's words with their places in it, rarest first
+        self.phrases = [sorted(((w, q) for q, w in enumerate(t.phrase)), key=lambda x: (self.rarity[x[0]], x[1])) for t in templates]
+        #: templates by the rarest word of their key phrases: without it in a file there is nothing to look up
+        self.anchors: dict[bytes, list[int]] = {}
+        for k, words in enumerate(self.phrases):
+            self.anchors.setdefault(words[0][0], []).append(k)
+        self.asked = frozenset(self.anchors)
+
+    def notices(self, words: list[bytes]) -> tuple[dict[int, list[int]], dict[int, float]]:
+        """Template numbers with the places where their key phrases start, and with the share of the best notice that counts."""
         if self.asked.isdisjoint(words):
-            return {}
-        posts: dict[bytes, set[int]] = {}
+            return {}, {}
+        posts: dict[bytes, list[int]] = {}
         for p, w in enumerate(words):
-            if w in self.vocabulary:
-                posts.setdefault(w, set()).add(p)
-        found = {}
-        for word in self.falling:
-            for k in self.by_word[word] if word in posts else ():
-                (first, at), *others = self.orders[k]
-                at_start = {p - at for p in posts[first]}
-                for w, q in others:
-                    at_start &= {p - q for p in posts.get(w, ())}
-                    if not at_start:
-                        break
-                if at_start:
-                    found[k] = at_start
-        return found
-
-    def score(self, words: list[bytes], found: dict[int, set[int]]) -> float:
-        """The largest share of a template's words in place, over all verified starts."""
-        best = 0.0
-        for k, starts in found.items():
-            t = self.templates[k]
-            lead = next(i for i in range(len(t.words)) if t.words[i : i + len(t.phrase)] == t.phrase)
-            for s in starts:
-                hit = sum(0 <= s - lead + q < len(words) and words[s - lead + q] == w for q, w in enumerate(t.words))
-                best = max(best, hit / len(t.words))
-                if best == 1.0:
-                    return best
-        return best
+            if w in self.postings:
+                posts.setdefault(w, []).append(p)
+        possible = {k for w in self.asked & posts.keys() for k in self.anchors[w]}
+        found = {k: at for k in sorted(possible) if (at := self._places(k, posts))}
+        rare = self._rarest(found, posts)
+        shares = {k: max((self._cover(k, s - self.templates[k].lead, posts, rare[k]) for s in at), default=0.0) for k, at in found.items()}
+        return found, {k: c for k, c in shares.items() if c >= self.least_cover}
+
+    def _places(self, k: int, posts: dict[bytes, list[int]]) -> list[int]:
+        """Where a template's key phrase starts in the file."""
+        (first, at), *others = self.phrases[k]
+        left = {p - at for p in posts[first]}
+        for w, q in others:
+            left &= {p - q for p in posts.get(w, ())}
+            if not left:
+                break
+        return sorted(left)
+
+    def _rarest(self, found: dict[int, list[int]], posts: dict[bytes, list[int]]) -> dict[int, list[bytes]]:
+        """For each template found, the rarest of its words that the file holds."""
+        rare: dict[int, list[bytes]] = {k: [] for k in found}
+        for w in sorted(posts, key=self.rarity.__getitem__) if rare else ():
+            for k in self.postings[w].keys() & rare.keys():
+                if len(rare[k]) < self.few:
+                    rare[k].append(w)
+        return rare
+
+    def _near(self, at: list[int], place: int) -> bool:
+        """Whether one of these ascending places is within the slack of a place."""
+        i = bisect_left(at, place - self.slack)
+        return i < len(at) and at[i] <= place + self.slack
+
+    def _cover(self, k: int, start: int, posts: dict[bytes, list[int]], rare: list[bytes]) -> float:
+        """The share of a template's words near their places, 0 where most of the rare words aren't."""
+        if len(self.templates[k].words) == len(self.templates[k].phrase):
+            return 1.0  # the phrase is all of it
+        votes = sum(any(self._near(posts[w], start + q) for q in self.postings[w][k]) for w in rare)
+        if 2 * votes < len(rare):
+            return 0.0
+        t = self.templates[k].words
+        return sum(w in posts and self._near(posts[w], start + q) for q, w in enumerate(t)) / len(t)
 
 
 COLUMNS = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
@@ -156,10 +190,10 @@ def scanning(templates: tuple[Template, ...], idf: dict[bytes, float]):
             rows = []
             for text in b.column(1).cast(pa.binary()).to_pylist():
                 words = split_words(text or b"")
-                found = index.starts(words)
+                found, shares = index.notices(words)
                 base = sorted(s for k, starts in found.items() if templates[k].base for s in starts)
                 labels = lambda ks: ",".join(sorted({templates[k].label for k in ks}))
-                rows.append((len(words), len(base), base[0] if base else None, base[-1] if base else None, labels(k for k in found if templates[k].base), labels(found), index.score(words, found)))
+                rows.append((len(words), len(base), base[0] if base else None, base[-1] if base else None, labels(k for k in found if templates[k].base), labels(shares), max(shares.values(), default=0.0)))
             cols = list(zip(*rows, strict=True)) if rows else [()] * 7
             kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
             yield pa.RecordBatch.from_arrays(
