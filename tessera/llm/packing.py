@@ -4,8 +4,8 @@ Texts are encoded once; the pieces (whole documents, or cuts of the longer ones)
 into shards of a bounded number of pieces. In a shard, best fit by falling length gives the first
 bins; a local search then exchanges pieces between underfull bins, one for one or two for one, or
 moves them, whenever that raises the sum of squared fills, until bins empty or nothing improves.
-The bins that stay underfull are dealt out anew and packed once more, so that what is left over in
-many shards meets.
+The bins that stay underfull (below `full_enough` of the capacity) are dealt out anew and packed once
+more, so that what is left over in many shards meets.
 
 Defined cases: a NULL text is an empty one and takes one token (the end id). NULL ids and repeated
 rows are packed like others, each row once. Extra columns aren't read. An empty table gives no row.
@@ -13,6 +13,7 @@ rows are packed like others, each row once. Extra columns aren't read. An empty
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -74,54 +75,120 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: list[int], capacity: int, rounds: int = 4, partners: int = 64) -> list[list[int]]:
+def _bits(numbers: list[int]) -> int:
+    """A number with these bits set."""
+    out = 0
+    for n in numbers:
+        out |= 1 << n
+    return out
+
+
+def _sums(numbers: list[int]) -> int:
+    """The sums of any two items, as bits."""
+    out, before = 0, 0
+    for n in numbers:
+        out |= before << n
+        before |= 1 << n
+    return out
+
+
+class Offers:
+    """Which lengths, and which sums of two lengths, single bins can give, and which bins those are."""
+
+    def __init__(self, capacity: int):
+        self.bins: tuple[list[set[int]], list[set[int]]] = tuple([set() for _ in range(capacity + 1)] for _ in range(2))
+        self.have = [0, 0]  # singles and sums that some bin has, as bits
+        self.of_bin: dict[int, tuple[int, int]] = {}
+
+    def put(self, k: int, lengths: list[int]) -> None:
+        """Bin k now holds items of these lengths; none takes it out."""
+        new, old = (_bits(lengths), _sums(lengths)), self.of_bin.pop(k, (0, 0))
+        for kind in (0, 1):
+            changed = new[kind] ^ old[kind]
+            while changed:
+                bit = changed & -changed
+                n = bit.bit_length() - 1
+                holders = self.bins[kind][n]
+                if new[kind] & bit:
+                    holders.add(k)
+                    self.have[kind] |= bit
+                else:
+                    holders.discard(k)
+                    if not holders:
+                        self.have[kind] ^= bit
+                changed ^= bit
+        if lengths:
+            self.of_bin[k] = new
+
+    def best(self, lengths: list[int], room: int) -> tuple[int, int, int, bool] | None:
+        """For a bin of these lengths: the largest gain within its room, its giver, what it gives, and whether that is two items.
+
+        A move, or an exchange of one for one, one for two or two for one.
+        """
+        single = 1 | _bits(lengths)
+        takes = (single | _sums(lengths), single)
+        for gain in range(room, 0, -1):
+            for two in (False, True):
+                if fit := takes[two] << gain & self.have[two]:
+                    give = (fit & -fit).bit_length() - 1
+                    return gain, min(self.bins[two][give]), give, two
+        return None
+
+
+def _pick(items: list[int], lengths: list[int], total: int, two: bool | None = None) -> list[int]:
+    """One item, or else two, of this total length (or none for 0); `two` says which."""
+    if total == 0:
+        return []
+    if two is not True:
+        for i in items:
+            if lengths[i] == total:
+                return [i]
+    seen: dict[int, int] = {}
+    for i in items:
+        if (other := seen.get(total - lengths[i])) is not None:
+            return [other, i]
+        seen[lengths[i]] = i
+    raise ValueError("no items of that length")
+
+
+def local_search(bins: list[list[int]], lengths: list[int], capacity: int) -> list[list[int]]:
     """Exchange items between underfull bins while that raises the sum of squared fills; empty bins go.
 
-    From the least filled bin up, each tries up to `partners` bins with the most room: first moves, then
-    exchanges of one for one, two for one and one for two. `rounds` bounds the passes. The sum of
-    squares only rises, so no state comes twice. The search also ends where the number of bins is the
-    least that can hold the total: no exchange can empty another.
+    From the fullest underfull bin down, each takes the exchange with any emptier bin that fills it
+    most: a move, one for one, one for two or two for one. Bit sets of the lengths (and sums of two)
+    that bins can give find it without trying bins in turn, so none is left out. The sum of squares
+    only rises, so no state comes twice; the search ends where a whole pass finds nothing, or where the
+    number of bins is the least that can hold the total: no exchange can empty another.
     """
     least = -(-sum(lengths) // capacity)
+    bins = [list(b) for b in bins]
     fill = [sum(lengths[i] for i in b) for b in bins]
-
-    def exchange(a: int, b: int) -> bool:
-        """The exchange from a to the fuller bin b that fills b most, if any fits."""
-        room, best, choice = capacity - fill[b], 0, None
-        ours, theirs = [(lengths[i], (i,)) for i in bins[a]], [(0, ())] + [(lengths[j], (j,)) for j in bins[b]]
-        pairs = lambda items: [(lengths[x] + lengths[y], (x, y)) for k, x in enumerate(items) for y in items[k + 1 :]]
-        for give, take in ((ours, theirs), (pairs(bins[a]), theirs), (ours, pairs(bins[b]))):
-            for g, out in give:
-                for t, back in take:
-                    gain = g - t
-                    if best < gain <= room and fill[b] + gain > fill[a] - gain and fill[b] + gain > fill[a]:
-                        best, choice = gain, (out, back)
-            if best == room:
-                break
-        if choice is None:
-            return False
-        out, back = choice
-        bins[a] = [i for i in bins[a] if i not in out] + list(back)
-        bins[b] = [j for j in bins[b] if j not in back] + list(out)
-        fill[a] -= best
-        fill[b] += best
-        return True
-
-    for _ in range(rounds):
-        changed = False
-        if sum(map(bool, bins)) <= least:
-            break
-        under = sorted((k for k in range(len(bins)) if 0 < fill[k] < capacity), key=lambda k: (fill[k], k))
-        for at, a in enumerate(under):
-            if at % 64 == 0 and sum(map(bool, bins)) <= least:
-                break
-            for b in under[at + 1 : at + 1 + partners]:
-                if not bins[a]:
-                    break
-                if fill[b] >= fill[a] and fill[b] < capacity and len(bins[a]) * len(bins[b]) <= 4096:
-                    changed |= exchange(a, b)
-        if not changed:
-            break
+    of = lambda k: [lengths[i] for i in bins[k]]
+    n, changed = len(bins), True
+    while changed and n > least:
+        changed, offers = False, Offers(capacity)
+        heap = [(-fill[k], k) for k in range(len(bins)) if 0 < fill[k] < capacity]
+        for _, k in heap:
+            offers.put(k, of(k))
+        heapq.heapify(heap)
+        while heap and n > least:
+            full, b = heapq.heappop(heap)
+            if b not in offers.of_bin or -full != fill[b]:
+                continue  # it has been filled already, or has given since
+            offers.put(b, [])
+            while fill[b] < capacity and (found := offers.best(of(b), capacity - fill[b])):
+                gain, a, give, two = found
+                out, back = _pick(bins[a], lengths, give, two), _pick(bins[b], lengths, give - gain)
+                bins[a] = [i for i in bins[a] if i not in out] + back
+                bins[b] = [j for j in bins[b] if j not in back] + out
+                fill[a] -= gain
+                fill[b] += gain
+                offers.put(a, of(a))
+                changed = True
+                if fill[a]:
+                    heapq.heappush(heap, (-fill[a], a))
+                else:
+                    n -= 1
     return [b for b in bins if b]
 
 
