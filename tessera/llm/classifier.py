@@ -155,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: st
     texts = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"))
     sample = texts.join(F.broadcast(y), "id").groupBy("id", "y").agg(F.min("t").alias("t"))  # at most most_rows ids: a bounded broadcast
     fitted = sample.select("id", "t", "y").coalesce(1).mapInArrow(fitting, "machine binary")
-    row = fitted.first()  # none where there is no labelled row, as empty plans aren't run
-    return Machine.from_bytes(bytes(row[0])) if row else Machine.blank()
+    found = fitted.collect()  # one row; none where there is no labelled row, as empty plans aren't run
+    return Machine.from_bytes(bytes(found[0][0])) if found else Machine.blank()
 
 
 def scoring(machine: bytes):

@@ -17,6 +17,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import free_names
+
 WINDOW = 8
 
 #: Rule names by bit, lowest first. New rules go to the end: stored ledgers keep their meaning.
@@ -94,25 +96,26 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     for c in "\n\t\r\x0b\f":
         blank = F.replace(blank, F.lit(c), F.lit(" "))
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    out = docs.withColumns({"_blank": F.trim(blank), "_lines": lines})
-    out = out.withColumn("_h1", F.transform(_words(F.col("_blank")), lambda w: F.xxhash64(w)))
-    for step in (1, 2, 4):  # windows of 2, 4 and then 8 words
-        out = out.withColumn(f"_h{2 * step}", _paired(F.col(f"_h{step}"), step))
+    flat, rows, *hashes = free_names(docs, "_blank", "_lines", "_h1", "_h2", "_h4", "_h8")
+    out = docs.withColumns({flat: F.trim(blank), rows: lines})
+    out = out.withColumn(hashes[0], F.transform(_words(F.col(flat)), lambda w: F.xxhash64(w)))
+    for k in range(3):  # windows of 2, 4 and then 8 words
+        out = out.withColumn(hashes[k + 1], _paired(F.col(hashes[k]), 1 << k))
     long = lambda c: c.cast("long")
     without = lambda pattern: F.length(t) - F.length(F.regexp_replace(t, pattern, ""))
     out = out.withColumns(
         {
-            "n_words": long(F.size("_h1")),
-            "word_chars": long(F.length(F.replace(F.col("_blank"), F.lit(" "), F.lit("")))),
+            "n_words": long(F.size(hashes[0])),
+            "word_chars": long(F.length(F.replace(F.col(flat), F.lit(" "), F.lit("")))),
             "n_symbols": long(without("[#*$%&|<>]+")),
-            "n_lines": long(F.size("_lines")),
-            "n_dup_lines": long(F.size("_lines") - F.size(F.array_distinct("_lines"))),
-            "n_repeat_words": _repeat_words(F.col("_h8")),
+            "n_lines": long(F.size(rows)),
+            "n_dup_lines": long(F.size(rows) - F.size(F.array_distinct(rows))),
+            "n_repeat_words": _repeat_words(F.col(hashes[3])),
             "n_upper": long(without("[A-Z]+")),
-            "n_distinct_words": long(F.size(F.array_distinct("_h1"))),
+            "n_distinct_words": long(F.size(F.array_distinct(hashes[0]))),
         }
     )
-    return out.drop("_blank", "_lines", "_h1", "_h2", "_h4", "_h8")
+    return out.drop(flat, rows, *hashes)
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:

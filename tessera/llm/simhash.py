@@ -11,8 +11,8 @@ about 60 (for 4 blocks and evenly spread bits). Copies with one fingerprint coun
 
 Defined cases: a NULL or empty text, or one of separators only, has fingerprint zero and links like
 any other. A text of one or two words is one shingle. NULL ids stand last: a component with no
-other id has NULL. Repeated rows get a result row each. Extra columns aren't read. An empty table
-gives no row. Texts are read whole.
+other id has NULL. Repeated rows get a result row each. Extra columns aren't read; a key column that
+has the name of a result column stands beside it. An empty table gives no row. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -168,17 +168,18 @@ def near_duplicates(docs: DataFrame, keys: list[str], text: str = "text", id_col
     component_id is the smallest id_col that links reach, the row's own included; it doesn't tell
     components apart where ids are NULL or stand on several texts. id_col must be among keys.
     """
-    rows = docs.select(*keys, F.col(text).alias("_text"))
+    names = [f"_key{k}" for k in range(len(keys))]  # whatever the columns' own names
+    rows = docs.select(*[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.col(text).alias("_text"))
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.drop("_text").dtypes) + ", fp long"
     marked = stored(rows.mapInArrow(fingerprinting(width, seed), schema), "fingerprints")
-    distinct = stored(marked.groupBy("fp").agg(F.min(id_col).alias("first_id")), "distinct-fingerprints")
+    distinct = stored(marked.groupBy("fp").agg(F.min(names[keys.index(id_col)]).alias("first_id")), "distinct-fingerprints")
     found = components(links(distinct, radius))
     grouped = stored(found.join(distinct, F.col("node") == F.col("fp")).select("fp", "root", "first_id"), "grouped")
     firsts = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     linked = grouped.join(stored(firsts, "firsts"), "root").select("fp", "root", "component_id")
     # an unlinked fingerprint is a component of its own
     of_fp = distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first_id").alias("component_id"))
-    return marked.join(stored(of_fp, "components"), "fp").select(*keys, "fp", "root", "component_id")
+    return marked.join(stored(of_fp, "components"), "fp").select(*[F.col(n).alias(k) for k, n in zip(keys, names, strict=True)], "fp", "root", "component_id")
 
 
 def hex_digits(fp: Column) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import classifier, encoding, licenses, mixing, nearest, packing, quality_rules, secrets, simhash, token_counts, token_files
-from tessera.llm.common import new_path
+from tessera.llm.common import free_names, new_path
 from tessera.llm.components import components
 
 WORDS = "the of red blue widget ring bolt under over license version token gear été größe niño".split()
@@ -49,6 +49,14 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def test_shared_folder(spark):
+    path = new_path(spark, "x")
+    assert path.startswith(spark.conf.get("spark.checkpoint.dir"))
+    spark.range(3).write.parquet(path)
+    assert spark.read.parquet(path).count() == 3
+    assert free_names(spark.range(1).withColumn("_a", F.lit(1)), "_a", "_b") == ["__a", "_b"]
+
+
 def pairs(df):
     return sorted(((r[0], *r[1:]) for r in df.collect()), key=repr)
 
@@ -261,6 +269,8 @@ def test_quality_ledger_policies_and_ablation(docs, empty):
     kept = quality_rules.keep_passing(docs, quality_rules.POLICIES["v1"])
     assert kept.columns == docs.columns and kept.count() == bits.count(0)
     assert quality_rules.ledger(empty).count() == 0
+    named = quality_rules.measure(docs.withColumns({"_h1": F.lit(7), "_H8": F.lit(8), "_lines": F.lit(9)}))
+    assert {(r._h1, r._H8, r._lines) for r in named.collect()} == {(7, 8, 9)} and named.agg(F.sum("n_words")).first() == led.agg(F.sum("n_words")).first()
 
 
 def test_packing(docs, empty):
@@ -316,6 +326,8 @@ def test_simhash_components(spark, docs, empty):
     want = sorted(((d, f"{f:016x}", first[g]) for (d, _), f, g in zip(rows, fps, group, strict=True)), key=repr)
     assert pairs(got.select("doc_id", simhash.hex_digits(F.col("fp")), "component_id")) == want
     assert simhash.near_duplicates(empty, ["doc_id"]).count() == 0
+    clash = simhash.near_duplicates(docs.withColumn("_text", F.lit("t")), ["doc_id", "_text", "fp"]).collect()
+    assert sorted((tuple(r)[:4] for r in clash), key=repr) == sorted(((d, "t", 1, f - (1 << 64) if f >> 63 else f) for (d, _), f in zip(rows, fps, strict=True)), key=repr)
 
 
 def test_tiles_lose_no_link_and_emit_no_clique(spark):

@@ -64,6 +64,37 @@ def test_one_of_each_component_whatever_its_ids(spark):
     assert (7, one) in kept and (7, two) in kept  # one id, two components
 
 
+def test_stages_with_nulls_and_without_rows(spark, tmp_path):
+    """Rows without id, source or language, repeated ones, a clashing extra column; and no row at all."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, fp string"
+    word = lambda k, n: " ".join(f"w{(k * 7919 + i * 104729) % 5003}" for i in range(n))
+    rows = [(None if k % 5 == 0 else k % 30, word(k % 40, 30 + k % 40), None, None if k % 3 == 0 else f"s{k % 2}", None, "x") for k in range(120)]
+    rows += [(1, None, "en", "s1", 0, "x"), (None, "", None, None, None, None), (2, word(99, 25) + " token=abcdefgh1234", "en", None, 9, "x")]
+    for name, some in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(some, schema)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            before = docs
+            stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}{k}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{k}")
+            if k < 4:
+                assert docs.columns == corpus_pipeline.COLUMNS
+            if name == "none":
+                assert docs.count() == 0
+            elif k == 0:
+                assert docs.count() == 121  # all but the two without words
+            elif k == 1:
+                # 40 texts (of equal text all rows but one go) and the one with a secret
+                assert docs.count() == 41 and docs.select("text").distinct().count() == 41
+            elif k == 2:
+                assert docs.count() == before.count() and docs.where("text like '%[SECRET]%'").count() == 1
+            elif k == 3:
+                size, taken = (df.selectExpr("sum(size(split(text, ' ')))").first()[0] for df in (before, docs))
+                assert abs(taken - 1.5 * size) < 250
+            else:
+                per_doc = before.selectExpr("count(*)").first()[0]
+                assert docs.where("piece = 0").count() == per_doc and docs.groupBy("sequence_id").sum("length").agg({"sum(length)": "max"}).first()[0] <= 4096
+
+
 def test_sql_of_the_queries(spark):
     con = duckdb.connect()
     for t in ("documents", "embeddings"):
