@@ -4,6 +4,12 @@ Every stage takes all rows that the one before it kept and its decisions take ef
 documents and all but one of each near-duplicate group go, secrets' values are replaced, documents
 are left out or repeated as the mix says, and what remains is packed. All but the last return the
 columns of documents.
+
+Defined cases: a NULL, empty or short text fails the quality rules. NULL ids are ids like others, and
+rows are told apart by all their columns; rows equal in every column are near-duplicates of each other,
+and copies that the mix makes are packed as documents of their own. A NULL source is a source of its
+own, the last. Extra columns are dropped by the first stage. An empty table passes through every
+stage and gives no row.
 """
 
 from __future__ import annotations
