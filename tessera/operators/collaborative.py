@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.dense import sparse_topk
 from tessera.operators.ranking import topk_per_group
 
 
@@ -73,16 +74,43 @@ def profile_scores(profile: DataFrame, edges: DataFrame) -> DataFrame:
     return scored.join(profile, ["row", "item"], "left_anti")
 
 
-def row_similarity(profile: DataFrame, rows: DataFrame, weights: DataFrame | None = None, k: int = 50) -> DataFrame:
-    """row, other, sim: the k most similar other rows: the sum of shared items' weights (1 without `weights`) over both weighted lengths."""
+def row_similarity(profile: DataFrame, rows: DataFrame, weights: DataFrame | None = None, k: int = 50, common: int = 1000) -> DataFrame:
+    """row, other, sim: the k most similar other rows: the sum of shared items' weights (1 without `weights`) over both weighted lengths.
+
+    Items of at most `common` rows are joined first; that costs at most `common` times the rows. What a
+    row can share through its commoner items alone is at most the root of their squared weights over its
+    length and the least of them; where that is below its k-th similarity so far, only the pairs already
+    met can be among the k, and their common items are counted by comparing sets. The other rows meet all
+    rows through all their items: the exact way for the rest, which grows with the square of a common
+    item's rows.
+    """
     w = weights if weights is not None else rows.select("item").distinct().withColumn("weight", F.lit(1.0))
-    heavy = rows.join(w, "item")
-    length = heavy.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("len"))
-    mine = profile.join(w, "item")
-    my_length = mine.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("my_len"))
-    dots = mine.select("row", "item", F.col("weight").alias("ww")).join(rows.select(F.col("row").alias("other"), "item"), "item").where("row <> other").groupBy("row", "other").agg(F.sum("ww").alias("d"))
-    sims = dots.join(my_length, "row").join(length.select(F.col("row").alias("other"), "len"), "other").select("row", "other", F.try_divide(F.col("d"), F.col("my_len") * F.col("len")).alias("sim"))
-    return topk_per_group(sims.where("sim > 0"), ["row"], [F.round("sim", 9).desc(), F.col("other")], k)
+    df = item_counts(rows)
+    w = w.join(df, "item").select("item", "weight", (F.col("df") > common).alias("common"))
+    heavy, mine = rows.join(w, "item"), profile.join(w, "item")
+    length = heavy.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("len")).select(F.col("row").alias("other"), "len")
+    parts = mine.groupBy("row").agg(F.sqrt(F.sum(F.col("weight") ** 2)).alias("my_len"), F.sum(F.when(F.col("common"), F.col("weight") ** 2).otherwise(0.0)).alias("shared"), F.coalesce(F.min(F.when(F.col("common"), F.col("weight"))), F.lit(1.0)).alias("least"))
+    others = heavy.select(F.col("row").alias("other"), "item", "common")
+
+    def sims(dots: DataFrame) -> DataFrame:
+        return dots.join(parts.select("row", "my_len"), "row").join(length, "other").select("row", "other", F.try_divide(F.col("d"), F.col("my_len") * F.col("len")).alias("sim"))
+
+    def dots(asking: DataFrame, held: DataFrame) -> DataFrame:
+        pairs = asking.select("row", "item", "weight").join(held.select("other", "item"), "item").where("row <> other")
+        return pairs.groupBy("row", "other").agg(F.sum("weight").alias("d"))
+
+    best = [F.round("sim", 9).desc(), F.col("other")]
+    if df.where(F.col("df") > common).isEmpty():
+        return topk_per_group(sims(dots(mine, others)).where("sim > 0"), ["row"], best, k)
+    some = dots(mine.where(~F.col("common")), others.where(~F.col("common")))
+    worst = topk_per_group(sims(some), ["row"], best, k).groupBy("row").agg(F.when(F.count("*") >= k, F.min("sim")).alias("kth"))
+    settled = parts.join(worst, "row").where(F.sqrt("shared") / (F.col("my_len") * F.col("least")) < F.col("kth") - 1e-9).select("row")
+    held = lambda r, name: r.where("common").groupBy(F.col(name)).agg(F.collect_set(F.struct("item", "weight")).alias(f"_{name}"))
+    near = some.join(settled, "row").join(held(mine, "row"), "row", "left").join(held(heavy.withColumnRenamed("row", "other"), "other"), "other", "left")
+    more = F.aggregate(F.array_intersect("_row", "_other"), F.lit(0.0), lambda s, x: s + x["weight"])
+    near = near.select("row", "other", (F.col("d") + F.coalesce(more, F.lit(0.0))).alias("d"))
+    far = dots(mine.join(settled, "row", "left_anti"), others)
+    return topk_per_group(sims(near.unionByName(far)).where("sim > 0"), ["row"], best, k)
 
 
 def user_knn(profile: DataFrame, rows: DataFrame, k: int = 50) -> DataFrame:
@@ -108,12 +136,20 @@ def session_knn(profile: DataFrame, rows: DataFrame, k: int = 50) -> DataFrame:
     return scored.join(idf, "item").join(profile, ["row", "item"], "left_anti").select("row", "item", (F.col("s") * F.col("weight")).alias("score"))
 
 
+def following(inter: DataFrame, reach: int, group: str = "session_id", item: str = "track_id", turn: str = "turn") -> DataFrame:
+    """i, j, gap: every pair of turns 1 to `reach` apart in one group, in order.
+
+    A range frame over the group's turns: each row meets the few that follow it, so a long group costs
+    its length times `reach`, and the rows stay where the turns were numbered.
+    """
+    ahead = Window.partitionBy(group).orderBy(turn).rangeBetween(1, reach)
+    rows = inter.select(F.col(item).alias("i"), F.col(turn).alias("_t"), F.collect_list(F.struct(F.col(item).alias("j"), F.col(turn).alias("t"))).over(ahead).alias("_next"))
+    return rows.select("i", "_t", F.inline("_next")).select("i", "j", (F.col("t") - F.col("_t")).alias("gap"))
+
+
 def sequential_rules(inter: DataFrame, reach: int = 10, group: str = "session_id") -> DataFrame:
     """i, j, w: the sum of 1 / (distance in turns) over pairs of turns up to `reach` apart in one session."""
-    a = inter.select(group, F.col("turn").alias("t1"), F.col("track_id").alias("i"))
-    b = inter.select(group, F.col("turn").alias("t2"), F.col("track_id").alias("j"))
-    pairs = a.join(b, group).where((F.col("t2") > F.col("t1")) & (F.col("t2") - F.col("t1") <= reach))
-    return pairs.groupBy("i", "j").agg(F.sum(1 / (F.col("t2") - F.col("t1"))).alias("w"))
+    return following(inter, reach, group).groupBy("i", "j").agg(F.sum(1 / F.col("gap")).alias("w"))
 
 
 def content_blocks(tracks: DataFrame, plays: DataFrame) -> DataFrame:
@@ -134,16 +170,13 @@ def content_blocks(tracks: DataFrame, plays: DataFrame) -> DataFrame:
     return t.select(F.col("track_id").alias("item"), F.inline(features)).where(F.col("feature").isNotNull())
 
 
-def content_cosine(features: DataFrame, shrink: float = 0.0) -> DataFrame:
-    """i, j, w: cosine of items' binary features, over 1 + shrink. Items with no common feature have no edge.
+def content_neighbours(features: DataFrame, k: int, shrink: float = 0.0) -> DataFrame:
+    """i, j, w, rank: the k items of largest cosine of binary features, over 1 + shrink; items with no common feature have no edge.
 
-    The cost is that of the most common feature's items squared; drop features that most items have.
+    All features count, however common: items meet in blocks (sparse_topk), not through postings.
     """
-    f = features.select("item", F.concat_ws(":", "block", "feature").alias("f")).distinct()
-    size = f.groupBy("item").agg(F.count("*").alias("s"))
-    pairs = f.select(F.col("item").alias("i"), "f").join(f.select(F.col("item").alias("j"), "f"), "f").where("i <> j").groupBy("i", "j").agg(F.count("*").alias("n"))
-    joined = pairs.join(size.select(F.col("item").alias("i"), F.col("s").alias("si")), "i").join(size.select(F.col("item").alias("j"), F.col("s").alias("sj")), "j")
-    return joined.select("i", "j", (F.col("n") / F.sqrt(F.col("si") * F.col("sj")) / (1 + shrink)).alias("w"))
+    held = features.groupBy(F.col("item").alias("id")).agg(F.collect_set(F.concat_ws(":", "block", "feature")).alias("features"))
+    return sparse_topk(held, k).select(F.col("query_id").alias("i"), F.col("id").alias("j"), (F.col("score") / (1 + shrink)).alias("w"), "rank")
 
 
 def graph_propagation(rows: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -156,15 +189,29 @@ def graph_propagation(rows: DataFrame, vectors: DataFrame) -> DataFrame:
     return of_items.groupBy("item").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "x"))), lambda s: s["x"]).alias("vector"))
 
 
-def popularity_window(inter: DataFrame, days: int) -> DataFrame:
-    """session_date, track_id, plays: plays in the `days` days before each date on which a session starts.
+def popularity_steps(inter: DataFrame, days: int | None) -> DataFrame:
+    """track_id, plays, first, last: the dates between which a track's plays of the `days` days before a date stay the same.
 
-    Plays are counted by day first; each count then goes to the dates it is seen from.
+    A play counts from the day after it until `days` days after it (for ever for None), so the counts
+    are running sums of what comes and goes; each track has at most two steps a day of its plays,
+    whatever the length of the window. Steps without a play are left out; an open step has no last.
     """
-    daily = inter.groupBy("session_date", "track_id").agg(F.count("*").alias("n"))
-    ahead = daily.select(F.explode(F.sequence(F.date_add("session_date", 1), F.date_add("session_date", days))).alias("session_date"), "track_id", "n")
-    dates = inter.select("session_date").distinct()
-    return ahead.join(dates, "session_date", "left_semi").groupBy("session_date", "track_id").agg(F.sum("n").alias("plays"))
+    daily = inter.where(F.col("session_date").isNotNull()).groupBy("session_date", "track_id").agg(F.count("*").alias("n"))
+    change = lambda day, n: F.struct(F.date_add("session_date", day).alias("first"), n.alias("n"))
+    changes = [change(1, F.col("n"))] + ([change(days + 1, -F.col("n"))] if days is not None else [])
+    steps = daily.select("track_id", F.inline(F.array(*changes))).groupBy("track_id", "first").agg(F.sum("n").alias("n"))
+    by_day = Window.partitionBy("track_id").orderBy("first")
+    steps = steps.select("track_id", "first", F.date_sub(F.lead("first").over(by_day), 1).alias("last"), F.sum("n").over(by_day).alias("plays"))
+    return steps.where("plays > 0")
+
+
+def popularity_window(inter: DataFrame, days: int | None) -> DataFrame:
+    """session_date, track_id, plays: plays in the `days` days (all for None) before each date on which a session starts."""
+    dates = inter.select("session_date").where(F.col("session_date").isNotNull()).distinct()
+    end = F.broadcast(dates.agg(F.max("session_date").alias("_end")))
+    steps = popularity_steps(inter, days).crossJoin(end).withColumn("last", F.least(F.coalesce("last", "_end"), "_end")).where(F.col("first") <= F.col("last"))
+    each = steps.select(F.explode(F.sequence("first", "last")).alias("session_date"), "track_id", "plays")
+    return each.join(dates, "session_date", "left_semi")
 
 
 def popularity_fallback(inter: DataFrame, tracks: DataFrame) -> DataFrame:

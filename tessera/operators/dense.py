@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import cosine, dot, norm
+from tessera.functions.columns import cosine, norm
 from tessera.operators.ranking import topk_per_group
 
 
@@ -44,43 +44,134 @@ def pair_cosines(pairs: DataFrame, vectors: DataFrame, a: str, b: str, key: str,
     return pairs.join(left, a, "left").join(right, b, "left").withColumn("cosine", cosine("_va", "_vb")).drop("_va", "_vb")
 
 
+def _matrix(column: pa.ChunkedArray, rows: np.ndarray) -> np.ndarray:
+    """The vectors of some rows, from Arrow's flat values."""
+    flat = column.take(pa.array(np.flatnonzero(rows))).combine_chunks().flatten()
+    return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(int(rows.sum()), -1)
+
+
+def best_columns(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column numbers of the k largest finite scores of each row, ties to smaller ids."""
+    n, k = scores.shape[1], min(k, scores.shape[1])
+    least = np.partition(scores, n - k, axis=1)[:, n - k]
+    row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+    order = np.lexsort((ids[col], -scores[row, col], row))
+    row, col = row[order], col[order]
+    first = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(scores)))])
+    top = np.arange(len(row)) - first[row] < k
+    return row[top], col[top]
+
+
+def _found(qi: np.ndarray, xi: np.ndarray, scores: np.ndarray, k: int) -> pa.Table:
+    row, col = best_columns(scores, xi, k) if scores.size else (np.zeros(0, int), np.zeros(0, int))
+    columns = [pa.array(qi[row], pa.int64()), pa.array(xi[col], pa.int64()), pa.array(scores[row, col], pa.float64())]
+    return pa.Table.from_arrays(columns, names=["query_id", "id", "score"])
+
+
 def best_in_block(k: int):
     """Arrow function of one block pair (id, vector, asks): the k best rows of each query, by product."""
 
     def run(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids = table.column("id").to_numpy()
-        vectors = np.array(table.column("vector").to_pylist(), np.float64).reshape(len(ids), -1)
-        q, x, qi, xi = vectors[asks], vectors[~asks], ids[asks], ids[~asks]
-        out_q, out_x, out_s = [], [], []
-        for row, own in zip(q, qi, strict=True) if len(x) else ():
-            s = np.round(x @ row, 9)
-            s[xi == own] = -np.inf
-            order = np.lexsort((xi, -s))[:k]
-            order = order[np.isfinite(s[order])]
-            out_q.append(np.full(len(order), own))
-            out_x.append(xi[order])
-            out_s.append(s[order])
-        join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
-        return pa.Table.from_arrays([join(out_q, pa.int64()), join(out_x, pa.int64()), join(out_s, pa.float64())], names=["query_id", "id", "score"])
+        asks, ids = table.column("asks").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
+        qi, xi = ids[asks], ids[~asks]
+        scores = np.round(_matrix(table.column("vector"), asks) @ _matrix(table.column("vector"), ~asks).T, 9) if asks.any() and not asks.all() else np.zeros((len(qi), len(xi)))
+        scores[qi[:, None] == xi[None, :]] = -np.inf
+        return _found(qi, xi, scores, k)
 
     return run
 
 
+def best_sets_in_block(k: int):
+    """Arrow function of one block pair (id, features, asks): the k sets of largest cosine above 0 for each query's."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks, ids = table.column("asks").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
+        lists = table.column("features").combine_chunks()
+        size = np.diff(lists.offsets.to_numpy())
+        coded = lists.flatten().dictionary_encode()
+        held = np.zeros((len(ids), len(coded.dictionary)), np.float32)
+        held[np.repeat(np.arange(len(ids)), size), coded.indices.to_numpy()] = 1
+        qi, xi = ids[asks], ids[~asks]
+        shared = (held[asks] @ held[~asks].T).astype(np.float64)
+        scores = np.where(shared > 0, np.round(shared / np.sqrt(np.maximum(size[asks][:, None] * size[~asks][None, :], 1)), 9), -np.inf)
+        scores[qi[:, None] == xi[None, :]] = -np.inf
+        return _found(qi, xi, scores, k)
+
+    return run
+
+
+def _in_blocks(queries: DataFrame, rows: DataFrame, value: str, block: int) -> DataFrame:
+    """Queries and rows dealt into block pairs (qb, xb): id, value and whether it asks."""
+    nq, nx = max(1, -(-queries.count() // block)), max(1, -(-rows.count() // block))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    ask = queries.select("id", value, F.lit(True).alias("asks"), part(nq).alias("qb"), every(nx).alias("xb"))
+    stand = rows.select("id", value, F.lit(False).alias("asks"), every(nq).alias("qb"), part(nx).alias("xb"))
+    return ask.unionByName(stand)
+
+
 def dense_topk(queries: DataFrame, tower: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """query_id, id, score, rank: the k rows of the tower (id, vector) of largest product for every query (id, vector), itself left out.
 
     Scores count at nine digits, ties go to the smaller id.
     """
-    nq, nx = max(1, -(-queries.count() // block)), max(1, -(-tower.count() // block))
-    part = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    ask = queries.select("id", "vector", F.lit(True).alias("asks"), part(nq).alias("qb"), every(nx).alias("xb"))
-    stand = tower.select("id", "vector", F.lit(False).alias("asks"), every(nq).alias("qb"), part(nx).alias("xb"))
-    found = ask.unionByName(stand).groupBy("qb", "xb").applyInArrow(best_in_block(k), "query_id long, id long, score double")
+    found = _in_blocks(queries, tower, "vector", block).groupBy("qb", "xb").applyInArrow(best_in_block(k), "query_id long, id long, score double")
     return topk_per_group(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
+def best_outside_in_block(k: int):
+    """Arrow function of one block pair (id, vector, label, asks): as best_in_block, without rows of the label a query is away from."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks, ids = table.column("asks").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
+        label = table.column("label").to_numpy(zero_copy_only=False)
+        qi, xi = ids[asks], ids[~asks]
+        scores = np.round(_matrix(table.column("vector"), asks) @ _matrix(table.column("vector"), ~asks).T, 9) if asks.any() and not asks.all() else np.zeros((len(qi), len(xi)))
+        scores[(qi[:, None] == xi[None, :]) | (label[asks][:, None] == label[~asks][None, :])] = -np.inf
+        return _found(qi, xi, scores, k)
+
+    return run
+
+
+def dense_topk_outside(queries: DataFrame, tower: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """dense_topk of queries (id, vector, away) over rows (id, vector, label), without rows whose label is the query's `away`."""
+    pack = lambda df, label: df.select("id", F.struct("vector", F.col(label).cast("long").alias("label")).alias("v"))
+    rows = _in_blocks(pack(queries, "away"), pack(tower, "label"), "v", block).select("id", "v.vector", "v.label", "asks", "qb", "xb")
+    found = rows.groupBy("qb", "xb").applyInArrow(best_outside_in_block(k), "query_id long, id long, score double")
+    return topk_per_group(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+
+
+def sparse_topk(sets: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """query_id, id, score, rank: the k other sets (id, features) of largest cosine above 0 for every set, at nine digits.
+
+    A block's features get numbers of their own, so the products are as wide as a block pair needs.
+    """
+    found = _in_blocks(sets, sets, "features", block).groupBy("qb", "xb").applyInArrow(best_sets_in_block(k), "query_id long, id long, score double")
+    return topk_per_group(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+
+
+def largest_in_block(asks: pa.Table, stand: pa.Table) -> pa.Table:
+    """Arrow function of one group's block pair: the largest product of each asking vector with the others."""
+    if not asks.num_rows or not stand.num_rows:
+        return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", "score"])
+    every = lambda t: _matrix(t.column("vector"), np.ones(t.num_rows, bool))
+    return pa.Table.from_arrays([asks.column("id").combine_chunks(), pa.array((every(asks) @ every(stand).T).max(axis=1))], names=["id", "score"])
+
+
+def max_similarity_to_group(asks: DataFrame, rows: DataFrame, group: str, block: int = 2048) -> DataFrame:
+    """id, max_similarity: the largest product of each row of asks (id, vector, group) with the rows (vector, group) of its group.
+
+    Groups are cut into blocks by a hash, so one of any size is shared by tasks; no pair becomes a row.
+    """
+    na, nx = max(1, -(-asks.count() // block)), max(1, -(-rows.count() // block))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = asks.select("id", "vector", group, F.pmod(F.xxhash64("id"), F.lit(na)).alias("qb"), every(nx).alias("xb"))
+    right = rows.select("vector", group, every(na).alias("qb"), F.pmod(F.xxhash64("vector"), F.lit(nx)).alias("xb"))
+    keys = [group, "qb", "xb"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(largest_in_block, "id long, score double")
+    return found.groupBy("id").agg(F.max("score").alias("max_similarity"))
+
+
 def max_similarity(pairs: DataFrame, keys: list[str], score: str) -> DataFrame:
     """keys, max_similarity: the largest over a set, missing ones left out."""
     return pairs.groupBy(*keys).agg(F.max(score).alias("max_similarity"))
@@ -93,6 +184,3 @@ def pca(df: DataFrame, vector: str, k: int) -> DataFrame:
 
     rows = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))
     return PCA(k=k, inputCol="_v", outputCol="_c").fit(rows).transform(rows).withColumn("components", vector_to_array("_c")).drop("_v", "_c")
-
-
-__all__ = ["best_in_block", "centroid", "dense_topk", "dot", "max_similarity", "norm_check", "normalised", "pair_cosines", "pca"]

@@ -48,22 +48,42 @@ def last_turn_dynamics(inter: DataFrame, tracks: DataFrame) -> DataFrame:
 
 
 def overlap(candidates: DataFrame, history: DataFrame, tracks: DataFrame) -> DataFrame:
-    """Candidates (session_id, turn, track_id) against earlier turns: plays of their artist and album, tags known and new, popularity z."""
-    before = history.select("session_id", F.col("turn").alias("_t"), "track_id").join(tracks, "track_id", "left")
-    seen = candidates.select("session_id", "turn").distinct().join(before, "session_id").where(F.col("_t") < F.col("turn"))
-    keys = ["session_id", "turn"]
-    length = seen.groupBy(*keys).agg(F.count("*").alias("length"), F.avg("popularity").alias("_m"), F.stddev_samp("popularity").alias("_s"), F.array_distinct(F.flatten(F.collect_set("tags"))).alias("_tags"))
-    artist = seen.groupBy(*keys, "artist").agg(F.count("*").alias("artist_count"))
-    album = seen.groupBy(*keys, "album").agg(F.count("*").alias("album_count"))
-    rows = candidates.join(tracks, "track_id", "left").join(length, keys, "left").join(artist, [*keys, "artist"], "left").join(album, [*keys, "album"], "left")
-    n, z = F.coalesce("length", F.lit(0)), lambda c: F.coalesce(c, F.lit(0))
-    known = F.size(F.array_intersect(F.coalesce("tags", F.array().cast("array<string>")), F.coalesce("_tags", F.array().cast("array<string>"))))
+    """Candidates (session_id, turn, track_id) against earlier turns: plays of their artist and album, tags known and new, popularity z.
+
+    History and candidates stand in one table, so what came before a turn is a running count over it and
+    no session is joined with itself; a tag is known where the session first met it in an earlier turn.
+    """
+    held, asked = history.select("session_id", "turn", "track_id", F.lit(1).alias("_h")), candidates.select("session_id", "turn", "track_id", F.lit(0).alias("_h"))
+    rows = held.unionByName(asked).join(tracks.select("track_id", "artist", "album", "popularity", "tags"), "track_id", "left")
+    before = lambda *keys: Window.partitionBy("session_id", *keys).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
+    count = lambda *keys: F.coalesce(F.sum("_h").over(before(*keys)), F.lit(0))
+    pop = F.when(F.col("_h") == 1, F.col("popularity"))
+    rows = rows.withColumns({"_n": count(), "_m": F.avg(pop).over(before()), "_s": F.stddev_samp(pop).over(before())}).withColumns({"artist_count": count("artist"), "album_count": count("album")})
+    rows = rows.withColumns({c: F.when(F.col(k).isNotNull(), F.col(c)).otherwise(0) for k, c in (("artist", "artist_count"), ("album", "album_count"))})
+    first = held.join(tracks.select("track_id", F.explode("tags").alias("tag")), "track_id").groupBy("session_id", "tag").agg(F.min("turn").alias("_f"))
+    each = asked.select("session_id", "turn", "track_id").distinct().join(tracks.select("track_id", F.explode("tags").alias("tag")), "track_id").join(first, ["session_id", "tag"], "left")
+    known = each.groupBy("session_id", "turn", "track_id").agg(F.count_if(F.col("_f") < F.col("turn")).alias("_known"))
+    rows = rows.where("_h = 0").join(known, ["session_id", "turn", "track_id"], "left")
+    k = F.coalesce("_known", F.lit(0))
     return rows.select(
-        *keys, "track_id", z("artist_count").alias("artist_count"), z("album_count").alias("album_count"), (z("artist_count") / (n + 1)).alias("artist_share"), (z("album_count") > 0).alias("album_seen"),
-        known.cast("long").alias("tags_known"), (F.size("tags") - known).cast("long").alias("tags_new"), ((F.col("popularity") - F.col("_m")) / (F.col("_s") + 1e-6)).alias("session_pop_z"),
+        "session_id", "turn", "track_id", "artist_count", "album_count", (F.col("artist_count") / (F.col("_n") + 1)).alias("artist_share"), (F.col("album_count") > 0).alias("album_seen"),
+        k.alias("tags_known"), (F.size("tags") - k).cast("long").alias("tags_new"), ((F.col("popularity") - F.col("_m")) / (F.col("_s") + 1e-6)).alias("session_pop_z"),
     )
 
 
+def turn_position(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Add turn_share (turn over the group's last) and above_median (value less the group's median)."""
+    stats = df.groupBy(*group).agg(F.max("turn").alias("_t"), F.median(value).alias("_m"))
+    return df.join(stats, group).withColumns({"turn_share": F.col("turn") / F.col("_t"), "above_median": F.col(value) - F.col("_m")}).drop("_t", "_m")
+
+
+def imputed_stats(history: DataFrame, tracks: DataFrame, columns: list[str]) -> DataFrame:
+    """session_id, mean_ and std_ (population) of each column over a session's tracks, unknown values as the catalogue's median."""
+    middle = tracks.agg(*[F.median(c).alias(f"_m_{c}") for c in columns])
+    rows = history.join(tracks, "track_id", "left").crossJoin(F.broadcast(middle)).withColumns({c: F.coalesce(c, f"_m_{c}") for c in columns})
+    return rows.groupBy("session_id").agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+
+
 def one_hot(df: DataFrame, column: str, values: list[str]) -> DataFrame:
     return df.withColumns({f"{column}_{v}": F.coalesce(F.col(column) == v, F.lit(False)).cast("long") for v in values})
 

@@ -11,20 +11,33 @@ from tessera.functions.columns import words_of
 from tessera.operators.ranking import topk_per_group
 
 
-def postings(docs: DataFrame, key: str, text: Column) -> DataFrame:
-    """key, term, tf."""
-    return docs.select(F.col(key), F.explode(words_of(text)).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
+def postings(docs: DataFrame, key: str, text: Column, grams: int = 1) -> DataFrame:
+    """key, term, tf: words, and for grams = 2 pairs of successive words too."""
+    words = docs.select(F.col(key), words_of(text).alias("_w"))
+    terms = F.col("_w")
+    if grams == 2:
+        n = F.greatest(F.size("_w") - 1, F.lit(0))
+        terms = F.concat(terms, F.zip_with(F.slice("_w", 1, n), F.slice("_w", 2, n), lambda a, b: F.concat_ws(" ", a, b)))
+    return words.select(key, F.explode(terms).alias("term")).groupBy(key, "term").agg(F.count("*").alias("tf"))
 
 
 def _df(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def tfidf_weights(posts: DataFrame, key: str, idf: DataFrame) -> DataFrame:
-    """key, term, w: (1 + ln tf) * idf, scaled to length 1 per key."""
+def _of(posts: DataFrame, terms: DataFrame | None) -> DataFrame:
+    """The postings of some terms (all for None)."""
+    return posts if terms is None else posts.join(terms.select("term").distinct(), "term", "left_semi")
+
+
+def tfidf_weights(posts: DataFrame, key: str, idf: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """key, term, w: (1 + ln tf) * idf, scaled to length 1 per key; for the given terms alone where there are any.
+
+    Lengths need every term; only the wanted terms' weights meet them.
+    """
     w = posts.join(idf, "term").select(key, "term", ((1 + F.log("tf")) * F.col("idf")).alias("w"))
     length = w.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("len"))
-    return w.join(length, key).select(key, "term", (F.col("w") / F.col("len")).alias("w"))
+    return _of(w, terms).join(length, key).select(key, "term", (F.col("w") / F.col("len")).alias("w"))
 
 
 def smooth_idf(posts: DataFrame, n: DataFrame) -> DataFrame:
@@ -32,16 +45,36 @@ def smooth_idf(posts: DataFrame, n: DataFrame) -> DataFrame:
     return _df(posts).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
 
 
-def bm25_weights(posts: DataFrame, key: str, n: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """key, term, w: BM25 weight of a term in a document; the mean length is over documents with a term."""
+def bm25_weights(posts: DataFrame, key: str, n: DataFrame, k1: float = 1.5, b: float = 0.75, terms: DataFrame | None = None) -> DataFrame:
+    """key, term, w: BM25 weight of a term in a document, for the given terms alone where there are any.
+
+    Lengths, and their mean over documents with a term, count every term.
+    """
     length = posts.groupBy(key).agg(F.sum("tf").alias("dl"))
     mean = length.agg(F.avg("dl").alias("mean_dl"))
-    rows = posts.join(_df(posts), "term").join(length, key).crossJoin(F.broadcast(n.crossJoin(mean)))
+    some = _of(posts, terms)
+    rows = some.join(_df(some), "term").join(length, key).crossJoin(F.broadcast(n.crossJoin(mean)))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     tf = F.col("tf")
     return rows.select(key, "term", (tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("mean_dl"))) * idf).alias("w"))
 
 
+def repeated_fields(fields: list[tuple[Column, int]]) -> Column:
+    """One text of several fields, each repeated by its weight."""
+    return F.concat_ws(" ", *[F.coalesce(f, F.lit("")) for f, times in fields for _ in range(times)])
+
+
+def weighted_terms(parts: list[DataFrame], key: str) -> DataFrame:
+    """key, term, tf: the postings of several texts added up, each (key, term, tf) with its own weight in `weight`."""
+    every = reduce(DataFrame.unionByName, [p.select(key, "term", (F.col("tf") * F.col("weight")).alias("tf")) for p in parts])
+    return every.groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+
+
+def most_frequent_terms(posts: DataFrame, most: int) -> DataFrame:
+    """term, df: the `most` terms of largest total count (ties to the smaller term), with their document counts."""
+    return posts.groupBy("term").agg(F.sum("tf").alias("_n"), F.count("*").alias("df")).orderBy(F.col("_n").desc(), "term").limit(most).select("term", "df")
+
+
 def match(queries: DataFrame, query_key: str, docs: DataFrame, key: str, k: int) -> DataFrame:
     """query_key, key, score, rank: the k best documents by the sum of products of shared terms' weights.
 
@@ -127,6 +160,39 @@ def jaccard_pairs(sets: DataFrame, key: str, k: int, seed_df: int) -> DataFrame:
     return j.orderBy(F.round("jaccard", 9).desc(), "x", "y").limit(k)
 
 
+def overlapping_batch(grams: DataFrame, key: str, size: int, seed_df: int = 200) -> DataFrame:
+    """position, key, overlap: the pair of texts of largest cosine of gram counts, then, one by one, the text of the largest sum of cosines with those chosen.
+
+    Rows are (key, gram, n). The pair comes from an inverted index: the best cosine through grams of at most
+    `seed_df` texts bounds it from below; with grams ordered from the rarest, two vectors that reach the bound
+    share one where both still have enough of their squared length before them. Each further text is one
+    aggregation over the postings; only the chosen keys, `size` of them, pass the driver. Ties go to smaller keys.
+    """
+    by = Window.partitionBy(key)
+    v = grams.join(grams.groupBy("gram").agg(F.count("*").alias("df")), "gram")
+    v = v.withColumns({"_all": F.sum(F.col("n") * F.col("n")).over(by), "_upto": F.sum(F.col("n") * F.col("n")).over(by.orderBy("df", "gram").rowsBetween(Window.unboundedPreceding, 0))})
+    v = v.select(key, "gram", "df", (F.col("n") / F.sqrt("_all")).alias("w"), ((F.col("_upto") - F.col("n") * F.col("n")) / F.col("_all")).alias("before"))
+    side = lambda rows, n: rows.select(F.col(key).alias(n), "gram", F.col("w").alias(f"w{n}"))
+    joined = lambda rows: side(rows, "x").join(side(rows, "y"), "gram").where("x < y").groupBy("x", "y").agg(F.sum(F.col("wx") * F.col("wy")).alias("s"))
+    bound = joined(v.where(F.col("df") <= seed_df)).agg(F.coalesce(F.max("s"), F.lit(0.0)).alias("_t"))
+    early = v.crossJoin(F.broadcast(bound)).where(F.col("before") <= 1 - F.col("_t") ** 2 + 1e-9)
+    pairs = joined(early).select("x", "y")
+    whole = pairs.join(side(v, "x"), "x").join(side(v, "y"), ["y", "gram"]).groupBy("x", "y").agg(F.round(F.sum(F.col("wx") * F.col("wy")), 9).alias("s"))
+    best = whole.orderBy(F.col("s").desc(), "x", "y").first()
+    chosen = [] if best is None else [(best["x"], best["s"]), (best["y"], best["s"])]
+    while chosen and len(chosen) < size:
+        held = [k for k, _ in chosen]
+        of_batch = v.where(F.col(key).isin(held)).groupBy("gram").agg(F.sum("w").alias("_b"))
+        rest = v.where(~F.col(key).isin(held)).join(of_batch, "gram", "left")
+        sums = rest.groupBy(key).agg(F.round(F.coalesce(F.sum(F.col("w") * F.col("_b")), F.lit(0.0)), 9).alias("s"))
+        found = sums.orderBy(F.col("s").desc(), key).first()
+        if found is None:
+            break
+        chosen.append((found[key], found["s"]))
+    spark, kind = grams.sparkSession, dict(grams.dtypes)[key]
+    return spark.createDataFrame([(n + 1, k, s) for n, (k, s) in enumerate(chosen)], f"position long, `{key}` {kind}, overlap double")
+
+
 def prefixes(turns: DataFrame, session: str, turn: str, role: str, text: str) -> DataFrame:
     """For every user turn: the number of earlier turns and the text so far, the user's included."""
     so_far = Window.partitionBy(session).orderBy(turn).rowsBetween(Window.unboundedPreceding, 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.operators import catalogue as C
@@ -10,7 +11,7 @@ from tessera.operators import fusion, heuristic, learned
 from tessera.operators.ranking import topk_per_group
 from tessera.plans import fusion_queries as FQ
 from tessera.plans.collaborative_queries import PAIRS, ROWS
-from tessera.plans.sql import INTER, SESSIONS, TRACKS, with_
+from tessera.plans.sql import INTER, LIFT, SESSIONS, TRACKS, with_
 from tessera.sources import tables as T
 
 QUERIES, SQL = {}, {}
@@ -52,10 +53,6 @@ def external_merge(spark, d):
     return C.merge_external(part("price").where("rank <= 5"), [part("quantity"), part("recent")], ["user_id"], "track_id", 8, 3)
 
 
-LIFT = """p AS (SELECT category, tag, count(*) AS n FROM (SELECT session_id, unnest(tags) AS tag FROM inter JOIN tracks USING (track_id)) JOIN sessions USING (session_id) GROUP BY 1, 2),
-lift AS (SELECT category, tag, least((n / sum(n) OVER (PARTITION BY category)) / (sum(n) OVER (PARTITION BY tag) / sum(n) OVER ()), 20) AS lift FROM p)"""
-
-
 def _lift(spark, d):
     plays = T.interactions(spark, d).join(T.tracks(spark, d), "track_id").select("session_id", F.explode("tags").alias("tag")).join(T.sessions(spark, d), "session_id")
     return C.category_lift(plays, "category", "tag")
@@ -77,7 +74,7 @@ def category_lift_pool(spark, d):
 @_query("covariate_buckets", with_(INTER, TRACKS, "z AS (SELECT artist, count(*) AS z FROM tracks GROUP BY 1)", "s AS (SELECT session_id, user_id, min_by(z, turn) AS z, count(DISTINCT artist) AS a, bool_or(year IS NOT NULL) AS year_known FROM inter JOIN tracks USING (track_id) JOIN z USING (artist) GROUP BY 1, 2)",
     "o AS (SELECT *, count(*) OVER (PARTITION BY user_id) - 1 AS o FROM s)", body="SELECT session_id, CASE WHEN z <= 75 THEN 'low' WHEN z <= 85 THEN 'mid' ELSE 'high' END AS catalogue, CASE WHEN o <= 5 THEN 'low' WHEN o <= 12 THEN 'mid' ELSE 'high' END AS others, CASE WHEN a = 1 THEN 'mono' ELSE 'multi' END AS artists, year_known FROM o"))
 def covariate_buckets(spark, d):
-    return C.covariates(T.interactions(spark, d), T.tracks(spark, d))
+    return C.covariates(T.interactions(spark, d), T.tracks(spark, d), (75, 85), (5, 12))
 
 
 @_query("tie_aware_rank", with_(FQ.BASE, FQ.GT, "m AS (SELECT user_id, quantity AS g FROM lines JOIN g ON g.user_id = lines.user_id AND gt = track_id)", body="SELECT user_id, count(*) FILTER (quantity > g) + 1 AS gt_rank FROM lines JOIN m USING (user_id) GROUP BY 1").replace("SELECT user_id, quantity AS g FROM lines", "SELECT lines.user_id, quantity AS g FROM lines"))
@@ -122,12 +119,9 @@ def one_shot_rrf(spark, d):
 SELECT a.event_type AS i, b.event_type AS j, count(*) AS n, round(sum(1.0::DOUBLE / (b.t - a.t)), 4) AS w FROM e a JOIN e b ON a.user_id = b.user_id AND b.t > a.t AND b.t - a.t <= 3 GROUP BY 1, 2""")
 def events_sequence_rules(spark, d):
     """Which event types follow which within three steps of a user."""
-    from pyspark.sql import Window
-
-    e = T.table(spark, d, "events").withColumn("t", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).select("user_id", "event_type", "t")
-    pairs = e.select("user_id", F.col("event_type").alias("i"), F.col("t").alias("t1")).join(e.select("user_id", F.col("event_type").alias("j"), F.col("t").alias("t2")), "user_id")
-    pairs = pairs.where((F.col("t2") > F.col("t1")) & (F.col("t2") - F.col("t1") <= 3))
-    return pairs.groupBy("i", "j").agg(F.count("*").alias("n"), F.round(F.sum(1 / (F.col("t2") - F.col("t1"))), 4).alias("w"))
+    e = T.table(spark, d, "events").withColumn("t", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    pairs = cf.following(e, 3, "user_id", "event_type", "t")
+    return pairs.groupBy("i", "j").agg(F.count("*").alias("n"), F.round(F.sum(1 / F.col("gap")), 4).alias("w"))
 
 
 @_query("als_lists")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import collaborative as cf
@@ -114,12 +117,11 @@ def icm_blocks(spark, d):
     return _blocks(spark, d).groupBy("block", "feature").agg(F.count("*").alias("n"), F.sum("item").alias("items"))
 
 
-@_query("cbf_similarity_topk", with_(INTER, TRACKS, BLOCKS, """f AS (SELECT DISTINCT item, block || ':' || feature AS f FROM icm WHERE block IN ('album', 'decade')),
+@_query("cbf_similarity_topk", with_(INTER, TRACKS, BLOCKS, """f AS (SELECT DISTINCT item, block || ':' || feature AS f FROM icm),
 s AS (SELECT item, count(*) AS s FROM f GROUP BY 1),
 edges AS (SELECT a.item AS i, b.item AS j, count(*) / sqrt(any_value(x.s) * any_value(y.s)) AS w FROM f a JOIN f b ON a.f = b.f AND a.item <> b.item JOIN s x ON x.item = a.item JOIN s y ON y.item = b.item GROUP BY 1, 2)""", body=TOP.format(k=5)))
 def cbf_similarity_topk(spark, d):
-    f = _blocks(spark, d).where(F.col("block").isin("album", "decade"))
-    return _rounded(cf.top_neighbours(cf.content_cosine(f), 5), "w")
+    return _rounded(cf.content_neighbours(_blocks(spark, d), 5), "w")
 
 
 RULES = """rules AS (SELECT a.track_id AS i, b.track_id AS j, sum(1.0::DOUBLE / (b.turn - a.turn)) AS w
@@ -205,6 +207,22 @@ def top_popular_window(spark, d):
     return topk_per_group(cf.popularity_window(T.interactions(spark, d), 7), ["session_date"], [F.col("plays").desc(), F.col("track_id")], 10).withColumn("session_date", F.col("session_date").cast("string"))
 
 
+WINDOWS = {"7": 7, "28": 28, "182": 182, "365": 365, "1825": 1825, "all": None}
+
+
+@_query("popularity_windows", with_(INTER, """daily AS (SELECT session_date, track_id, count(*) AS n FROM inter GROUP BY 1, 2),
+p AS (SELECT d.session_date, track_id, """ + ", ".join(f"sum(n) FILTER (x.session_date >= d.session_date - {v if v else 99999})::BIGINT AS w{k}" for k, v in WINDOWS.items()) + """
+  FROM (SELECT DISTINCT session_date FROM inter) d JOIN daily x ON x.session_date < d.session_date GROUP BY 1, 2),
+w AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS days, session_date, track_id, w{k} AS plays FROM p WHERE w{k} > 0" for k in WINDOWS) + ")",
+    body="SELECT days, CAST(session_date AS VARCHAR) AS session_date, track_id, round(ln(1 + plays), 6) AS score, row_number() OVER (PARTITION BY days, session_date ORDER BY plays DESC, track_id) AS rank FROM w QUALIFY rank <= 3"))
+def popularity_windows(spark, d):
+    """The most played tracks of the last week, month, half year, year, five years and of all time, on every date."""
+    inter = T.interactions(spark, d)
+    each = reduce(DataFrame.unionByName, [cf.popularity_window(inter, v).withColumn("days", F.lit(k)) for k, v in WINDOWS.items()])
+    top = topk_per_group(each, ["days", "session_date"], [F.col("plays").desc(), F.col("track_id")], 3)
+    return top.select("days", F.col("session_date").cast("string").alias("session_date"), "track_id", F.round(F.log1p("plays"), 6).alias("score"), "rank")
+
+
 @_query("popularity_fallback", with_(INTER, TRACKS, body="SELECT track_id, year, round(ln(1 + count(*)), 6) AS score FROM inter JOIN tracks USING (track_id) WHERE year IS NOT NULL GROUP BY 1, 2"))
 def popularity_fallback(spark, d):
     return _rounded(cf.popularity_fallback(T.interactions(spark, d), T.tracks(spark, d)), "score")

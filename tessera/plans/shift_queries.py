@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessera.functions.columns import dot
-from tessera.operators import dense, heuristic, metrics, splits
+from tessera.operators import catalogue, dense, heuristic, metrics, splits
 from tessera.operators.ranking import topk_per_group
-from tessera.plans.sql import CONTEXT, INTER, SESSIONS, TRACKS, with_
+from tessera.plans.sql import CONTEXT, INTER, LIFT, SESSIONS, TRACKS, with_
 from tessera.sources import tables as T
 
 QUERIES, SQL = {}, {}
@@ -214,10 +214,10 @@ def session_centroid_cosine(spark, d):
 TOPK = "s AS (SELECT q.vec_id AS query_id, x.vec_id AS id, round(list_inner_product(q.e, x.e), 9) AS score FROM v q JOIN v x ON q.vec_id <> x.vec_id {where})"
 
 
-@_query("dense_topk", with_(V, TOPK.format(where="WHERE q.label = 3"), body="SELECT query_id, id, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY s.score DESC, id) AS rank FROM s QUALIFY rank <= 10"))
+@_query("dense_topk", with_(V, TOPK.format(where=""), body="SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 10"))
 def dense_topk(spark, d):
     v = _vectors(spark, d)
-    return _six(dense.dense_topk(v.where("label = 3"), v, 10), "score")
+    return dense.dense_topk(v, v, 10)
 
 
 @_query("item_item_embedding_topk", with_(V, TOPK.format(where="WHERE list_inner_product(q.e, x.e) > 0"), body="SELECT query_id AS i, id AS j, round(score, 6) AS w, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s QUALIFY rank <= 5"))
@@ -229,8 +229,9 @@ def item_item_embedding_topk(spark, d):
 @_query("max_similarity_to_group", with_(V, body="SELECT a.vec_id AS a, b.label, round(max(list_inner_product(a.e, b.e)), 6) AS max_similarity FROM v a JOIN v b ON b.label = (a.label + 1) % 10 GROUP BY 1, 2"))
 def max_similarity_to_group(spark, d):
     v = _vectors(spark, d)
-    pairs = v.select(F.col("id").alias("a"), F.col("vector").alias("va"), ((F.col("label") + 1) % 10).alias("label")).join(v.select("label", F.col("vector").alias("vb")), "label").select("a", "label", dot("va", "vb").alias("s"))
-    return _six(dense.max_similarity(pairs, ["a", "label"], "s"), "max_similarity")
+    asks = v.withColumn("label", (F.col("label") + 1) % 10)
+    found = dense.max_similarity_to_group(asks, v, "label").join(asks.select("id", "label"), "id")
+    return _six(found.select(F.col("id").alias("a"), "label", "max_similarity"), "max_similarity")
 
 
 @_query("decade_top", with_(INTER, TRACKS, "c AS (SELECT track_id, count(*) AS plays FROM inter GROUP BY 1)", body="SELECT year // 10 * 10 AS decade, track_id, coalesce(plays, 0) AS plays, row_number() OVER (PARTITION BY year // 10 ORDER BY coalesce(plays, 0) DESC, track_id) AS rank FROM tracks LEFT JOIN c USING (track_id) WHERE year IS NOT NULL QUALIFY rank <= 10"))
@@ -239,42 +240,87 @@ def decade_top(spark, d):
     return heuristic.decade_top(T.tracks(spark, d), inter.groupBy("track_id").agg(F.count("*").alias("plays")), 10)
 
 
-SEEDS = """c AS (SELECT track_id, count(*) AS plays FROM inter GROUP BY 1), t AS (SELECT tracks.*, coalesce(plays, 0) AS plays FROM tracks LEFT JOIN c USING (track_id)),
-bar AS (SELECT artist, track_id FROM t QUALIFY row_number() OVER (PARTITION BY artist ORDER BY plays DESC, track_id) <= 10), bal AS (SELECT album, track_id FROM t QUALIFY row_number() OVER (PARTITION BY album ORDER BY plays DESC, track_id) <= 10),
-dec AS (SELECT year // 10 * 10 AS decade, track_id FROM t WHERE year IS NOT NULL QUALIFY row_number() OVER (PARTITION BY year // 10 ORDER BY plays DESC, track_id) <= 10),
-h AS (SELECT session_id, turn, artist, album, year FROM ctx JOIN tracks USING (track_id)), l AS (SELECT session_id, max_by(artist, turn) AS artist, max_by(album, turn) AS album FROM h GROUP BY 1),
-mid AS (SELECT session_id, floor(avg(year) / 10) * 10 AS d FROM h GROUP BY 1 HAVING avg(year) IS NOT NULL),
-seeds AS (SELECT DISTINCT * FROM (SELECT session_id, track_id, 'artist_last' AS seed FROM l JOIN bar USING (artist) UNION ALL SELECT session_id, track_id, 'album_last' FROM l JOIN bal USING (album) UNION ALL SELECT session_id, track_id, 'artist_any' FROM h JOIN bar USING (artist)
-  UNION ALL SELECT session_id, track_id, 'album_any' FROM h JOIN bal USING (album) UNION ALL SELECT session_id, track_id, 'decade' FROM mid JOIN dec ON decade IN (d - 10, d, d + 10))),
-w AS (SELECT session_id, track_id, count(*) AS n_seeds, sum((CASE seed WHEN 'artist_last' THEN 3 WHEN 'album_last' THEN 2 WHEN 'decade' THEN 0.5 ELSE 1 END)::DOUBLE * CASE WHEN seed <> 'decade' AND category IN ('1', '2') THEN 1.5::DOUBLE ELSE 1 END) AS seed_term FROM seeds JOIN sessions USING (session_id) GROUP BY 1, 2),
-m AS (SELECT session_id, avg(year) AS y, avg(popularity) AS p, stddev_pop(popularity) AS s FROM ctx JOIN tracks USING (track_id) GROUP BY 1),
-z AS (SELECT w.*, coalesce(exp(-abs(year - y) / 5), 0) AS year_term, -coalesce(abs(popularity - p) / (s + 1.0), 0) / 10 AS pop_term FROM w JOIN tracks USING (track_id) LEFT JOIN m USING (session_id))"""
+CAT = {"1": 1.10, "2": 1.00, "3": 1.20, "4": 0.65, "5": 0.75}
+SPEC = {"F": 1.20, "O": 1.05, "P": 1.00}
+V0 = """t AS (SELECT tracks.*, CASE WHEN popularity > 0 THEN CASE WHEN popularity < q1 THEN 0 WHEN popularity < q2 THEN 1 ELSE 2 END ELSE -1 END AS b, coalesce((popularity - m) / nullif(s, 0), 0) AS z
+  FROM tracks, (SELECT quantile_cont(popularity, 0.33) AS q1, quantile_cont(popularity, 0.67) AS q2, avg(popularity) AS m, stddev_pop(popularity) AS s FROM tracks WHERE popularity > 0)),
+h AS (SELECT session_id, turn, t.* FROM ctx JOIN t USING (track_id)),
+l AS (SELECT h.session_id, artist AS la, album AS ll, year AS ly, b AS lb FROM h JOIN (SELECT session_id, max(turn) AS turn FROM h GROUP BY 1) USING (session_id, turn)),
+ha AS (SELECT DISTINCT session_id, artist FROM h), hl AS (SELECT DISTINCT session_id, album FROM h),
+dec AS (SELECT year // 10 * 10 AS decade, track_id FROM t WHERE year > 0 QUALIFY row_number() OVER (PARTITION BY year // 10 ORDER BY popularity DESC, track_id) <= 150),
+pool AS (SELECT DISTINCT session_id, track_id FROM (SELECT session_id, track_id FROM ha JOIN t USING (artist) UNION ALL SELECT session_id, track_id FROM hl JOIN t USING (album)
+  UNION ALL SELECT session_id, track_id FROM l JOIN dec ON decade IN (ly // 10 * 10 - 10, ly // 10 * 10, ly // 10 * 10 + 10)) ANTI JOIN h USING (session_id, track_id)),
+w AS (SELECT session_id, """ + f"(CASE category {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}::DOUBLE' for k, v in CAT.items())} END * CASE specificity {' '.join(f'WHEN {chr(39)}{k}{chr(39)} THEN {v}::DOUBLE' for k, v in SPEC.items())} END)" + """ AS boost FROM sessions),
+z AS (SELECT p.session_id, p.track_id, 3.0::DOUBLE * boost * coalesce(t.album = ll, false)::INT AS album_last, 2.5::DOUBLE * boost * coalesce(t.artist = la, false)::INT AS artist_last,
+    1.5::DOUBLE * boost * (hl.album IS NOT NULL)::INT AS album_any, 1.2::DOUBLE * boost * (ha.artist IS NOT NULL)::INT AS artist_any,
+    0.6::DOUBLE * coalesce(exp(-abs(t.year - ly) / 5), 0) AS year_term, 0.4::DOUBLE * coalesce(lb >= 0 AND t.b = lb, false)::INT AS pop_match, 0.05::DOUBLE * t.z AS pop_z_term
+  FROM pool p JOIN t USING (track_id) JOIN l USING (session_id) JOIN w USING (session_id) LEFT JOIN ha ON ha.session_id = p.session_id AND ha.artist = t.artist LEFT JOIN hl ON hl.session_id = p.session_id AND hl.album = t.album),
+v0 AS (SELECT *, album_last + artist_last + album_any + artist_any + year_term + pop_match + pop_z_term AS score,
+  row_number() OVER (PARTITION BY session_id ORDER BY round(album_last + artist_last + album_any + artist_any + year_term + pop_match + pop_z_term, 9) DESC, track_id) AS rank FROM z QUALIFY rank <= {k})"""
 
 
-@_query("heuristic_v0_topk", with_(INTER, CONTEXT, TRACKS, SESSIONS, SEEDS, body="""SELECT session_id, track_id, n_seeds, round(seed_term, 6) AS seed_term, round(year_term, 6) AS year_term, round(pop_term, 9) + 0.0 AS pop_term, round(seed_term + year_term + pop_term, 6) AS score,
-  row_number() OVER (PARTITION BY session_id ORDER BY round(seed_term + year_term + pop_term, 9) DESC, track_id) AS rank FROM z QUALIFY rank <= 10"""))
-def heuristic_v0_topk(spark, d):
-    inter, tracks = T.interactions(spark, d), T.tracks(spark, d)
-    seen, plays = T.context(inter), inter.groupBy("track_id").agg(F.count("*").alias("plays"))
-    boosts = T.sessions(spark, d).select("session_id", F.when(F.col("category").isin("1", "2"), 1.5).otherwise(1.0).alias("boost"))
-    scored = heuristic.additive_scores(heuristic.seeds(seen, tracks, plays, 10, 10), seen, tracks, boosts)
-    top = topk_per_group(scored, ["session_id"], [F.round("score", 9).desc(), F.col("track_id")], 10)
-    return _six(top, "seed_term", "year_term", "score").withColumn("pop_term", F.round("pop_term", 9))
+def _boosts(spark, d):
+    of = lambda c, table: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col(c)]
+    return T.sessions(spark, d).select("session_id", (of("category", CAT) * of("specificity", SPEC)).alias("boost"))
 
 
-NEG = """c AS (SELECT track_id, count(*) AS plays FROM inter GROUP BY 1), t AS (SELECT tracks.*, coalesce(plays, 0) AS plays FROM tracks LEFT JOIN c USING (track_id)),
-a AS (SELECT session_id, t.* FROM gt JOIN t ON t.track_id = gt_track_id),
-bal AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY album ORDER BY plays DESC, track_id) <= 50), bar AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY artist ORDER BY plays DESC, track_id) <= 50),
-byr AS (SELECT * FROM t WHERE year IS NOT NULL QUALIFY row_number() OVER (PARTITION BY year ORDER BY plays DESC, track_id) <= 50),
-n AS (SELECT session_id, 'album' AS bucket, x.track_id, x.plays FROM a JOIN bal x ON x.album = a.album AND x.track_id <> a.track_id UNION ALL SELECT session_id, 'artist', x.track_id, x.plays FROM a JOIN bar x ON x.artist = a.artist AND x.album <> a.album
-  UNION ALL SELECT session_id, 'year', x.track_id, x.plays FROM a JOIN byr x ON abs(x.year - a.year) <= 5 AND x.artist <> a.artist)"""
+def _v0(spark, d, k):
+    return heuristic.additive_topk(T.context(T.interactions(spark, d)), T.tracks(spark, d), k, _boosts(spark, d))
 
 
-@_query("hard_negatives", with_(INTER, CONTEXT, TRACKS, NEG, body="SELECT session_id, bucket, track_id, row_number() OVER (PARTITION BY session_id, bucket ORDER BY plays DESC, track_id) AS rank FROM n QUALIFY rank <= 5"))
-def hard_negatives(spark, d):
+@_query("heuristic_v0_topk", with_(INTER, CONTEXT, TRACKS, SESSIONS, V0.format(k=10), body="SELECT session_id, track_id, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in [*heuristic.TERMS, "score"]) + ", rank FROM v0"))
+def heuristic_v0_topk(spark, d):
+    """Every track of the seed artists and albums, and 150 a decade, by the sum of seven terms that stay beside it."""
+    return _six(_v0(spark, d, 10), *heuristic.TERMS, "score")
+
+
+@_query("heuristic_v3_fusion", with_(INTER, CONTEXT, TRACKS, SESSIONS, V0.format(k=5), """c AS (SELECT track_id, count(*) AS plays FROM inter GROUP BY 1), mine AS (SELECT session_id, track_id, row_number() OVER (PARTITION BY session_id ORDER BY max(turn) DESC) AS rank FROM ctx GROUP BY 1, 2 QUALIFY rank <= 3),
+pop AS (SELECT s.session_id, track_id, rank FROM (SELECT DISTINCT session_id FROM gt) s, (SELECT track_id, row_number() OVER (ORDER BY plays DESC, track_id) AS rank FROM c QUALIFY rank <= 2)),
+f AS (SELECT session_id, track_id, sum(1 / (60 + rank - 1)) AS score FROM (SELECT session_id, track_id, rank FROM v0 UNION ALL SELECT * FROM mine UNION ALL SELECT * FROM pop) GROUP BY 1, 2),
+top AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY round(score, 9) DESC, track_id) AS rank FROM f QUALIFY rank <= 12),
+more AS (SELECT n.session_id, p.track_id, 0.0::DOUBLE AS score, n + row_number() OVER (PARTITION BY n.session_id ORDER BY place) AS rank FROM (SELECT session_id, max(rank) AS n FROM top GROUP BY 1) n, (SELECT track_id, row_number() OVER (ORDER BY plays DESC, track_id) AS place FROM c) p
+  ANTI JOIN top ON top.session_id = n.session_id AND top.track_id = p.track_id WHERE place <= 40)""", body="SELECT session_id, track_id, round(score, 6) AS score, rank FROM top UNION ALL SELECT session_id, track_id, score, rank FROM more WHERE rank <= 12"))
+def heuristic_v3_fusion(spark, d):
+    """The additive list, what the session heard last and the most played tracks, fused by place from 0 and padded."""
     inter = T.interactions(spark, d)
-    targets = T.ground_truth(inter).select("session_id", F.col("gt_track_id").alias("track_id"))
-    return heuristic.hard_negatives(targets, T.tracks(spark, d), inter.groupBy("track_id").agg(F.count("*").alias("plays")), 5)
+    heard = T.context(inter).groupBy("session_id", "track_id").agg(F.max("turn").alias("t"))
+    mine = topk_per_group(heard, ["session_id"], [F.col("t").desc()], 3)
+    plays = inter.groupBy("track_id").agg(F.count("*").alias("plays")).orderBy(F.col("plays").desc(), "track_id").limit(12)
+    place = plays.withColumn("place", F.row_number().over(Window.orderBy(F.col("plays").desc(), "track_id")).cast("long"))  # 12 rows
+    pop = T.ground_truth(inter).select("session_id").crossJoin(F.broadcast(place.where("place <= 2").select("track_id", F.col("place").alias("rank"))))
+    return _six(heuristic.fused_with_padding([_v0(spark, d, 5), mine, pop], place, ["session_id"], 60.0, 12), "score")
+
+
+_B = heuristic.BUDGET
+NEG = """c AS (SELECT track_id, count(*) AS plays FROM inter GROUP BY 1),
+t AS (SELECT tracks.*, coalesce(plays, 0) AS plays, CASE WHEN popularity > 0 THEN CASE WHEN popularity < q1 THEN 0 WHEN popularity < q2 THEN 1 ELSE 2 END ELSE -1 END AS b
+  FROM tracks LEFT JOIN c USING (track_id), (SELECT quantile_cont(popularity, 0.33) AS q1, quantile_cont(popularity, 0.67) AS q2 FROM tracks WHERE popularity > 0)),
+a AS (SELECT session_id, category, t.* FROM gt JOIN t ON t.track_id = gt_track_id JOIN sessions USING (session_id)),
+h AS (SELECT DISTINCT session_id, t.* FROM ctx JOIN t USING (track_id)),
+m1 AS (SELECT session_id, list(track_id ORDER BY plays DESC, track_id) AS l FROM h GROUP BY 1),
+m2 AS (SELECT session_id, list(track_id ORDER BY plays DESC, track_id) AS l FROM (SELECT DISTINCT h.session_id, t.track_id, t.plays FROM h JOIN t USING (album)) GROUP BY 1),
+m3 AS (SELECT session_id, list(track_id ORDER BY plays DESC, track_id) AS l FROM (SELECT DISTINCT h.session_id, t.track_id, t.plays FROM h JOIN t USING (artist)) GROUP BY 1),
+m4 AS (SELECT album, list(track_id ORDER BY plays DESC, track_id) AS l FROM t GROUP BY 1), m5 AS (SELECT artist, list(track_id ORDER BY plays DESC, track_id) AS l FROM t GROUP BY 1),
+m6 AS (SELECT b, list(track_id ORDER BY plays DESC, track_id) AS l FROM t WHERE b >= 0 GROUP BY 1),
+m7 AS (SELECT y.year, list(track_id ORDER BY plays DESC, track_id) AS l FROM (SELECT DISTINCT year FROM t WHERE year > 0) y JOIN t ON abs(t.year - y.year) <= 5 GROUP BY 1),
+m8 AS (SELECT category, list(track_id ORDER BY round(score, 9) DESC, track_id) AS l FROM (SELECT category, track_id, sum(lift) AS score FROM (SELECT track_id, unnest(tags) AS tag FROM tracks) JOIN lift USING (tag) GROUP BY 1, 2) GROUP BY 1),
+m9 AS (SELECT list(track_id ORDER BY plays DESC, track_id) AS l FROM t),
+k0 AS MATERIALIZED (SELECT a.session_id, [a.track_id] AS k, m1.l AS l1, m2.l AS l2, m3.l AS l3, m4.l AS l4, m5.l AS l5, m6.l AS l6, m7.l AS l7, m8.l AS l8, m9.l AS l9
+  FROM a LEFT JOIN m1 ON m1.session_id = a.session_id LEFT JOIN m2 ON m2.session_id = a.session_id LEFT JOIN m3 ON m3.session_id = a.session_id LEFT JOIN m4 ON m4.album = a.album LEFT JOIN m5 ON m5.artist = a.artist
+  LEFT JOIN m6 ON m6.b = a.b LEFT JOIN m7 ON m7.year = a.year LEFT JOIN m8 ON m8.category = a.category, m9),
+""" + "".join(f"p{n} AS MATERIALIZED (SELECT *, list_filter(coalesce(l{n}, []), lambda x: NOT list_contains(k, x))[1:{q}] AS p{n} FROM k{n - 1}),\nk{n} AS MATERIALIZED (SELECT * REPLACE (list_concat(k, p{n}) AS k) FROM p{n}),\n" for n, q in enumerate(_B.values(), 1)) + """
+u AS (""" + " UNION ALL ".join(f"SELECT session_id, '{name}' AS bucket, {n} AS n, i, p{n}[i] AS track_id FROM k9, unnest(range(1, len(p{n}) + 1)) AS u(i)" for n, name in enumerate(_B, 1)) + ")"
+
+
+@_query("hard_negatives", with_(INTER, CONTEXT, TRACKS, SESSIONS, LIFT, NEG, body="SELECT session_id, bucket, track_id, row_number() OVER (PARTITION BY session_id ORDER BY n, i) AS place FROM u QUALIFY place <= 32"))
+def hard_negatives(spark, d):
+    """Thirty-two negatives of every session's last track, from nine buckets in turn."""
+    inter, tracks, sessions = T.interactions(spark, d), T.tracks(spark, d), T.sessions(spark, d)
+    targets = T.ground_truth(inter).select("session_id", F.col("gt_track_id").alias("track_id")).join(sessions.select("session_id", "category"), "session_id")
+    plays = inter.join(tracks, "track_id").select("session_id", F.explode("tags").alias("tag")).join(sessions, "session_id")
+    scored = tracks.select("track_id", F.explode("tags").alias("tag")).join(catalogue.category_lift(plays, "category", "tag"), "tag").groupBy("category", "track_id").agg(F.sum("lift").alias("score"))
+    lift = topk_per_group(scored, ["category"], [F.round("score", 9).desc(), F.col("track_id")], 33, rank="place")
+    return heuristic.hard_negatives(targets, T.context(inter), tracks, inter.groupBy("track_id").agg(F.count("*").alias("plays")), lift)
 
 
 @_query("transition_rates", with_(INTER, TRACKS, "r AS (SELECT session_id, turn, t.* FROM inter JOIN tracks t USING (track_id))", body="SELECT count(*) AS n, round(avg((a.artist = b.artist)::INT), 6) AS same_artist, round(avg((a.album = b.album)::INT), 6) AS same_album, round(avg(coalesce(abs(a.year - b.year) <= 5, false)::INT), 6) AS near_year FROM r a JOIN r b ON a.session_id = b.session_id AND a.turn = b.turn + 1"))

@@ -45,7 +45,41 @@ def _six(df, *columns):
 def tfidf_retrieval(spark, d):
     dp, qp, n = _corpus(spark, d)
     idf = X.smooth_idf(dp, n)
-    return _six(X.match(X.tfidf_weights(qp, "item_id", idf), "item_id", X.tfidf_weights(dp, "doc_id", idf), "doc_id", 10))
+    return _six(X.match(X.tfidf_weights(qp, "item_id", idf), "item_id", X.tfidf_weights(dp, "doc_id", idf, qp), "doc_id", 10))
+
+
+def _grams(name: str, table: str, key: str) -> str:
+    return f"""{name}w AS (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM {table}),
+{name} AS (SELECT {key}, term, count(*) AS tf FROM (SELECT {key}, unnest(w) AS term FROM {name}w UNION ALL SELECT {key}, w[i] || ' ' || w[i + 1] FROM {name}w, unnest(range(1, len(w))) AS u(i)) GROUP BY 1, 2)"""
+
+
+TFIDF = [f"{o}0 AS (SELECT {k}, term, (1 + ln(tf)) * idf AS w FROM {p} JOIN idf USING (term)), {o} AS (SELECT {k}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {k})) AS w FROM {o}0)" for o, k, p in (("dw", "doc_id", "dp"), ("qw", "item_id", "qp"))]
+
+
+@_query("tfidf_bigram_retrieval", with_(_grams("dp", "documents", "doc_id"), _grams("qp", "benchmark", "item_id"), N, "idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM ddf, nn)", *TFIDF, MATCH, body=BEST))
+def tfidf_bigram_retrieval(spark, d):
+    """Terms of one and of two words."""
+    docs, queries = T.table(spark, d, "documents"), T.table(spark, d, "benchmark")
+    dp, qp = X.postings(docs, "doc_id", F.col("text"), 2), X.postings(queries, "item_id", F.col("text"), 2)
+    idf = X.smooth_idf(dp, docs.agg(F.count("*").alias("n")))
+    return _six(X.match(X.tfidf_weights(qp, "item_id", idf), "item_id", X.tfidf_weights(dp, "doc_id", idf, qp), "doc_id", 10))
+
+
+@_query("weighted_term_retrieval", with_("src AS (SELECT doc_id, concat_ws(' ', source, source, source, lang, lang, text) AS text FROM documents)", _posts("dp", "src", "doc_id"),
+    "cw AS (SELECT item, sum(tf * wt) AS tf, term FROM (SELECT conv_id AS item, term, count(*) AS tf, CASE role WHEN 'user' THEN 2 ELSE 1 END AS wt FROM (SELECT conv_id, role, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '')) AS term FROM conversations WHERE role IN ('user', 'assistant')) GROUP BY 1, 2, role) GROUP BY item, term)",
+    "voc AS (SELECT term, df FROM (SELECT term, sum(tf) AS n, count(*) AS df FROM dp GROUP BY 1) ORDER BY n DESC, term LIMIT 500)", "nn AS (SELECT count(*) AS n FROM documents)", "idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM voc, nn)",
+    *[f"{o}0 AS (SELECT {k}, term, (1 + ln(tf)) * idf AS w FROM {p} JOIN idf USING (term)), {o} AS (SELECT {k}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {k})) AS w FROM {o}0)" for o, k, p in (("dw", "doc_id", "dp"), ("qw", "item", "cw"))],
+    "hits AS (SELECT q.item, d.doc_id, sum(q.w * d.w) AS score FROM qw q JOIN dw d USING (term) GROUP BY 1, 2)",
+    body="SELECT item AS conv_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item ORDER BY round(score, 9) DESC, doc_id) AS rank FROM hits QUALIFY rank <= 10"))
+def weighted_term_retrieval(spark, d):
+    """Documents by texts of repeated fields, asked by conversations whose user turns weigh double, over the 500 most used terms."""
+    docs, talk = T.table(spark, d, "documents"), T.table(spark, d, "conversations")
+    dp = X.postings(docs, "doc_id", X.repeated_fields([(F.col("source"), 3), (F.col("lang"), 2), (F.col("text"), 1)]))
+    said = lambda role, w: X.postings(talk.where(F.col("role") == role), "conv_id", F.col("text")).withColumn("weight", F.lit(w))
+    qp = X.weighted_terms([said("user", 2), said("assistant", 1)], "conv_id")
+    n = docs.agg(F.count("*").alias("n"))
+    idf = X.most_frequent_terms(dp, 500).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    return _six(X.match(X.tfidf_weights(qp, "conv_id", idf), "conv_id", X.tfidf_weights(dp, "doc_id", idf, qp), "doc_id", 10))
 
 
 BM25 = """dl AS (SELECT doc_id, sum(tf) AS dl FROM dp GROUP BY 1),
@@ -55,7 +89,7 @@ dw AS (SELECT doc_id, term, tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT a
 @_query("bm25_retrieval", with_(D, Q, N, BM25, BINARY, MATCH, body=BEST))
 def bm25_retrieval(spark, d):
     dp, qp, n = _corpus(spark, d)
-    return _six(X.match(qp.select("item_id", "term", F.lit(1.0).alias("w")), "item_id", X.bm25_weights(dp, "doc_id", n), "doc_id", 10))
+    return _six(X.match(qp.select("item_id", "term", F.lit(1.0).alias("w")), "item_id", X.bm25_weights(dp, "doc_id", n, terms=qp), "doc_id", 10))
 
 
 def _field(f: str, expr: str) -> str:
@@ -126,14 +160,31 @@ def overused_bigrams(spark, d):
 
 
 @_query("bigram_jaccard_top_pairs", with_(TOK, """s AS (SELECT DISTINCT conv_id, bigram FROM bg), z AS (SELECT conv_id, count(*) AS z FROM s GROUP BY 1),
-rare AS (SELECT bigram FROM s GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200), c AS (SELECT s.* FROM s SEMI JOIN rare USING (bigram)),
-p AS (SELECT a.conv_id AS x, b.conv_id AS y, count(*) AS n FROM c a JOIN c b ON a.bigram = b.bigram AND a.conv_id < b.conv_id GROUP BY 1, 2)""",
+p AS (SELECT a.conv_id AS x, b.conv_id AS y, count(*) AS n FROM s a JOIN s b ON a.bigram = b.bigram AND a.conv_id < b.conv_id GROUP BY 1, 2)""",
     body="SELECT x, y, round(n / (u.z + v.z - n), 6) AS jaccard FROM p JOIN z u ON u.conv_id = x JOIN z v ON v.conv_id = y ORDER BY round(n / (u.z + v.z - n), 9) DESC, x, y LIMIT 50"))
 def bigram_jaccard_top_pairs(spark, d):
     sets = _bigrams(spark, d, ["conv_id"]).withColumnRenamed("bigram", "member")
     return _six(X.jaccard_pairs(sets, "conv_id", 50, 200), "jaccard")
 
 
+def _rounds(n: int) -> str:
+    """The chosen texts one after the other: the pair, then each best sum, as CTEs."""
+    out = ["c2 AS (SELECT 1 AS position, x AS conv_id, s AS overlap FROM best UNION ALL SELECT 2, y, s FROM best)"]
+    for k in range(3, n + 1):
+        out.append(f"""c{k} AS (SELECT * FROM c{k - 1} UNION ALL SELECT {k}, conv_id, o FROM (SELECT z.conv_id, round(coalesce(sum(s), 0), 9) AS o FROM (SELECT DISTINCT conv_id FROM t ANTI JOIN c{k - 1} USING (conv_id)) z
+  LEFT JOIN (SELECT x, y, s0 AS s FROM cs SEMI JOIN c{k - 1} ON y = conv_id) q ON x = z.conv_id GROUP BY 1 ORDER BY o DESC, 1 LIMIT 1))""")
+    return ",\n".join(out)
+
+
+@_query("overlapping_batch", with_(TOK, """t AS (SELECT conv_id, bigram, count(*) AS n FROM bg GROUP BY 1, 2), u AS (SELECT *, n / sqrt(sum(n * n) OVER (PARTITION BY conv_id)) AS w FROM t),
+cs AS (SELECT a.conv_id AS x, b.conv_id AS y, sum(a.w * b.w) AS s0 FROM u a JOIN u b ON a.bigram = b.bigram AND a.conv_id <> b.conv_id GROUP BY 1, 2),
+best AS (SELECT x, y, round(s0, 9) AS s FROM cs WHERE x < y ORDER BY s DESC, x, y LIMIT 1)""", _rounds(5), body="SELECT position::BIGINT AS position, conv_id, round(overlap, 6) AS overlap FROM c5"))
+def overlapping_batch(spark, d):
+    """The five conversations that share most of their words' pairs, chosen one after the other."""
+    grams = _bigrams(spark, d, ["conv_id"]).groupBy("conv_id", F.col("bigram").alias("gram")).agg(F.count("*").alias("n"))
+    return _six(X.overlapping_batch(grams, "conv_id", 5), "overlap")
+
+
 @_query("conversation_prefix_text", """SELECT conv_id, turn, n_prior, prefix FROM (
   SELECT conv_id, turn, role, count(*) OVER w - 1 AS n_prior, array_to_string(list(role || ': ' || text) OVER w, chr(10)) AS prefix
   FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) WHERE role = 'user'""")
@@ -179,7 +230,7 @@ def text_with_popularity_prior(spark, d):
     from tessera.operators.ranking import topk_per_group
 
     dp, qp, n = _corpus(spark, d)
-    hits = qp.select("item_id", "term").join(X.bm25_weights(dp, "doc_id", n), "term").groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
+    hits = qp.select("item_id", "term").join(X.bm25_weights(dp, "doc_id", n, terms=qp), "term").groupBy("item_id", "doc_id").agg(F.sum("w").alias("score"))
     prior = T.table(spark, d, "documents").select("doc_id", F.log1p("n_chars").alias("s"))
     ends = F.broadcast(prior.agg(F.min("s").alias("lo"), F.max("s").alias("hi")))
     scored = hits.join(prior, "doc_id").crossJoin(ends).select("item_id", "doc_id", (F.col("score") + 0.3 * F.try_divide(F.col("s") - F.col("lo"), F.col("hi") - F.col("lo"))).alias("score"))
@@ -188,18 +239,18 @@ def text_with_popularity_prior(spark, d):
 
 @_query("hybrid_rrf", with_(D, Q, N, "idf AS (SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM ddf, nn)",
     *[f"{o}0 AS (SELECT {k}, term, (1 + ln(tf)) * idf AS w FROM {p} JOIN idf USING (term)), {o} AS (SELECT {k}, term, w / sqrt(sum(w * w) OVER (PARTITION BY {k})) AS w FROM {o}0)" for o, k, p in (("td", "doc_id", "dp"), ("tq", "item_id", "qp"))],
-    BM25, """a AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(q.w * d.w), 9) DESC, doc_id) AS rank FROM tq q JOIN td d USING (term) GROUP BY 1, 2 QUALIFY rank <= 20),
-b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(d.w), 9) DESC, doc_id) AS rank FROM (SELECT DISTINCT item_id, term FROM qp) q JOIN dw d USING (term) GROUP BY 1, 2 QUALIFY rank <= 20),
+    BM25, """a AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(q.w * d.w), 9) DESC, doc_id) AS rank FROM tq q JOIN td d USING (term) GROUP BY 1, 2 QUALIFY rank <= 600),
+b AS (SELECT item_id, doc_id, row_number() OVER (PARTITION BY item_id ORDER BY round(sum(d.w), 9) DESC, doc_id) AS rank FROM (SELECT DISTINCT item_id, term FROM qp) q JOIN dw d USING (term) GROUP BY 1, 2 QUALIFY rank <= 600),
 s AS (SELECT item_id, doc_id, sum(w / (rank + 60)) AS score FROM (SELECT *, 1.0::DOUBLE AS w FROM a UNION ALL SELECT *, 0.5 FROM b) GROUP BY 1, 2)""",
     body="SELECT item_id, doc_id, round(score, 6) AS score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s QUALIFY rank <= 10"))
 def hybrid_rrf(spark, d):
-    """Ranks of two text signals fused with weights."""
+    """Ranks of two text signals, 600 deep, fused with weights."""
     from tessera.operators.fusion import weighted_rrf
 
     dp, qp, n = _corpus(spark, d)
     idf = X.smooth_idf(dp, n)
-    tfidf = X.match(X.tfidf_weights(qp, "item_id", idf), "item_id", X.tfidf_weights(dp, "doc_id", idf), "doc_id", 20)
-    bm25 = X.match(qp.select("item_id", "term", F.lit(1.0).alias("w")), "item_id", X.bm25_weights(dp, "doc_id", n), "doc_id", 20)
+    tfidf = X.match(X.tfidf_weights(qp, "item_id", idf), "item_id", X.tfidf_weights(dp, "doc_id", idf, qp), "doc_id", 600)
+    bm25 = X.match(qp.select("item_id", "term", F.lit(1.0).alias("w")), "item_id", X.bm25_weights(dp, "doc_id", n, terms=qp), "doc_id", 600)
     pool = tfidf.withColumn("cg", F.lit("tfidf")).unionByName(bm25.withColumn("cg", F.lit("bm25"))).withColumn("bucket", F.lit("all")).withColumnRenamed("doc_id", "track_id")
     weights = spark.createDataFrame([("tfidf", "all", 1.0), ("bm25", "all", 0.5)], "cg string, bucket string, weight double")
     return _six(weighted_rrf(pool, weights, ["item_id"], "bucket", 60, 10).withColumnRenamed("track_id", "doc_id"))
