@@ -113,13 +113,36 @@ def undated(df: DataFrame, group: list[str], score: str) -> DataFrame:
     return masked_ranks(masked_ranks(out, group, missing, F.col(score), "rank_undated"), group, ~missing, F.col(score), "rank_dated")
 
 
-def text_features_driver(df: DataFrame, stages) -> DataFrame:
+def staged(df: DataFrame, stages) -> DataFrame:
     """Apply stages in their order; later ones see the columns of earlier ones."""
     for stage in stages:
         df = df.transform(stage)
     return df
 
 
+def word_flags(df: DataFrame, text: str, prefix: str, words: list[str]) -> DataFrame:
+    """Whether a text holds each word between blanks, by lower case, as prefix_word."""
+    t = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
+    return df.withColumns({f"{prefix}_{w}": F.contains(t, F.lit(f" {w} ")) for w in words})
+
+
+def embedding_features(rows: DataFrame) -> DataFrame:
+    """session_id, turn, track_id and cosines of a row's vector with that of the turn before, the closest and the mean of all earlier turns of its session.
+
+    Rows are (session_id, turn, track_id, vector). A session is compared with itself, so it should be short;
+    the first turn of a session gives no row.
+    """
+    from tessera.functions.columns import cosine
+
+    past = rows.select("session_id", F.col("turn").alias("_t"), F.col("vector").alias("_v"))
+    pairs = rows.join(past, "session_id").where("_t < turn")
+    total = F.reduce(F.collect_list("_v"), F.array_repeat(F.lit(0.0), F.size(F.first("vector"))), lambda s, v: F.zip_with(s, v, lambda x, y: x + y))
+    near = pairs.withColumn("_c", cosine("vector", "_v")).groupBy("session_id", "turn", "track_id").agg(
+        F.max(F.when(F.col("_t") == F.col("turn") - 1, F.col("_c"))).alias("cos_prev"), F.max("_c").alias("cos_max"), total.alias("_sum"), F.first("vector").alias("_own")
+    )
+    return near.withColumn("cos_mean", cosine("_own", "_sum")).drop("_sum", "_own")
+
+
 def session_track_block(history: DataFrame, tracks: DataFrame) -> DataFrame:
     """Per session: counts, population deviations, entropy (bits) of tags and the top tag (ties to the smaller)."""
     rows = history.join(tracks, "track_id", "left")
