@@ -108,3 +108,15 @@ def platt(df: DataFrame, x: str, y: str):
 
     rows = VectorAssembler(inputCols=[x], outputCol="features").transform(df)
     return LogisticRegression(featuresCol="features", labelCol=y, regParam=0.0).fit(rows)
+
+
+def chosen_calibrator(df: DataFrame, p: str, y: str, most_error: float = 0.05, least_slope: float = 0.7) -> str:
+    """'isotonic', or 'platt' where the calibration error of p is over `most_error` or y's logistic slope on the logit of p under `least_slope`."""
+    from tessera.operators.metrics import expected_calibration_error
+
+    error = expected_calibration_error(df, p, y).agg(F.sum(F.col("gap") * F.col("weight"))).first()[0] or 0.0
+    if error > most_error:
+        return "platt"
+    q = F.least(F.greatest(F.col(p), F.lit(1e-6)), F.lit(1 - 1e-6))
+    slope = platt(df.select(F.log(q / (1 - q)).alias("_l"), F.col(y).cast("double").alias("_y")), "_l", "_y").coefficients[0]
+    return "isotonic" if slope >= least_slope else "platt"

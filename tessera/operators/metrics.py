@@ -71,11 +71,15 @@ def holm(df: DataFrame, p: str, key: str, alpha: float = 0.05) -> DataFrame:
 
 
 def conformal_quantile(df: DataFrame, keys: list[str], score: str, alpha: float) -> DataFrame:
-    """keys, q: the nonconformity score at place min(n - 1, ceil((n + 1)(1 - alpha)) - 1) from 0."""
+    """keys, q, n: the nonconformity score at place min(n - 1, ceil((n + 1)(1 - alpha)) - 1) from 0.
+
+    Equal scores are counted first, so the window orders distinct scores, of which ranks give few.
+    """
     by = Window.partitionBy(*keys)
-    ranked = df.where(F.col(score).isNotNull()).withColumns({"_n": F.count("*").over(by), "_r": F.row_number().over(by.orderBy(score)) - 1})
+    counts = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(F.count("*").alias("_c"))
+    ranked = counts.withColumns({"_n": F.sum("_c").over(by), "_upto": F.sum("_c").over(by.orderBy(score))})
     at = F.least(F.col("_n") - 1, F.ceil((F.col("_n") + 1) * (1 - F.lit(alpha))) - 1)
-    return ranked.where(F.col("_r") == at).select(*keys, F.col(score).alias("q"), F.col("_n").alias("n"))
+    return ranked.where(F.col("_upto") > at).groupBy(*keys).agg(F.min(score).alias("q"), F.max("_n").alias("n"))
 
 
 def effective_size(df: DataFrame, keys: list[str], weight: str) -> DataFrame:

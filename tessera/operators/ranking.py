@@ -48,11 +48,36 @@ def rank_average(members: list[DataFrame], keys: list[str], item: str, score: st
     return every.groupBy(*keys, item).agg(F.count("*").alias("_n"), (-F.avg("rank")).alias("score")).where(F.col("_n") == len(members)).drop("_n")
 
 
+def counts_below(df: DataFrame, value: str, ranges: int = 1024) -> DataFrame:
+    """value, count, below: every distinct number that isn't NULL, its rows and the rows of smaller ones.
+
+    Two levels: `ranges` equal ranges of the values are summed up in one task, and each range's values in
+    a window of their own.
+    """
+    counts = df.groupBy(value).count().where(F.col(value).isNotNull())
+    ends = counts.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    part = F.coalesce(F.floor(F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo")) * (ranges - 1)), F.lit(0))
+    counts = counts.crossJoin(F.broadcast(ends)).withColumn("_b", part)
+    upto = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = counts.groupBy("_b").agg(F.sum("count").alias("count")).select("_b", upto(Window.orderBy("_b")).alias("_first"))
+    inside = counts.withColumn("_in", upto(Window.partitionBy("_b").orderBy(value))).join(F.broadcast(firsts), "_b")  # a row a range
+    return inside.select(value, "count", (F.col("_first") + F.col("_in")).alias("below"))
+
+
+def linear_quantile(df: DataFrame, value: str, q: float, name: str) -> DataFrame:
+    """One row: the exact quantile of a column, linear between the two nearest values."""
+    ranked = counts_below(df, value)
+    at = F.lit(q) * (F.col("_n") - 1)
+    rows = ranked.crossJoin(F.broadcast(ranked.agg(F.sum("count").alias("_n"))))
+    of = lambda k: F.max(F.when((F.col("below") <= k) & (k < F.col("below") + F.col("count")), F.col(value)))
+    found = rows.agg(of(F.floor(at)).alias("_a"), of(F.ceil(at)).alias("_z"), F.max(at - F.floor(at)).alias("_f"))
+    return found.select((F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_f")).alias(name))
+
+
 def percentile_of(df: DataFrame, value: str, name: str) -> DataFrame:
     """Average rank of the value over its largest one."""
-    ranks = df.groupBy(value).count().where(F.col(value).isNotNull())
-    below = F.coalesce(F.sum("count").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = ranks.select(value, (below + (F.col("count") + 1) / 2).alias("_r"))  # one row a distinct value
+    ranks = counts_below(df, value)
+    ranks = ranks.select(value, (F.col("below") + (F.col("count") + 1) / 2).alias("_r"))
     top = ranks.agg(F.max("_r").alias("_top"))
     return df.join(ranks, value, "left").join(F.broadcast(top)).withColumn(name, F.col("_r") / F.col("_top")).drop("_r", "_top")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import uniform01
+from tessera.operators.ranking import linear_quantile
 
 
 def hash_holdout(users: DataFrame, user: str, seed: str, share: float) -> DataFrame:
@@ -124,7 +125,7 @@ def density_ratio(p: Column, n_train: float, n_blind: float) -> Column:
 
 def clipped(df: DataFrame, weight: str, quantile: float, name: str) -> DataFrame:
     """Weights cut at a linear quantile of theirs."""
-    cap = df.agg(F.percentile(weight, quantile).alias("_cap"))
+    cap = linear_quantile(df, weight, quantile, "_cap")
     return df.crossJoin(F.broadcast(cap)).withColumn(name, F.least(F.col(weight), F.col("_cap"))).drop("_cap")
 
 

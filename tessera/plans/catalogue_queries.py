@@ -136,7 +136,11 @@ def item_vectors(spark, d):
 
 @_query("pointwise_ranker")
 def pointwise_ranker(spark, d):
-    """Fusion features of customers' pools, fitted on even customers' first tracks and ranked for all."""
+    """Fusion features of customers' pools, fitted on the first tracks of most customers; `held_out` marks those it never saw."""
+    from tessera.operators import splits
+
     fused = fusion.fusion_features(FQ._norm(spark, d), ["user_id"], 3).join(FQ._gt(spark, d), "user_id").withColumn("label", (F.col("gt") == F.col("track_id")).cast("double"))
+    side = splits.session_split(fused, "user_id", "42", 2000).select("user_id", (F.col("side") == "val").alias("held_out"))
     names = ["borda", "rrf60", "combsum", "combmnz", "min_rank", "n_retrieving"]
-    return learned.pointwise_ranker(fused.where("user_id % 2 = 0"), fused, names, "label", ["user_id"], "track_id")
+    ranked = learned.pointwise_ranker(fused.join(side.where("not held_out"), "user_id", "left_semi"), fused, names, "label", ["user_id"], "track_id")
+    return ranked.join(side, "user_id")

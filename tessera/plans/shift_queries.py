@@ -122,7 +122,16 @@ def kl_and_tv_distance(spark, d):
     return _six(splits.divergences(of("F"), of("O")), "kl", "tv")
 
 
-@_query("raked_cells", "")
+def _raking(rounds: int) -> str:
+    """Two scalings a round, one CTE each."""
+    out = ["""cells AS (SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS n FROM orders GROUP BY 1, 2), dear AS (SELECT * FROM orders WHERE o_totalprice >= 400000),
+gp AS (SELECT o_orderpriority AS p, count(*) / (SELECT count(*) FROM dear) AS g FROM dear GROUP BY 1), gs AS (SELECT o_orderstatus AS s, count(*) / (SELECT count(*) FROM dear) AS g FROM dear GROUP BY 1),
+r0 AS (SELECT cells.*, gp.g AS gp, gs.g AS gs, 1.0::DOUBLE AS w FROM cells LEFT JOIN gp USING (p) LEFT JOIN gs USING (s))"""]
+    out += [f"r{k + 1} AS (SELECT * REPLACE (w * coalesce(g{'ps'[k % 2]} * sum(w * n) OVER () / nullif(sum(w * n) OVER (PARTITION BY {'ps'[k % 2]}), 0), 0) AS w) FROM r{k})" for k in range(2 * rounds)]
+    return ",\n".join(out)
+
+
+@_query("raked_cells", with_(_raking(8), body="SELECT p AS o_orderpriority, s AS o_orderstatus, n, round(w, 6) AS w FROM r16"))
 def raked_cells(spark, d):
     """Weights of (priority, status) cells of all orders so that both margins meet those of the dearest fifth."""
     orders = T.table(spark, d, "orders")
