@@ -40,6 +40,27 @@ def turn_tasks(utterances: DataFrame) -> DataFrame:
     return rows.where("role = 'user'").select("session_id", "turn_number", F.col("content").alias("query"), F.size("_p").alias("n_prior"), F.col("_p").alias("prior"))
 
 
+def session_history(inter: DataFrame) -> DataFrame:
+    """session_id, turn, track_id, is_target: what was heard before the last turn, and the last turn itself without its track."""
+    last = F.max("turn").over(Window.partitionBy("session_id"))
+    rows = inter.withColumn("is_target", F.col("turn") == last)
+    return rows.select("session_id", "turn", F.when(~F.col("is_target"), F.col("track_id")).alias("track_id"), "is_target")
+
+
+def query_texts(utterances: DataFrame, names: DataFrame) -> DataFrame:
+    """session_id, turn_number and four texts a user turn can ask with.
+
+    current: its words; history: all words of the user so far; weighted: its words twice, then the earlier
+    ones; tracks: its words and the names (track_id, name) of the tracks of earlier turns in order.
+    """
+    before = Window.partitionBy("session_id").orderBy("turn_number").rangeBetween(Window.unboundedPreceding, -1)
+    named = utterances.join(names.select(F.col("track_id").cast("string").alias("content"), F.lit("music").alias("role"), "name"), ["role", "content"], "left")
+    held = lambda role, text: F.transform(F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct(F.col("turn_number").alias("t"), F.col(text).alias("c")))).over(before)), lambda x: x["c"])
+    rows = named.withColumns({"_said": held("user", "content"), "_heard": held("music", "name")}).where("role = 'user'")
+    text = lambda *parts: F.concat_ws(" ", *parts)
+    return rows.select("session_id", "turn_number", F.col("content").alias("current"), text("_said", "content").alias("history"), text("content", "content", "_said").alias("weighted"), text("content", "_heard").alias("tracks"))
+
+
 def blind_turn(conversations: Column) -> Column:
     """The turn that a cut-off session of three utterances a turn asks for."""
     return F.floor((F.size(conversations) + 2) / 3).cast("long")

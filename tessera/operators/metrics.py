@@ -85,3 +85,25 @@ def conformal_quantile(df: DataFrame, keys: list[str], score: str, alpha: float)
 def effective_size(df: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """keys, ess: (sum of weights)^2 over the sum of squares."""
     return df.groupBy(*keys).agg(F.try_divide(F.sum(weight) ** 2, F.sum(F.col(weight) ** 2)).alias("ess"))
+
+
+def auc(df: DataFrame, score: str, label: str) -> DataFrame:
+    """n, positives, auc: the share of (positive, negative) pairs in order, ties by half; NULL scores are left out."""
+    from tessera.operators.ranking import counts_below
+
+    rows = df.where(F.col(score).isNotNull())
+    ranks = counts_below(rows, score).select(score, (F.col("below") + (F.col("count") + 1) / 2).alias("_r"))
+    y = F.col(label).cast("long")
+    sums = rows.join(ranks, score).agg(F.count("*").alias("n"), F.sum(y).alias("positives"), F.sum(F.when(y == 1, F.col("_r"))).alias("_s"))
+    n1, n0 = F.col("positives"), F.col("n") - F.col("positives")
+    return sums.select("n", "positives", F.try_divide(F.col("_s") - n1 * (n1 + 1) / 2, n1 * n0).alias("auc"))
+
+
+def leaderboard(positioned: DataFrame, generator: str, group: str, k: int, alpha: float) -> DataFrame:
+    """generator, recall, cvar, place: generators by the mean of their worst groups' hit rates, then by the mean over all rows."""
+    hit = hit_at(F.col("position"), k)
+    groups = positioned.groupBy(generator, group).agg(F.avg(hit).alias("_x"))
+    all_rows = positioned.groupBy(generator).agg(F.avg(hit).alias("recall"))
+    out = cvar(groups, [generator], "_x", alpha).select(generator, "cvar").join(all_rows, generator)
+    place = F.row_number().over(Window.orderBy(F.round("cvar", 9).desc(), F.round("recall", 9).desc(), generator))  # one row a generator
+    return out.select(generator, "recall", "cvar", place.cast("long").alias("place"))

@@ -141,3 +141,19 @@ def apportion(shares: DataFrame, key: str, share: str, total: int) -> DataFrame:
     s = s.withColumns({"_f": F.floor("_x"), "_r": F.round(F.col("_x") - F.floor("_x"), 9)})
     left = total - F.sum("_f").over(Window.partitionBy())
     return s.select(key, (F.col("_f") + (F.row_number().over(Window.orderBy(F.col("_r").desc(), key)) <= left).cast("int")).alias("seats"))
+
+
+def random_truncation(inter: DataFrame, key: str, seed: str) -> DataFrame:
+    """Turns of every session up to one drawn evenly from 1 to its last, with `target_turn`."""
+    last = inter.groupBy(key).agg(F.max("turn").alias("_m"))
+    drawn = last.select(key, (F.floor(uniform01(F.col(key), seed) * F.col("_m")) + 1).alias("target_turn"))
+    return inter.join(drawn, key).where(F.col("turn") <= F.col("target_turn"))
+
+
+def quota_sample(df: DataFrame, stratum: str, key: str, total: int, seed: str) -> DataFrame:
+    """key, stratum: `total` rows, each stratum's share by largest remainders, its rows in the order of a hash."""
+    counts = df.groupBy(stratum).agg(F.count("*").alias("n"))
+    seats = apportion(counts, stratum, "n", total)
+    order = Window.partitionBy(stratum).orderBy(uniform01(F.col(key), seed), key)
+    ranked = df.select(key, stratum).withColumn("_r", F.row_number().over(order))
+    return ranked.join(F.broadcast(seats), stratum).where(F.col("_r") <= F.col("seats")).select(key, stratum)  # one row a stratum

@@ -286,3 +286,72 @@ def oof_folds(spark, d):
     """Users in five folds by greedy bin packing of their numbers of sessions."""
     users = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.count("*").alias("n_sessions"))
     return etl.assigned_folds(users, "user_id", "n_sessions", 5, "42")
+
+
+@_query("session_history_rows", with_(INTER, body="SELECT session_id, turn, CASE WHEN turn < max(turn) OVER (PARTITION BY session_id) THEN track_id END AS track_id, turn = max(turn) OVER (PARTITION BY session_id) AS is_target FROM inter"))
+def session_history_rows(spark, d):
+    return etl.session_history(T.interactions(spark, d))
+
+
+@_query("query_text_variants", with_(INTER, TRACKS, RAW, "b AS (SELECT session_id, turn, artist, coalesce(string_agg(artist, ' ') OVER w, '') AS said, coalesce(string_agg(album, ' ') OVER w, '') AS heard FROM raw WINDOW w AS (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))",
+    body="SELECT session_id, turn AS turn_number, artist AS current, trim(said || ' ' || artist) AS history, trim(artist || ' ' || artist || ' ' || said) AS weighted, trim(artist || ' ' || heard) AS tracks FROM b"))
+def query_text_variants(spark, d):
+    """Four texts that every user turn can ask with."""
+    names = T.tracks(spark, d).select("track_id", F.col("album").alias("name"))
+    return etl.query_texts(etl.explode_conversation(T.raw_sessions(spark, d), ["session_id"]), names)
+
+
+_UNIT = "(('0x' || substr(sha256(session_id || ':3'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+@_query("random_truncation", with_(INTER, f"m AS (SELECT session_id, CAST(floor({_UNIT} * max(turn)) AS BIGINT) + 1 AS target_turn FROM inter GROUP BY 1)", body="SELECT session_id, target_turn, count(*) AS n, sum(track_id)::BIGINT AS tracks FROM inter JOIN m USING (session_id) WHERE turn <= target_turn GROUP BY 1, 2"))
+def random_truncation(spark, d):
+    from tessera.operators import splits
+
+    cut = splits.random_truncation(T.interactions(spark, d), "session_id", "3")
+    return cut.groupBy("session_id", "target_turn").agg(F.count("*").alias("n"), F.sum("track_id").alias("tracks"))
+
+
+@_query("quota_sample", """WITH s AS (SELECT c_mktsegment AS value, count(*) / (SELECT count(*) FROM customer) * 61 AS x FROM customer GROUP BY 1), f AS (SELECT value, floor(x) AS f, round(x - floor(x), 9) AS r FROM s),
+q AS (SELECT value, f + (row_number() OVER (ORDER BY r DESC, value) <= 61 - sum(f) OVER ())::INT AS seats FROM f)
+SELECT c_custkey, c_mktsegment FROM customer JOIN q ON value = c_mktsegment QUALIFY row_number() OVER (PARTITION BY c_mktsegment ORDER BY ('0x' || substr(sha256(c_custkey || ':8'), 1, 13))::BIGINT, c_custkey) <= seats""")
+def quota_sample(spark, d):
+    """Sixty-one customers, every segment by its share."""
+    from tessera.operators import splits
+
+    return splits.quota_sample(T.table(spark, d, "customer"), "c_mktsegment", "c_custkey", 61, "8")
+
+
+@_query("auc_of_lengths", "WITH r AS (SELECT quality AS y, n_chars AS s FROM labels JOIN documents USING (doc_id)), k AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM r) SELECT count(*) AS n, sum(y)::BIGINT AS positives, round((sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))), 6) AS auc FROM k")
+def auc_of_lengths(spark, d):
+    """How well a text's length alone tells its quality."""
+    from tessera.operators import metrics
+
+    rows = T.table(spark, d, "labels").join(T.table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id")
+    return _six(metrics.auc(rows, "n_chars", "quality"), "auc")
+
+
+@_query("two_sample_shift")
+def two_sample_shift(spark, d):
+    """Whether sessions of one status can be told from the others by their tracks' statistics, beside a shuffle."""
+    from tessera.operators import learned
+
+    stats = features.imputed_stats(T.interactions(spark, d), T.tracks(spark, d), ["year", "popularity"])
+    rows = stats.join(T.sessions(spark, d).select("session_id", (F.col("specificity") == "F").cast("int").alias("y")), "session_id")
+    return learned.two_sample(rows, ["mean_year", "std_year", "mean_popularity", "std_popularity"], "y", "session_id", folds=2, shuffles=1)
+
+
+@_query("generator_leaderboard", with_(FQ.BASE, FQ.GT, "pos AS (SELECT c.cg, g.user_id, c_nationkey AS nation, rank FROM g CROSS JOIN (SELECT DISTINCT cg FROM pool) c JOIN customer ON c_custkey = g.user_id LEFT JOIN pool p ON p.user_id = g.user_id AND p.cg = c.cg AND p.track_id = gt)",
+    "gr AS (SELECT cg, nation, avg((coalesce(rank, 99) <= 10)::INT) AS x FROM pos GROUP BY 1, 2), o AS (SELECT *, row_number() OVER (PARTITION BY cg ORDER BY x) AS r, count(*) OVER (PARTITION BY cg) AS n FROM gr)",
+    "cv AS (SELECT cg, avg(x) AS cvar FROM o WHERE r <= greatest(1, round_even(0.3::DOUBLE * n, 0)) GROUP BY 1), re AS (SELECT cg, avg((coalesce(rank, 99) <= 10)::INT) AS recall FROM pos GROUP BY 1)",
+    body="SELECT cg, round(recall, 6) AS recall, round(cvar, 6) AS cvar, row_number() OVER (ORDER BY round(cvar, 9) DESC, round(recall, 9) DESC, cg) AS place FROM cv JOIN re USING (cg)"))
+def generator_leaderboard(spark, d):
+    """Generators by the hit rates of their worst nations."""
+    from tessera.operators import metrics
+
+    pool, gt = FQ._pool(spark, d), FQ._gt(spark, d)
+    every = gt.crossJoin(F.broadcast(pool.select("cg").distinct()))  # three generators
+    hits = pool.select("user_id", "cg", F.col("track_id").alias("gt"), F.col("rank").alias("position"))
+    nation = T.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("nation"))
+    pos = every.join(hits, ["user_id", "cg", "gt"], "left").join(nation, "user_id")
+    return _six(metrics.leaderboard(pos, "cg", "nation", 10, 0.7), "recall", "cvar")
