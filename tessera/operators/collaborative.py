@@ -69,9 +69,14 @@ def blend(edge_sets: list[tuple[DataFrame, float]]) -> DataFrame:
 
 
 def profile_scores(profile: DataFrame, edges: DataFrame) -> DataFrame:
-    """row, item, score: the sum of weights from a row's items to each item not among them."""
-    scored = profile.join(edges, F.col("item") == F.col("i")).groupBy("row", F.col("j").alias("item")).agg(F.sum("w").alias("score"))
-    return scored.join(profile, ["row", "item"], "left_anti")
+    """row, item, score: the sum of weights from a row's items to each item not among them.
+
+    A row's own items stand among the contributions, marked, so leaving them out is no further join; all
+    of a row meets in one exchange, by which its best items can then be ranked in place.
+    """
+    parts = profile.join(edges, F.col("item") == F.col("i")).select("row", F.col("j").alias("item"), "w", F.lit(0).alias("own"))
+    every = parts.unionByName(profile.select("row", "item", F.lit(None).cast("double").alias("w"), F.lit(1).alias("own"))).repartition("row")
+    return every.groupBy("row", "item").agg(F.sum("w").alias("score"), F.max("own").alias("own")).where("own = 0").drop("own")
 
 
 def row_similarity(profile: DataFrame, rows: DataFrame, weights: DataFrame | None = None, k: int = 50, common: int = 1000) -> DataFrame:
