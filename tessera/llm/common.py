@@ -2,47 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir.
-
-    Where it is unset, a session on this machine alone gets a folder of its own; on a cluster that
-    would be another folder on every machine, so there it is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def session_dir(spark: SparkSession) -> str:
-    """The part of the shared folder that holds what this application stores."""
-    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path under the shared folder that no other call gets."""
-    return f"{session_dir(spark)}/{name}-{uuid.uuid4().hex}"
+from tessera.sources.stored import new_path, release, shared_dir, stored
 
-
-def release(spark: SparkSession) -> None:
-    """Delete all that this application stored.
-
-    A result is read from stored tables when it is used, so they live until this is called: after
-    the results have been written elsewhere, or at the application's end.
-    """
-    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["flat_text", "free_names", "new_path", "read_if_there", "release", "row_key", "shared_dir", "stored", "word_count"]
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -55,16 +22,6 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs the tasks it ran, not the plan before them.
-    """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def row_key(df: DataFrame, names: tuple[str, str] = ("_rk1", "_rk2")) -> DataFrame:
     """Add two 64-bit hashes of all columns; together they name a row by its content.
 
