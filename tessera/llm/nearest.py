@@ -51,15 +51,18 @@ class Tree:
     ends: np.ndarray
 
 
-def grow(vectors: np.ndarray, ids: np.ndarray, seed: int = 11) -> Tree:
-    """A tree over vectors: of a few candidates, the vantage point whose distances spread most."""
+def grow(vectors: np.ndarray, ids: np.ndarray, leaf: int = LEAF, seed: int = 11) -> Tree:
+    """A tree over vectors: of a few candidates, the vantage point whose distances spread most.
+
+    Larger leaves make fewer nodes, and so fewer and larger products where little is skipped.
+    """
     rng, order = np.random.default_rng(seed), np.arange(len(vectors))
     points, middles, kids, ends = [], [], [], []
 
     def side(rows: np.ndarray, at: int) -> int:
         """The number of what holds these rows, whose first place is `at`."""
         order[at : at + len(rows)] = rows
-        split = _split(vectors, rows, rng) if len(rows) > LEAF else None
+        split = _split(vectors, rows, rng) if len(rows) > leaf else None
         if split is None:
             ends.append(at + len(rows))
             return -len(ends)
@@ -164,14 +167,14 @@ def _matrix(column: pa.ChunkedArray, length: int) -> np.ndarray:
 TREES = "length int, shard long, ids array<long>, vectors binary, points binary, middles binary, kids binary, ends binary"
 
 
-def growing(norm: float):
+def growing(norm: float, leaf: int):
     """Arrow function of one shard (id, v1, vector, length, shard): its tree, as one row."""
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending"), ("v1", "ascending")])  # the same tree at every run
         length = table.column("length")[0].as_py()
         x = _matrix(table.column("vector"), length)
-        t = grow(np.column_stack([x, np.sqrt(np.maximum(norm**2 - (x**2).sum(axis=1), 0))]), table.column("id").to_numpy())
+        t = grow(np.column_stack([x, np.sqrt(np.maximum(norm**2 - (x**2).sum(axis=1), 0))]), table.column("id").to_numpy(), leaf)
         raw = [pa.array([m.tobytes()], pa.binary()) for m in (t.vectors, t.points, t.middles, t.kids, t.ends)]
         first = [table.column(c).slice(0, 1).combine_chunks() for c in ("length", "shard")]
         return pa.Table.from_arrays([*first, pa.array([t.ids], pa.list_(pa.int64())), *raw], names=["length", "shard", "ids", "vectors", "points", "middles", "kids", "ends"])
@@ -239,7 +242,7 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, factor: float = 1.
     part = lambda salt, m: F.pmod(F.xxhash64(F.lit(salt), "id", "v1"), F.lit(m))
     every = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
     dealt = indexed.select("id", "v1", "vector", "length", part(1, shards).alias("shard"))
-    trees = stored(dealt.groupBy("length", "shard").applyInArrow(growing(float(most) ** 0.5), TREES), "trees")
+    trees = stored(dealt.groupBy("length", "shard").applyInArrow(growing(float(most) ** 0.5, max(LEAF, shard_rows // 64)), TREES), "trees")
     asks = distinct.where("asks").select("id", "v1", "v2", "vector", "length", part(2, slabs).alias("slab"), every(shards).alias("shard"))
     blocks = ["length", "shard", "slab"]
     near = trees.withColumn("slab", every(slabs)).groupBy(*blocks).cogroup(asks.groupBy(*blocks)).applyInArrow(searching(k, factor), "query_id long, v1 long, v2 long, vec_id long, score double")
