@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import classifier, licenses, mixing, nearest, packing, quality_rules, secrets, simhash, token_counts, token_files
+from tessera.llm import classifier, conversations, licenses, mixing, nearest, ngram_join, packing, quality_rules, secrets, simhash, token_counts, token_files, whitening
 from tessera.llm.common import new_path
+from tessera.llm.conversation_sql import CONVERSATION_SQL
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +79,22 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.score(docs, classifier.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 16 leading whitened components of every vector."""
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), most=16)
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, audit and digest of every conversation, damaged first."""
+    talks = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversations.report(talks, conversations.damaged(conversations.turns_of(talks)))
+
+
+def op13_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document, linked at 85 of 100 common 4-word shingles."""
+    return ngram_join.near_duplicates(_documents(spark, sf_dir), ["doc_id"], percent=85, width=4)
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_token_files": op2_token_files,
@@ -89,6 +106,9 @@ QUERIES = {
     "op8_entropy_mix": op8_entropy_mix,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_secret_scan": op10_secret_scan,
+    "op11_whitening": op11_whitening,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_ngram_jaccard": op13_ngram_jaccard,
 }
 
 #: DuckDB SQL where SQL can express the operator on whole tables.
@@ -138,4 +158,5 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, word_chars, n_symbols, n_dup_
   fail_bits & 3 <> 0 AS base_failed, fail_bits & 127 = 0 AS kept, fail_bits, n_lines, n_upper, n_distinct_words, 'v1' AS policy_version
 FROM f
 """,
+    "op12_conversation_repair": CONVERSATION_SQL,
 }
