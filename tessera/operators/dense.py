@@ -141,6 +141,35 @@ def dense_topk_outside(queries: DataFrame, tower: DataFrame, k: int, block: int
     return topk_per_group(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
+def best_unseen_in_block(k: int):
+    """Arrow function of one block pair (id, vector, seen, asks): as best_in_block, without the rows that a query has seen."""
+
+    def run(table: pa.Table) -> pa.Table:
+        asks, ids = table.column("asks").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
+        qi, xi = ids[asks], ids[~asks]
+        if not asks.any() or asks.all():
+            return _found(qi, xi, np.zeros((len(qi), len(xi))), k)
+        scores = np.round(_matrix(table.column("vector"), asks) @ _matrix(table.column("vector"), ~asks).T, 9)
+        seen = table.column("seen").take(pa.array(np.flatnonzero(asks))).combine_chunks()
+        query, item = np.repeat(np.arange(len(qi)), np.diff(seen.offsets.to_numpy())), seen.flatten().to_numpy()
+        order = np.argsort(xi)
+        at = np.minimum(np.searchsorted(xi[order], item), len(xi) - 1)
+        here = xi[order][at] == item
+        scores[query[here], order[at[here]]] = -np.inf
+        return _found(qi, xi, scores, k)
+
+    return run
+
+
+def dense_topk_unseen(queries: DataFrame, tower: DataFrame, k: int, block: int = 2048) -> DataFrame:
+    """query_id, id, score, rank: the k rows of the tower (distinct id, vector) of largest product for every query (id, vector, seen), without those in `seen`."""
+    none = F.array().cast("array<long>")
+    pack = lambda df, seen: df.select("id", F.struct("vector", seen.alias("seen")).alias("v"))
+    rows = _in_blocks(pack(queries, F.coalesce(F.col("seen").cast("array<long>"), none)), pack(tower, none), "v", block).select("id", "v.vector", "v.seen", "asks", "qb", "xb")
+    found = rows.groupBy("qb", "xb").applyInArrow(best_unseen_in_block(k), "query_id long, id long, score double")
+    return topk_per_group(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
+
+
 def sparse_topk(sets: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """query_id, id, score, rank: the k other sets (id, features) of largest cosine above 0 for every set, at nine digits.
 

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting
+from tessera.operators import boosting, dense, factors
 from tessera.plans import catalogue_queries, learned_queries
 
 SF = "/root/testdata/sf0.001"
@@ -75,3 +75,89 @@ def test_pairwise_beats_pointwise(spark):
     truth = fusion_queries._gt(spark, SF)
     pair, point = ndcg(learned_queries.pairwise_ranker(spark, SF), truth), ndcg(catalogue_queries.pointwise_ranker(spark, SF), truth)
     assert pair > point
+
+
+def entries(spark, n_rows=80, n_items=30, seed=1):
+    """A sparse table of few directions and noise, with a repeated entry and a NULL, and its matrix."""
+    rng = np.random.default_rng(seed)
+    a = (rng.random((n_rows, 4)) @ rng.random((4, n_items)) > 1.1) & (rng.random((n_rows, n_items)) < 0.6)
+    a = a * rng.integers(1, 4, a.shape) * 1.0
+    a[0, 0], a[0, 1] = 2.0, 0.0
+    rows = [(i + 100, j + 500, float(a[i, j])) for i, j in np.argwhere(a).tolist()] + [(100, 500, 1.0), (100, 501, None)]
+    a[0, 0] += 1
+    return spark.createDataFrame(rows, "row long, item long, value double").repartition(3), a
+
+
+def as_matrix(df, n, key="item", column="vector"):
+    out = {r[key]: r[column] for r in df.collect()}
+    size = len(next(iter(out.values())))
+    return np.array([out.get(500 + j, [0.0] * size) for j in range(n)])  # items of no row don't occur
+
+
+def test_singular_vectors(spark):
+    rows, a = entries(spark)
+    vectors, values = factors.singular_vectors(rows, 3, extra=8)
+    _, s, vt = np.linalg.svd(a)
+    assert np.abs(np.array(values) - s[:3]).max() < 1e-9
+    v = as_matrix(vectors, a.shape[1])
+    assert np.abs(v @ v.T - vt[:3].T @ vt[:3]).max() < 1e-6
+    sums = {r.id: (r.vector, sorted(r.seen)) for r in factors.projected(rows.where("value > 0"), vectors, 3).collect()}
+    assert np.abs(np.array(sums[103][0]) - v[a[3] > 0].sum(0)).max() < 1e-9 and sums[103][1] == (500 + np.flatnonzero(a[3])).tolist()
+
+
+def test_sppmi_vectors(spark):
+    rng = np.random.default_rng(3)
+    w = np.maximum(rng.normal(size=(20, 20)), 0)
+    w = np.triu(w, 1) + np.triu(w, 1).T
+    pairs = spark.createDataFrame([(int(i), int(j) + 0, float(w[i, j])) for i, j in np.argwhere(w)], "i long, j long, w double")
+    vectors, values = factors.sppmi_vectors(pairs, 4)
+    u, s, _ = np.linalg.svd(w)
+    want = u[:, :4] * s[:4] * np.sqrt(s[:4])
+    out = {r.item: r.vector for r in vectors.collect()}
+    e = np.array([out[j] for j in range(20)])
+    assert np.abs(np.array(values) - s[:4]).max() < 1e-8 and np.abs(e @ e.T - want @ want.T).max() < 1e-5
+
+
+def test_half_step_folds_in_any_row(spark):
+    rows, a = entries(spark)
+    rows = rows.where("value > 0").select("row", "item").distinct()
+    rng = np.random.default_rng(5)
+    y = rng.normal(size=(a.shape[1], 5))
+    vectors = spark.createDataFrame([(500 + j, y[j].tolist()) for j in range(len(y))], "item long, vector array<double>")
+    got = {r.item: r.vector for r in factors.half_step(rows, vectors, 5, 3.0, 7.0).collect()}
+    for i, x in enumerate(a):
+        own = y[x > 0]
+        if len(own):
+            want = np.linalg.solve(y.T @ y + 3 * np.eye(5) + 7 * own.T @ own, 8 * own.sum(0))
+            assert np.abs(want - got[100 + i]).max() < 1e-10
+        else:
+            assert 100 + i not in got
+    # a row that goes on over many batches
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        again = {r.item: r.vector for r in factors.half_step(rows, vectors, 5, 3.0, 7.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert again.keys() == got.keys() and all(np.allclose(again[k], got[k], atol=1e-12) for k in got)
+
+
+def test_ridge_items(spark):
+    rows, a = entries(spark, 40, 11)
+    model = factors.ridge_items(rows, 20.0, m=4)
+    p = np.linalg.inv(a.T @ a + 20 * np.eye(a.shape[1]))
+    want = p / -np.diag(p)
+    cells = {(r.i - 500, r.j - 500): r.w for r in model.weights.collect()}
+    some = int(a.any(0).sum())  # items of no row don't occur
+    assert len(cells) == some * (some - 1) and max(abs(want[k] - w) for k, w in cells.items()) < 1e-6
+    assert model.residuals.agg(F.max("residual")).first()[0] <= 1e-10
+
+
+def test_unseen_topk(spark):
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(50, 4)), rng.normal(size=(9, 4))
+    tower = spark.createDataFrame([(int(i), v.tolist()) for i, v in enumerate(x)], "id long, vector array<double>")
+    asks = spark.createDataFrame([(int(i), v.tolist(), [int(i), 7, 999] if i else None) for i, v in enumerate(q)], "id long, vector array<double>, seen array<long>")
+    got = {(r.query_id, r["rank"]): r.id for r in dense.dense_topk_unseen(asks, tower, 5, block=8).collect()}
+    for i in range(9):
+        order = [j for j in np.argsort(-(x @ q[i])) if not i or j not in (i, 7)][:5]
+        assert [got[i, k + 1] for k in range(5)] == order
