@@ -154,11 +154,16 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def write_guarded(df: DataFrame, path: str, manifest: dict) -> bool:
-    """Write Parquet unless the path was written under an equal manifest; whether it wrote."""
+    """Write Parquet unless the path was written under an equal manifest; whether it wrote.
+
+    The manifest goes before the rows do, so a write that breaks off leaves none and is made again.
+    """
     spark = df.sparkSession
     wanted = json.dumps(manifest, sort_keys=True)
     if _exists(spark, f"{path}.manifest/_SUCCESS") and [r[0] for r in spark.read.text(f"{path}.manifest").collect()] == [wanted]:
         return False
+    manifest_path = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.manifest")
+    manifest_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(manifest_path, True)
     df.write.mode("overwrite").parquet(path)
     spark.createDataFrame([(wanted,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}.manifest")
     return True

@@ -175,6 +175,9 @@ def test_stores(spark, tmp_path):
     (tmp_path / "r.json").write_text('{"s1": "hello", "s2": "you"}')
     assert sorted(map(tuple, T.read_responses(spark, f"{tmp_path}/r.json").collect())) == [("s1", "hello"), ("s2", "you")]
     assert T.write_guarded(df, f"{tmp_path}/g", {"seed": 1}) and not T.write_guarded(df, f"{tmp_path}/g", {"seed": 1}) and T.write_guarded(df, f"{tmp_path}/g", {"seed": 2})
+    with pytest.raises(Exception, match="broken off"):
+        T.write_guarded(df.withColumn("v", F.raise_error(F.lit("broken off")).cast("string")), f"{tmp_path}/g", {"seed": 3})
+    assert T.write_guarded(df, f"{tmp_path}/g", {"seed": 2})  # what stood there is no longer vouched for
     calls = []
     compute = lambda x: calls.append(1) or x.where("k = 1")
     for rows in (df, df.orderBy(F.col("k").desc()), df.withColumn("k", F.col("k") + 1)):
