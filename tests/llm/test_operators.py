@@ -1,9 +1,11 @@
 """Each operator against a plain implementation, on rows with NULLs, empty and long texts, ties, repeats and clashing columns."""
 
+import functools
 import hashlib
 import random
 import re
 import time
+import uuid
 import zlib
 from collections import Counter
 
@@ -434,7 +436,8 @@ def plain_markov(texts, least):
     """Spans of the models by plain counting: for every text, the start and end of each secret that no pattern finds."""
     alphabet = secrets.ALPHABET.decode()
     runs = lambda t: re.finditer(r"[A-Za-z0-9+/_=-]+", t)
-    ordinary, matched, digests = Counter(), Counter(), Counter(p for s in secrets.digest_strings() for p in zip(s.decode(), s.decode()[1:]))
+    ordinary, matched = Counter(), Counter()
+    spelt = [Counter(p for s in secrets.random_strings(a, range(secrets.N_DIGESTS), 64) for p in zip(s.decode(), s.decode()[1:])) for a in secrets.ALPHABETS.values()]
     candidates = []
     for t in texts:
         found = base_secrets(t)
@@ -446,17 +449,33 @@ def plain_markov(texts, least):
         ordinary.update(p for m in runs(covered) if len(m[0]) < 20 for p in zip(m[0], m[0][1:]))
         candidates.append([m for m in runs(t) if len(m[0]) >= 20 and not inside & set(range(m.start(), m.end()))])
 
-    def log(counts, s):
-        before, after, size = Counter(), Counter(), len(alphabet)
+    @functools.cache
+    def chance(model, a, b):
+        counts, size = (ordinary, matched, *spelt)[model], len(alphabet)
+        before, after, total = sums[model]
+        return np.log((counts[a, b] + 0.5 * size * (after[b] + 0.5) / (total + 0.5 * size)) / (before[a] + 0.5 * size))
+
+    sums = []
+    for counts in (ordinary, matched, *spelt):
+        before, after = Counter(), Counter()
         for (a, b), n in counts.items():
             before[a] += n
             after[b] += n
-        each = lambda b: (after[b] + 0.5) / (sum(after.values()) + 0.5 * size)
-        return sum(np.log((counts[a, b] + 0.5 * size * each(b)) / (before[a] + 0.5 * size)) for a, b in zip(s, s[1:]))
+        sums.append((before, after, sum(after.values())))
+
+    def log(model, s):
+        return sum(chance(model, a, b) for a, b in zip(s, s[1:]))
+
+    def ratio(parts):
+        n = sum(len(p) - 1 for p in parts)
+        random = [sum(log(k, p) for p in parts) for k in range(1, 2 + len(spelt))]
+        return (np.logaddexp.reduce(random) - np.log(len(random)) - sum(log(0, p if re.search("[a-z]", p) else p.lower()) for p in parts)) / n if n else -np.inf
 
     def secret(s):
-        random = np.logaddexp(log(matched, s), log(digests, s)) - np.log(2)
-        return 2 * len(set(zip(s, s[1:]))) >= min(len(s), 64) and (random - log(ordinary, s)) / len(s) >= least
+        parts = re.findall("[A-Za-z0-9]+", s)
+        steps = [ord(b) - ord(a) == 1 for a, b in zip(s, s[1:])]
+        fine = 2 * len(set(zip(s, s[1:]))) >= min(len(s), 64) and 2 * sum(steps) < len(s)
+        return fine and max(ratio(p) for p in [parts, *([p] for p in parts if len(p) >= 20)]) >= least
 
     return [[(m.start(), m.end()) for m in c if secret(m[0])] for c in candidates]
 
@@ -496,7 +515,7 @@ def test_models_find_what_no_pattern_does(spark):
         body.append(" ".join(w))
     df = spark.createDataFrame(list(enumerate(body)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("markov")] for r in secrets.scan(df).collect()}
-    assert [got[k] for k in range(len(body))] == plain_markov(body, secrets.LEAST_RATIO)
+    assert [got[k] for k in range(len(body))] == plain_markov(body, secrets.train(df).least_ratio)
     found = [{body[k][a:z] for a, z in got[k]} for k in range(len(body))]
     assert all(found[k] == {p for p in planted if p in body[k]} for k in range(len(body)))
     renamed = secrets.redact(df.withColumnRenamed("text", "body").withColumn("text", F.lit("token=abcdefgh")), text="body")
@@ -506,9 +525,46 @@ def test_models_find_what_no_pattern_does(spark):
 def test_many_secrets_in_a_long_text():
     rng = random.Random(3)
     text = " ".join("é " + (f"token={rng.getrandbits(128):032x}" if k % 2 else "xK9vQ2mZ7pL4wR8tY3nB6cD1") for k in range(40_000))
-    models = secrets.Models(*np.log(np.full((3, secrets.N_CLASSES, secrets.N_CLASSES), 1 / secrets.N_CLASSES)))
+    even = np.log(np.full((3, secrets.N_CLASSES, secrets.N_CLASSES), 1 / secrets.N_CLASSES))
+    models = secrets.Models(even[0], even[1:], -1.0)
     begin = time.process_time()
-    names = secrets._in_points(text.encode(), secrets.all_spans(text.encode(), models, 0.0))
+    names = secrets._in_points(text.encode(), secrets.all_spans(text.encode(), models))
     assert time.process_time() - begin < 20  # the square of the spans would be minutes
     base = [f"{('assign', 'access', 'hex')[n]}:{s}:{e}" for s, n, e in base_secrets(text)]
     assert [n for n in names if "markov" not in n] == base and sum("markov" in n for n in names) == 20_000
+
+
+@pytest.fixture(scope="module")
+def trained(spark):
+    return secrets.train(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+@pytest.mark.parametrize("name", list(secrets.ALPHABETS))
+@pytest.mark.parametrize("length", [20, 32, 64])
+def test_recall_by_alphabet(trained, name, length):
+    rng = random.Random(17)
+    tokens = ["".join(rng.choice(secrets.ALPHABETS[name]) for _ in range(length)).encode() for _ in range(500)]
+    assert sum(trained.ratio(t) >= trained.least_ratio and secrets.varied(t) for t in tokens) >= 0.95 * len(tokens)
+
+
+def test_identifiers_and_paths_are_no_secrets(trained):
+    rng = random.Random(18)
+    ids = [str(uuid.UUID(int=rng.getrandbits(128))).encode() for _ in range(300)]
+    assert sum(trained.ratio(t) >= trained.least_ratio for t in ids) >= 285
+    plain = """/2024/05/12/how-to-bake-bread src/main/java/com/example/Application HTTP_RESPONSE_CODE_NOT_FOUND getElementsByClassName
+      node_modules/react-dom/cjs/react-dom x86_64-unknown-linux-gnu 2024-05-12T10-30-00-000Z 0123456789012345678901 kubernetes-dashboard-v2
+      en-US/docs/Web/API/Document/querySelector /usr/local/lib/python3/dist-packages Donaudampfschifffahrtsgesellschaft utm_source=newsletter
+      /wiki/List_of_countries_by_GDP ABCDEFGHIJKLMNOPQRSTUVWXYZ abcdefghijklmnopqrstuvwxyz0123456789 ======================""".split()
+    taken = [t for t in plain if trained.ratio(t.encode()) >= trained.least_ratio and secrets.varied(t.encode())]
+    assert taken == []
+
+
+def test_threshold_follows_its_samples(spark, trained):
+    # ordinary strings that look random raise it, and an empty table still has one
+    words = ["".join(random.Random(k).choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for k in range(400)]
+    assert secrets.learnt_threshold(trained, words) > secrets.learnt_threshold(trained, [])
+    none = secrets.train(spark.createDataFrame([], "text string"))
+    assert np.isfinite(none.least_ratio)
+    # the same sample at every partition count
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    assert secrets.train(docs.repartition(5)).least_ratio == secrets.train(docs.coalesce(1)).least_ratio
