@@ -335,3 +335,34 @@ def hard_negatives(spark, d):
 @_query("transition_rates", with_(INTER, TRACKS, "r AS (SELECT session_id, turn, t.* FROM inter JOIN tracks t USING (track_id))", body="SELECT count(*) AS n, round(avg((a.artist = b.artist)::INT), 6) AS same_artist, round(avg((a.album = b.album)::INT), 6) AS same_album, round(avg(coalesce(abs(a.year - b.year) <= 5, false)::INT), 6) AS near_year FROM r a JOIN r b ON a.session_id = b.session_id AND a.turn = b.turn + 1"))
 def transition_rates(spark, d):
     return _six(heuristic.transition_rates(T.interactions(spark, d), T.tracks(spark, d)), "same_artist", "same_album", "near_year")
+
+
+def _permutation_sql() -> str:
+    from tessera.operators.permutation import PRIME, affine
+
+    hashes = ", ".join(f"({p}, {a}, {b})" for p, (a, b) in enumerate(affine(200, "5"), 1))
+    return with_(
+        INTER, TRACKS, SESSIONS,
+        "f AS (SELECT session_id, max((specificity = 'F')::INT) AS y, count(*)::DOUBLE AS turns, round(avg(popularity), 6) AS mean_popularity, round(max(popularity) - min(popularity), 6) AS spread FROM inter JOIN tracks USING (track_id) JOIN sessions USING (session_id) GROUP BY 1)",
+        f"l AS (SELECT y, ('0x' || substr(sha256(session_id::VARCHAR), 1, 8))::BIGINT % {PRIME} AS x, unnest(['turns', 'mean_popularity', 'spread']) AS variant, unnest([turns, mean_popularity, spread]) AS s FROM f)",
+        "k AS (SELECT *, rank() OVER (PARTITION BY variant ORDER BY s) + (count(*) OVER (PARTITION BY variant, s) - 1) / 2 AS r, count(*) OVER (PARTITION BY variant) AS n, sum(y) OVER (PARTITION BY variant)::BIGINT AS n1 FROM l)",
+        f"h(p, a, b) AS (VALUES (0, 0, 0), {hashes})",
+        f"d AS (SELECT variant, p, n, r, CASE WHEN p = 0 THEN y ELSE ((a * x + b) % {PRIME} < {PRIME} * n1 // n)::INT END AS y FROM k, h)",
+        "a AS (SELECT variant, p, n, sum(y)::BIGINT AS m, (sum(r) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (n - sum(y))) AS auc FROM d GROUP BY 1, 2, 3)",
+        body="""SELECT z.variant, z.n, z.m AS positives, round(z.auc, 6) AS auc, round(avg(a.auc), 6) AS null_mean, round(stddev_samp(a.auc), 6) AS null_sd,
+  round((count(*) FILTER (round(abs(a.auc - 0.5), 9) >= round(abs(z.auc - 0.5), 9)) + 1) / (count(*) + 1), 6) AS p
+FROM a z JOIN a ON a.variant = z.variant AND a.p > 0 WHERE z.p = 0 GROUP BY z.variant, z.n, z.m, z.auc""",
+    )
+
+
+@_query("permutation_shift", _permutation_sql())
+def permutation_shift(spark, d):
+    """Whether sessions of one status differ from the others in length and popularity, beside 200 permutations of the labels."""
+    from tessera.operators import permutation
+
+    rows = T.interactions(spark, d).join(T.tracks(spark, d).select("track_id", "popularity"), "track_id")
+    p = F.col("popularity")
+    stats = rows.groupBy("session_id").agg(F.count("*").cast("double").alias("turns"), F.round(F.avg(p), 6).alias("mean_popularity"), F.round(F.max(p) - F.min(p), 6).alias("spread"))
+    labelled = stats.join(T.sessions(spark, d).select("session_id", (F.col("specificity") == "F").cast("int").alias("y")), "session_id")
+    out = permutation.permutation_tests(labelled, ["turns", "mean_popularity", "spread"], "y", "session_id")
+    return out.select("variant", "n", "positives", *[F.round(c, 6).alias(c) for c in ("auc", "null_mean", "null_sd", "p")])
