@@ -97,7 +97,7 @@ def test_stages_with_nulls_and_without_rows(spark, tmp_path):
 
 def test_sql_of_the_queries(spark):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got = queries.QUERIES[name](spark, SF)
