@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import with_id
+
 WORDS = 1 << 14
 BINS = 16
 STATISTICS = ("length", "symbols", "capitals", "digits", "marks", "bars", "distinct", "repeated_lines", "word_length", "beyond_ascii")
@@ -177,6 +179,6 @@ def scoring(machine: bytes):
 
 def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id, held_out, score and predicted (1 where score >= 0.5) of every row."""
-    rows = docs.select(F.col(id_col), F.col(text))
-    out = rows.mapInArrow(scoring(machine.to_bytes()), f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
-    return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    out = rows.mapInArrow(scoring(machine.to_bytes()), f"_id {dict(docs.dtypes)[id_col]}, score double")
+    return with_id(out.select("_id", held_out(F.col("_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")), id_col)

@@ -9,7 +9,7 @@ from pyspark.sql import types as T
 
 from tessera.sources.stored import new_path, release, shared_dir, stored
 
-__all__ = ["flat_text", "free_names", "new_path", "read_if_there", "release", "row_key", "shared_dir", "stored", "word_count"]
+__all__ = ["flat_text", "free_names", "new_path", "read_if_there", "release", "row_key", "shared_dir", "stored", "with_id", "word_count"]
 
 
 def free_names(df: DataFrame, *names: str) -> list[str]:
@@ -22,6 +22,11 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def with_id(out: DataFrame, id_col: str) -> DataFrame:
+    """The first column under the id's name; of the others, one of that name gets an underscore before it."""
+    return out.toDF(id_col, *[f"_{c}" if c.lower() == id_col.lower() else c for c in out.columns[1:]])
+
+
 def row_key(df: DataFrame, names: tuple[str, str] = ("_rk1", "_rk2")) -> DataFrame:
     """Add two 64-bit hashes of all columns; together they name a row by its content.
 

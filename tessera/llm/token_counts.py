@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import flat_text, read_if_there, stored
+from tessera.llm.common import flat_text, read_if_there, stored, with_id
 from tessera.llm.encoding import Encoder, encoder
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
@@ -52,7 +52,7 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     schema = spark.createDataFrame([], CACHE_SCHEMA).schema
     norm = normalised(F.col(text), Encoder(tokenizer).mode)
     keyed = docs.select(
-        F.col(id_col),
+        F.col(id_col).alias("_id"),
         F.octet_length(F.coalesce(F.col(text), F.lit(""))).cast("long").alias("n_bytes"),
         norm.alias("_norm"),
     ).withColumn("digest", F.unhex(F.sha2(F.col("_norm"), 256)))
@@ -67,4 +67,5 @@ def token_counts(docs: DataFrame, tokenizer: str, cache: str, id_col: str = "doc
     fresh.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
     counts = stored_counts().groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # two runs at once may add a digest twice
     counts = stored(counts, "counts")  # read anew, it is shuffled for the join, which can then split a hot digest
-    return keyed.drop("_norm").join(counts, "digest").select(id_col, "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    out = keyed.drop("_norm").join(counts, "digest").select("_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return with_id(out, id_col)
