@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import cosine, norm
 from tessera.operators.ranking import topk_per_group
+from tessera.operators.sets import shared_counts
 
 
 def normalised(df: DataFrame, vector: str) -> DataFrame:
@@ -88,11 +89,10 @@ def best_sets_in_block(k: int):
         asks, ids = table.column("asks").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
         lists = table.column("features").combine_chunks()
         size = np.diff(lists.offsets.to_numpy())
-        coded = lists.flatten().dictionary_encode()
-        held = np.zeros((len(ids), len(coded.dictionary)), np.float32)
-        held[np.repeat(np.arange(len(ids)), size), coded.indices.to_numpy()] = 1
+        row, code = np.repeat(np.arange(len(ids)), size), lists.flatten().dictionary_encode().indices.to_numpy()
         qi, xi = ids[asks], ids[~asks]
-        shared = (held[asks] @ held[~asks].T).astype(np.float64)
+        place, of_query = np.where(asks, np.cumsum(asks), np.cumsum(~asks)) - 1, asks[row]
+        shared = shared_counts(place[row[of_query]], code[of_query], len(qi), place[row[~of_query]], code[~of_query], len(xi)).astype(np.float64)
         scores = np.where(shared > 0, np.round(shared / np.sqrt(np.maximum(size[asks][:, None] * size[~asks][None, :], 1)), 9), -np.inf)
         scores[qi[:, None] == xi[None, :]] = -np.inf
         return _found(qi, xi, scores, k)

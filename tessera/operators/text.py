@@ -134,32 +134,6 @@ def overused(grams: DataFrame, key: str, at_least: int, most: int = 15) -> DataF
     return grams.select(key, "bigram", "a").distinct().join(often, "bigram").join(follow, "a").select(key, "bigram", "n", "avoid")
 
 
-def jaccard_pairs(sets: DataFrame, key: str, k: int, seed_df: int) -> DataFrame:
-    """x, y, jaccard: the k most overlapping pairs of whole sets.
-
-    Members that at most `seed_df` sets hold give a lower bound of the k-th best (0 where they join
-    fewer than k pairs); it decides the cost alone. With members ordered from the rarest, a pair that
-    reaches the bound shares one early enough in both sets, so only those are joined and counted; the
-    pairs that can still reach it with all that may follow are compared whole. The margin keeps ties
-    at nine digits. Where the bound is low, rows grow with the square of a common member's sets.
-    """
-    s = sets.select(key, "member").distinct()
-    df = s.groupBy("member").agg(F.count("*").alias("df"))
-    of_key = Window.partitionBy(key)
-    ranked = s.join(df, "member").withColumns({"size": F.count("*").over(of_key), "at": F.row_number().over(of_key.orderBy("df", "member"))}).where("df >= 2")
-    side = lambda rows, n: rows.select(F.col(key).alias(n), "member", F.col("size").alias(f"s{n}"), F.col("at").alias(f"a{n}"))
-    joined = lambda rows: side(rows, "x").join(side(rows, "y"), "member").where("x < y")
-    jaccard = lambda n: n / (F.col("sx") + F.col("sy") - n)
-    seeds = joined(ranked.where(F.col("df") <= seed_df)).groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("n")).select(jaccard(F.col("n")).alias("j"))
-    bound = seeds.orderBy(F.col("j").desc()).limit(k).agg(F.when(F.count("*") >= k, F.greatest(F.min("j") - 2e-9, F.lit(0.0))).otherwise(0.0).alias("t"))
-    early = ranked.crossJoin(F.broadcast(bound)).where(F.col("at") <= F.col("size") - F.ceil(F.col("t") * F.col("size")) + 1).drop("t")
-    rest = F.greatest(F.ceil(F.col("t") * F.greatest("sx", "sy")) - 1, F.lit(0))  # shared after the end of the shorter early part
-    pairs = joined(early).groupBy("x", "y", "sx", "sy").agg(F.count("*").alias("n")).crossJoin(F.broadcast(bound)).where(jaccard(F.col("n") + rest) >= F.col("t")).select("x", "y", "sx", "sy")
-    whole = lambda n: ranked.groupBy(F.col(key).alias(n)).agg(F.collect_list("member").alias(f"m{n}"))
-    j = pairs.join(whole("x"), "x").join(whole("y"), "y").select("x", "y", jaccard(F.size(F.array_intersect("mx", "my"))).alias("jaccard"))
-    return j.orderBy(F.round("jaccard", 9).desc(), "x", "y").limit(k)
-
-
 def overlapping_batch(grams: DataFrame, key: str, size: int, seed_df: int = 200) -> DataFrame:
     """position, key, overlap: the pair of texts of largest cosine of gram counts, then, one by one, the text of the largest sum of cosines with those chosen.
 

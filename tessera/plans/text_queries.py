@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.operators import sets as S
 from tessera.operators import text as X
 from tessera.plans.sql import with_
 from tessera.sources import tables as T
@@ -164,7 +165,7 @@ p AS (SELECT a.conv_id AS x, b.conv_id AS y, count(*) AS n FROM s a JOIN s b ON
     body="SELECT x, y, round(n / (u.z + v.z - n), 6) AS jaccard FROM p JOIN z u ON u.conv_id = x JOIN z v ON v.conv_id = y ORDER BY round(n / (u.z + v.z - n), 9) DESC, x, y LIMIT 50"))
 def bigram_jaccard_top_pairs(spark, d):
     sets = _bigrams(spark, d, ["conv_id"]).withColumnRenamed("bigram", "member")
-    return _six(X.jaccard_pairs(sets, "conv_id", 50, 200), "jaccard")
+    return _six(S.jaccard_pairs(sets, "conv_id", 50), "jaccard")
 
 
 def _rounds(n: int) -> str:

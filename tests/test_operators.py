@@ -2,12 +2,14 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import average_rank, cosine, min_max, ndcg_at, uniform01, year_proximity, z_score
 from tessera.operators import collaborative as cf
 from tessera.operators import dense, fusion, metrics, splits, text
+from tessera.operators import sets as set_blocks
 from tessera.operators.ranking import fill_short, graft_first, rank_average, topk_per_group
 from tessera.sources import tables as T
 
@@ -93,7 +95,7 @@ def test_bigrams(spark):
     t = spark.createDataFrame([(1, "a b a b"), (2, "a b c"), (3, "alone"), (4, None)], "id long, t string")
     grams = text.bigrams(t, ["id"], F.col("t"))
     assert rows(text.distinct_share(grams.withColumn("all", F.lit(1)), ["all"]), "n", "n_distinct", "distinct2") == [(5, 3, 0.6)]
-    assert rows(text.jaccard_pairs(grams.withColumnRenamed("bigram", "member"), "id", 5, 10), "x", "y", "jaccard") == [(1, 2, 0.333333)]
+    assert rows(set_blocks.jaccard_pairs(grams.withColumnRenamed("bigram", "member"), "id", 5), "x", "y", "jaccard") == [(1, 2, 0.333333)]
 
 
 def test_metrics(spark):
@@ -205,6 +207,26 @@ def test_jaccard_pairs_count_common_members(spark):
     share = lambda a, b: len(a & b) / len(a | b)
     pairs = [(x, y, share(sets[x], sets[y])) for x in sets for y in sets if x < y and sets[x] & sets[y]]
     want = sorted(pairs, key=lambda p: (-round(p[2], 9), p[0], p[1]))[:12]
-    for seed_df in (1, 3, 8):  # the cost alone
-        got = [(r.x, r.y, round(r.jaccard, 9)) for r in text.jaccard_pairs(df, "id", 12, seed_df).collect()]
+    for block in (1, 7, 100):  # the cost alone
+        got = [(r.x, r.y, round(r.jaccard, 9)) for r in set_blocks.jaccard_pairs(df, "id", 12, block).collect()]
         assert got == [(x, y, round(j, 9)) for x, y, j in want]
+
+
+def test_shared_counts_by_products_and_by_pairs(monkeypatch):
+    rng = np.random.default_rng(3)
+    share = np.concatenate([np.full(40, 0.6), np.full(300, 0.02)])  # common members and rare ones
+    x, y = (rng.random((n, 340)) < share for n in (50, 70))
+    monkeypatch.setattr(set_blocks, "MEMBERS", 16)
+    monkeypatch.setattr(set_blocks, "PAIRS", 5)
+    got = set_blocks.shared_counts(*np.nonzero(x), 50, *np.nonzero(y), 70)
+    assert (got == x.astype(int) @ y.T.astype(int)).all()
+    none = np.zeros(0, int)
+    assert (set_blocks.shared_counts(none, none, 2, *np.nonzero(y), 70) == 0).all()
+
+
+def test_jaccard_pairs_defined_cases(spark):
+    schema = "id long, member string"
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "a"), (None, "a"), (3, None), (4, "b"), (5, "a"), (5, "c")], schema)
+    got = [tuple(r) for r in set_blocks.jaccard_pairs(df, "id", 9, 2).collect()]
+    assert got == [(1, 2, 1.0), (1, 5, 0.5), (2, 5, 0.5)]
+    assert set_blocks.jaccard_pairs(spark.createDataFrame([], schema), "id", 9).count() == 0
