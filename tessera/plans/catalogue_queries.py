@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import catalogue as C
 from tessera.operators import collaborative as cf
-from tessera.operators import fusion, heuristic, learned
+from tessera.operators import fusion, learned
 from tessera.operators.ranking import topk_per_group
 from tessera.plans import fusion_queries as FQ
 from tessera.plans.collaborative_queries import PAIRS, ROWS
@@ -97,13 +97,13 @@ def co_listen_enrichment(spark, d):
     return C.enriched(T.tracks(spark, d), near, 3)
 
 
-@_query("turn_one_fallback", with_(INTER, TRACKS, "c AS (SELECT track_id, count(*) AS plays FROM inter GROUP BY 1), t AS (SELECT year // 10 * 10 AS decade, track_id, row_number() OVER (PARTITION BY year // 10 ORDER BY coalesce(plays, 0) DESC, track_id) AS rank FROM tracks LEFT JOIN c USING (track_id) WHERE year IS NOT NULL QUALIFY rank <= 3)",
-    "f AS (SELECT track_id, row_number() OVER (ORDER BY CASE decade WHEN 1990 THEN 0 WHEN 1980 THEN 1 WHEN 1970 THEN 2 ELSE 3 END, rank, track_id) AS position FROM t WHERE decade IN (1990, 1980, 1970, 1960) QUALIFY position <= 8)",
-    body="SELECT n_nationkey, track_id, position FROM nation, f"))
+@_query("turn_one_fallback", with_(INTER, TRACKS, "o AS (SELECT track_id, row_number() OVER (ORDER BY CASE year // 10 * 10 WHEN 2010 THEN 0 WHEN 2000 THEN 1 WHEN 1990 THEN 2 WHEN 2020 THEN 3 WHEN 1980 THEN 4 WHEN 1970 THEN 5 ELSE 6 END, popularity DESC NULLS LAST, track_id) AS place FROM tracks)",
+    "x AS (SELECT DISTINCT user_id, track_id FROM inter), n AS (SELECT c_custkey AS user_id, count(track_id) AS e FROM customer LEFT JOIN x ON user_id = c_custkey GROUP BY 1)",
+    body="SELECT user_id, track_id, row_number() OVER (PARTITION BY user_id ORDER BY place) AS position FROM n JOIN o ON place <= 20 + e ANTI JOIN x USING (user_id, track_id) QUALIFY position <= 20"))
 def turn_one_fallback(spark, d):
-    plays = T.interactions(spark, d).groupBy("track_id").agg(F.count("*").alias("plays"))
-    ranked = heuristic.decade_top(T.tracks(spark, d), plays, 3)
-    return C.first_available(T.table(spark, d, "nation").select("n_nationkey"), ranked, [1990, 1980, 1970, 1960], 8)
+    """A list for every customer's next first turn: six decades in order, then all tracks, without what the customer has played."""
+    users = T.table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    return C.first_available(users, "user_id", C.fallback_order(T.tracks(spark, d)), T.interactions(spark, d), 20)
 
 
 @_query("one_shot_rrf", with_(FQ.BASE, "s AS (SELECT user_id, track_id, sum((CASE cg WHEN 'price' THEN 1.0 WHEN 'quantity' THEN 0.7 ELSE 0.2 END)::DOUBLE / (82 + rank - 1)) AS score FROM pool GROUP BY 1, 2)",

@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import average_rank, cosine, min_max, ndcg_at, uniform01, year_proximity, z_score
 from tessera.operators import collaborative as cf
-from tessera.operators import dense, fusion, metrics, splits, text
+from tessera.operators import catalogue, dense, fusion, metrics, splits, text
 from tessera.operators import sets as set_blocks
-from tessera.operators.ranking import fill_short, graft_first, rank_average, topk_per_group
+from tessera.operators.ranking import fill_short, graft_first, positions, rank_average, topk_per_group
 from tessera.sources import tables as T
 
 
@@ -230,3 +230,27 @@ def test_jaccard_pairs_defined_cases(spark):
     got = [tuple(r) for r in set_blocks.jaccard_pairs(df, "id", 9, 2).collect()]
     assert got == [(1, 2, 1.0), (1, 5, 0.5), (2, 5, 0.5)]
     assert set_blocks.jaccard_pairs(spark.createDataFrame([], schema), "id", 9).count() == 0
+
+
+def test_positions_with_an_outlier_and_ties(spark):
+    df = spark.createDataFrame([(i, 1e300 if i == 7 else float(i % 3)) for i in range(200)], "id long, v double").repartition(5)
+    got = {r.id: r.place for r in positions(df, [F.col("v").asc(), F.col("id").asc()], "place").collect()}
+    want = sorted(range(200), key=lambda i: (1e300 if i == 7 else i % 3, i))
+    assert got == {i: k + 1 for k, i in enumerate(want)}
+
+
+def test_first_available_against_plain_lists(spark):
+    rng = random.Random(8)
+    years = [None, 1955, 1975, 1984, 1999, 2003, 2015, 2021]
+    data = [(i, rng.choice(years), rng.choice([None, 1.0, 2.0, 3.0])) for i in range(60)]
+    order = catalogue.fallback_order(spark.createDataFrame(data, "track_id long, year long, popularity double"))
+    turn = lambda y: catalogue.FALLBACK_DECADES.index(y // 10 * 10) if y and y // 10 * 10 in catalogue.FALLBACK_DECADES else 6
+    plain = [i for i, y, p in sorted(data, key=lambda r: (turn(r[1]), r[2] is None, -(r[2] or 0), r[0]))]
+    assert [r.track_id for r in order.orderBy("place").collect()] == plain
+    held = {0: [], 1: plain[:12], 2: plain[3:30:2], 3: rng.sample(plain, 55), 4: plain}
+    excluded = spark.createDataFrame([(u, t) for u, ts in held.items() for t in ts + ts[:2]] + [(None, 1), (1, 999)], "user_id long, track_id long")
+    got = {}
+    for r in catalogue.first_available(spark.createDataFrame([(u,) for u in [*held, None]], "user_id long"), "user_id", order, excluded, 9).collect():
+        got.setdefault(r.user_id, {})[r.position] = r.track_id
+    want = {u: dict(enumerate([t for t in plain if t not in ts][:9], 1)) for u, ts in held.items()}
+    assert got == {u: w for u, w in want.items() if w}
