@@ -97,11 +97,14 @@ def common_terms(posts: DataFrame, n: DataFrame, share: float) -> DataFrame:
 
 
 def entity_match(queries: DataFrame, query_key: str, text: Column, aliases: DataFrame, longest: int = 3) -> DataFrame:
-    """query_key, entity, score: the weights of the distinct grams of a query that are aliases (alias, entity, weight)."""
+    """query_key, entity, score: the weights of the distinct grams of a query that are aliases (alias, entity, weight).
+
+    Grams are many times their file's size, by which Spark would choose to broadcast them, so both sides are sorted and merged.
+    """
     words = queries.select(query_key, words_of(text).alias("w"))
     gram = lambda n: F.when(F.size("w") >= n, F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda i: F.concat_ws(" ", *[F.get("w", i + k - 1) for k in range(n)]))).otherwise(F.array().cast("array<string>"))
     grams = words.select(query_key, F.explode(F.array_distinct(F.concat(*[gram(n) for n in range(1, longest + 1)]))).alias("alias"))
-    return grams.join(aliases, "alias").groupBy(query_key, "entity").agg(F.sum("weight").alias("score"))
+    return grams.join(aliases.hint("merge"), "alias").groupBy(query_key, "entity").agg(F.sum("weight").alias("score"))
 
 
 def bigrams(df: DataFrame, keys: list[str], text: Column) -> DataFrame:
