@@ -52,16 +52,18 @@ def overlap(candidates: DataFrame, history: DataFrame, tracks: DataFrame) -> Dat
 
     History and candidates stand in one table, so what came before a turn is a running count over it and
     no session is joined with itself; a tag is known where the session first met it in an earlier turn.
+    Tracks are merged: with their tags they are many times their file's size, by which Spark would broadcast them.
     """
+    tags = tracks.select("track_id", F.explode("tags").alias("tag")).hint("merge")
     held, asked = history.select("session_id", "turn", "track_id", F.lit(1).alias("_h")), candidates.select("session_id", "turn", "track_id", F.lit(0).alias("_h"))
-    rows = held.unionByName(asked).join(tracks.select("track_id", "artist", "album", "popularity", "tags"), "track_id", "left")
+    rows = held.unionByName(asked).join(tracks.select("track_id", "artist", "album", "popularity", "tags").hint("merge"), "track_id", "left")
     before = lambda *keys: Window.partitionBy("session_id", *keys).orderBy("turn").rangeBetween(Window.unboundedPreceding, -1)
     count = lambda *keys: F.coalesce(F.sum("_h").over(before(*keys)), F.lit(0))
     pop = F.when(F.col("_h") == 1, F.col("popularity"))
     rows = rows.withColumns({"_n": count(), "_m": F.avg(pop).over(before()), "_s": F.stddev_samp(pop).over(before())}).withColumns({"artist_count": count("artist"), "album_count": count("album")})
     rows = rows.withColumns({c: F.when(F.col(k).isNotNull(), F.col(c)).otherwise(0) for k, c in (("artist", "artist_count"), ("album", "album_count"))})
-    first = held.join(tracks.select("track_id", F.explode("tags").alias("tag")), "track_id").groupBy("session_id", "tag").agg(F.min("turn").alias("_f"))
-    each = asked.select("session_id", "turn", "track_id").distinct().join(tracks.select("track_id", F.explode("tags").alias("tag")), "track_id").join(first, ["session_id", "tag"], "left")
+    first = held.join(tags, "track_id").groupBy("session_id", "tag").agg(F.min("turn").alias("_f"))
+    each = asked.select("session_id", "turn", "track_id").distinct().join(tags, "track_id").join(first, ["session_id", "tag"], "left")
     known = each.groupBy("session_id", "turn", "track_id").agg(F.count_if(F.col("_f") < F.col("turn")).alias("_known"))
     rows = rows.where("_h = 0").join(known, ["session_id", "turn", "track_id"], "left")
     k = F.coalesce("_known", F.lit(0))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tessera.operators import text
+from tessera.operators import features, text
 
 
 def joins(df):
@@ -17,3 +17,11 @@ def test_grams_are_never_broadcast(spark):
     got = text.entity_match(part, "k", F.col("t"), names)
     assert joins(got) == ["SortMergeJoin"]
     assert sorted(map(tuple, got.collect())) == [(1, "G", 1.0), (1, "R", 2.0), (2, "G", 1.0)]
+
+
+def test_tracks_with_tags_are_never_broadcast(spark):
+    inter = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 10)], "session_id long, turn long, track_id long")
+    tracks = spark.createDataFrame([(10, "a", "x", 1.0, ["p", "q"]), (11, "a", "y", 3.0, ["q"])], "track_id long, artist string, album string, popularity double, tags array<string>")
+    got = features.overlap(inter, inter, tracks)
+    assert "BroadcastHashJoin" not in joins(got)
+    assert sorted(map(tuple, got.select("turn", "artist_count", "album_count", "tags_known", "tags_new").collect())) == [(1, 0, 0, 0, 2), (2, 1, 0, 1, 0), (3, 2, 1, 2, 0)]
