@@ -1,8 +1,10 @@
 """What must hold for large tables: plans, and operators against plain counting."""
 
+import random
+
 from pyspark.sql import functions as F
 
-from tessera.operators import features, text
+from tessera.operators import dense, features, text
 
 
 def joins(df):
@@ -25,3 +27,20 @@ def test_tracks_with_tags_are_never_broadcast(spark):
     got = features.overlap(inter, inter, tracks)
     assert "BroadcastHashJoin" not in joins(got)
     assert sorted(map(tuple, got.select("turn", "artist_count", "album_count", "tags_known", "tags_new").collect())) == [(1, 0, 0, 0, 2), (2, 1, 0, 1, 0), (3, 2, 1, 2, 0)]
+
+
+def test_copies_of_sets_share_one_list(spark, monkeypatch):
+    rng = random.Random(6)
+    kinds = [rng.sample("abcdefgh", rng.randrange(1, 5)) for _ in range(12)]
+    sets = [(i, rng.sample(s, len(s))) for i, s in enumerate(rng.choice(kinds) for _ in range(90))] + [(90, []), (91, ["z"]), (92, ["z"]), (93, ["y"])]
+    dealt = []
+    deal = dense._in_blocks
+    monkeypatch.setattr(dense, "_in_blocks", lambda q, x, *a: dealt.append(q.count()) or deal(q, x, *a))
+    found = dense.sparse_topk(spark.createDataFrame(sets, "id long, features array<string>"), 5, block=5).collect()
+    assert dealt == [len({frozenset(s) for _, s in sets if s})]
+    got = sorted((r.query_id, r["rank"], r.id, r.score) for r in found)
+    want = []
+    for i, a in sets:
+        near = sorted((-round(len(set(a) & set(b)) / (len(a) * len(b)) ** 0.5, 9), j) for j, b in sets if j != i and set(a) & set(b))[:5]
+        want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
+    assert got == sorted(want)
