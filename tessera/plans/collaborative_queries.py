@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators import collaborative as cf
@@ -217,9 +214,8 @@ w AS (""" + " UNION ALL ".join(f"SELECT '{k}' AS days, session_date, track_id, w
     body="SELECT days, CAST(session_date AS VARCHAR) AS session_date, track_id, round(ln(1 + plays), 6) AS score, row_number() OVER (PARTITION BY days, session_date ORDER BY plays DESC, track_id) AS rank FROM w QUALIFY rank <= 3"))
 def popularity_windows(spark, d):
     """The most played tracks of the last week, month, half year, year, five years and of all time, on every date."""
-    inter = T.interactions(spark, d)
-    each = reduce(DataFrame.unionByName, [cf.popularity_window(inter, v).withColumn("days", F.lit(k)) for k, v in WINDOWS.items()])
-    top = topk_per_group(each, ["days", "session_date"], [F.col("plays").desc(), F.col("track_id")], 3)
+    top = cf.top_of_windows(T.interactions(spark, d), list(WINDOWS.values()), 3)
+    top = top.withColumn("days", F.element_at(F.array(*map(F.lit, WINDOWS)), F.col("window") + 1))
     return top.select("days", F.col("session_date").cast("string").alias("session_date"), "track_id", F.round(F.log1p("plays"), 6).alias("score"), "rank")
 
 

@@ -1,9 +1,11 @@
 """What must hold for large tables: plans, and operators against plain counting."""
 
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
 
+from tessera.operators import collaborative as cf
 from tessera.operators import dense, features, text
 
 
@@ -44,3 +46,24 @@ def test_copies_of_sets_share_one_list(spark, monkeypatch):
         near = sorted((-round(len(set(a) & set(b)) / (len(a) * len(b)) ** 0.5, 9), j) for j, b in sets if j != i and set(a) & set(b))[:5]
         want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(near)]
     assert got == sorted(want)
+
+
+def test_top_of_windows_without_meeting_every_date(spark, monkeypatch):
+    rng = random.Random(7)
+    day = dt.date(2020, 1, 1)
+    df = spark.createDataFrame([(day + dt.timedelta(days=rng.randrange(50)), rng.randrange(12)) for _ in range(400)] + [(None, 1)], "session_date date, track_id long")
+    since = spark.createDataFrame([(t, None if t % 3 else day + dt.timedelta(days=5 * t)) for t in range(11)], "track_id long, since date")
+    windows = [1, 7, 30, None]
+    want = []
+    for dates in (None, {r.track_id: r.since for r in since.collect()}):
+        for w, days in enumerate(windows):
+            lists = {}
+            for r in cf.popularity_window(df, days).collect():
+                if dates is None or (r.track_id in dates and (dates[r.track_id] is None or dates[r.track_id] <= r.session_date)):
+                    lists.setdefault(r.session_date, []).append((-r.plays, r.track_id))
+            want.append(sorted((w, d, t, -p, n + 1) for d, x in lists.items() for n, (p, t) in enumerate(sorted(x)[:4])))
+    monkeypatch.setattr(cf, "popularity_window", None)
+    for first, from_day in ((0, None), (4, since)):
+        got = [tuple(r) for r in cf.top_of_windows(df.repartition(3), windows, 4, from_day).collect()]
+        assert sorted(got) == sorted(x for part in want[first : first + 4] for x in part)
+    assert cf.top_of_windows(df.where("track_id is null"), windows, 4).collect() == []
