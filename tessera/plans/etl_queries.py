@@ -109,14 +109,14 @@ s AS (SELECT DISTINCT session_id, session_date FROM inter), seen AS (SELECT DIST
 def top_popular_released(spark, d):
     """Popularity of four weeks for every session, without seen tracks and those released over a year later.
 
-    A date's list is cut to five and the most tracks a session of that date has seen, so a list is read whole by no session.
+    A date's list is cut to five and the most tracks a session has seen. A track may be listed from 365 days before its release on.
     """
     inter = T.interactions(spark, d)
     s, seen = inter.select("session_id", "session_date").distinct(), T.context(inter).select("session_id", "track_id").distinct()
     most = s.join(seen.groupBy("session_id").agg(F.count("*").alias("n")), "session_id", "left").withColumn("need", 5 + F.coalesce("n", F.lit(0)))
-    lists = cf.popularity_window(inter, 28).join(T.releases(spark, d), "track_id").where(etl.released_by(F.col("release"), F.col("session_date"), 1.0))
-    lists = topk_per_group(lists, ["session_date"], [F.col("plays").desc(), F.col("track_id")], 1 << 30, rank="place")
-    lists = lists.join(most.groupBy("session_date").agg(F.max("need").alias("most")), "session_date").where("place <= most")
+    longest = most.agg(F.max("need")).first()[0] or 5
+    since = T.releases(spark, d).select("track_id", F.date_sub("release", 365).alias("since"))
+    lists = cf.top_of_windows(inter, [28], longest, since).withColumnRenamed("rank", "place")
     found = most.join(lists.select("session_date", "track_id", "plays", "place"), "session_date").where("place <= need").join(seen, ["session_id", "track_id"], "left_anti")
     return topk_per_group(found.select("session_id", "track_id", "plays"), ["session_id"], [F.col("plays").desc(), F.col("track_id")], 5)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import collaborative as cf
 from tessera.operators import dense, features, text
+from tessera.plans import etl_queries
 
 
 def joins(df):
@@ -67,3 +68,8 @@ def test_top_of_windows_without_meeting_every_date(spark, monkeypatch):
         got = [tuple(r) for r in cf.top_of_windows(df.repartition(3), windows, 4, from_day).collect()]
         assert sorted(got) == sorted(x for part in want[first : first + 4] for x in part)
     assert cf.top_of_windows(df.where("track_id is null"), windows, 4).collect() == []
+
+
+def test_released_lists_without_meeting_every_date(spark, monkeypatch):
+    monkeypatch.setattr(cf, "popularity_window", None)
+    assert etl_queries.top_popular_released(spark, "/root/testdata/sf0.001").count() > 0
