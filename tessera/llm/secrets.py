@@ -13,8 +13,8 @@ as its digits. Parts without lower-case letters meet the ordinary model in lower
 secret where the ratio of all its parts, or of one part of TOKEN_LENGTH, reaches `least_ratio`, and where
 its pairs of characters hardly repeat, as those of a ruler or of filler do. The threshold is learnt: it
 is the largest ratio where the share of missed random strings (of the alphabet that fares worst) and that
-of ordinary strings taken for secrets weigh least, within 0.02. The ordinary strings for it are identifiers made of words of the
-texts, of the N_WORDS words of smallest hash, so that all of the texts take part alike.
+of ordinary strings taken for secrets weigh least, within 0.02. The ordinary strings for it are identifiers made of all distinct
+words of the texts: words are dealt into groups of about N_WORDS by their hash, and each group sends how many identifiers have which ratio.
 
 Defined cases: a NULL text is an empty one and has no span. NULL ids and repeated rows get a result
 row each. Extra columns aren't read by the scan. An empty table gives no row; a sample without a
@@ -25,7 +25,7 @@ number of spans.
 from __future__ import annotations
 
 import hashlib
-import heapq
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -64,7 +64,7 @@ _TOKEN_ONLY = bytes(116 if c in ALPHABET else 32 for c in range(256))
 #: Number of digests that are spelt as random strings, of 64 bytes each, in each alphabet.
 N_DIGESTS = 2000
 
-#: Words of smallest hash that make the ordinary strings of the threshold.
+#: Words that are put together to identifiers in one group, at least where the texts have as many.
 N_WORDS = 1024
 
 #: Alphabets of random strings by name.
@@ -123,21 +123,16 @@ def _hash(word: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(word, digest_size=7).digest(), "big")
 
 
-def _least(words: dict[bytes, int], text: bytes) -> dict[bytes, int]:
-    """The N_WORDS words of smallest hash among those held and those of a text."""
-    held = words | {w: _hash(w) for w in set(WORD.findall(text)) - words.keys()}
-    return dict(heapq.nsmallest(N_WORDS, held.items(), key=lambda x: (x[1], x[0])))
-
-
 def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Arrow function: texts to pair counts of one task, (label, pair, n), label 1 for matches' values; and words, by hash."""
-    totals, words = np.zeros((2, N_CLASSES**2), np.int64), {}
+    """Arrow function: texts to pair counts of one task, (label, pair, n), label 1 for matches' values; and the words, label 2."""
+    totals, names = np.zeros((2, N_CLASSES**2), np.int64), ["label", "pair", "n", "word"]
 
     def add(held):
-        nonlocal totals, words
+        nonlocal totals
         joined = [b" ".join(h) for h in held]
         totals += [_pairs(j) for j in joined]
-        words = _least(words, joined[0])
+        words = pa.array([w.decode() for w in set(WORD.findall(joined[0]))], pa.string())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(words), 2)), pa.nulls(len(words), pa.int64()), pa.nulls(len(words), pa.int64()), words], names=names)
 
     for b in batches:
         held, size = ([], []), 0
@@ -149,13 +144,11 @@ def counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held[1].extend(text[s.value : s.end] for s in spans)
             size += len(text)
             if size >= 1 << 22:
-                add(held)
+                yield add(held)
                 held, size = ([], []), 0
-        add(held)
+        yield add(held)
     label, pair = np.nonzero(totals)
-    names = ["label", "pair", "n", "word"]
     yield pa.RecordBatch.from_arrays([pa.array(label), pa.array(pair), pa.array(totals[label, pair]), pa.nulls(len(label), pa.string())], names=names)
-    yield pa.RecordBatch.from_arrays([pa.array([2] * len(words), pa.int64()), pa.array(list(words.values()), pa.int64()), pa.array([1] * len(words), pa.int64()), pa.array([w.decode() for w in words], pa.string())], names=names)
 
 
 def random_strings(alphabet: str, numbers: range, length: int) -> Iterator[bytes]:
@@ -171,9 +164,11 @@ def random_strings(alphabet: str, numbers: range, length: int) -> Iterator[bytes
 
 
 def ordinary_strings(words: list[str]) -> list[bytes]:
-    """Identifiers of TOKEN_LENGTH and more made of words, in six spellings."""
+    """Identifiers of TOKEN_LENGTH and more made of words, in six spellings; the last one goes on with the first words."""
     out, run = [], []
-    for w in words:
+    for n, w in enumerate(itertools.cycle(words)):
+        if n >= len(words) and not run:
+            break
         run.append(w.lower())
         if len("".join(run)) >= TOKEN_LENGTH:
             camel = "".join(x.title() for x in run)
@@ -226,36 +221,59 @@ def log_chances(counts: np.ndarray, smoothing: float) -> np.ndarray:
     return np.log((counts + weight * each) / (counts.sum(axis=1, keepdims=True) + weight))
 
 
-def learnt_threshold(models: Models, words: list[str], weight: float = 20.0, slack: float = 0.02) -> float:
+def ratios_of(models: Models, words: list[str]) -> Counter:
+    """How many identifiers made of words have which ratio, in hundredths."""
+    return Counter(round(100 * models.ratio(x)) for x in ordinary_strings(words))
+
+
+def counting_ratios(models: Models):
+    """Arrow function of one group of words: (ratio, n) of its identifiers."""
+
+    def run(table: pa.Table) -> pa.Table:
+        found = ratios_of(models, sorted(table.column("word").to_pylist(), key=lambda w: (_hash(w.encode()), w)))
+        return pa.table({"ratio": pa.array(found.keys(), pa.int64()), "n": pa.array(found.values(), pa.int64())})
+
+    return run
+
+
+def least_cost(models: Models, ordinary: dict[int, int], weight: float = 20.0, slack: float = 0.02) -> float:
     """The ratio of least cost: missed random strings (the worst alphabet's share) and `weight` times the share of ordinary ones at or above it.
 
-    Random strings are of TOKEN_LENGTH, the hardest, from digests that train nothing. Of ratios within `slack` of the
-    least cost the largest is taken, as identifiers of other kinds than the texts' score above these.
+    Ordinary strings come as their number by ratio in hundredths. Random strings are of TOKEN_LENGTH, the hardest, from digests that train nothing.
+    Of ratios within `slack` of the least cost the largest is taken, as identifiers of other kinds than the texts' score above these.
     """
     random = [np.array([models.ratio(x) for x in random_strings(a, range(N_DIGESTS, N_DIGESTS + 400), TOKEN_LENGTH)]) for a in ALPHABETS.values()]
-    ordinary = np.array([models.ratio(x) for x in ordinary_strings(words)])
-    tried = np.unique(np.round(np.concatenate([*random, ordinary]), 2))
-    missed = np.max([(r[:, None] < tried).mean(axis=0) for r in random], axis=0)
-    taken = (ordinary[:, None] >= tried).mean(axis=0) if len(ordinary) else np.zeros(len(tried))
+    ratio, n = (np.array([x[k] for x in sorted(ordinary.items())], np.int64) for k in (0, 1))
+    tried = np.unique(np.concatenate([*(np.rint(100 * r).astype(np.int64) for r in random), ratio]))
+    missed = np.max([(r[:, None] < tried / 100).mean(axis=0) for r in random], axis=0)
+    above = np.concatenate([np.cumsum(n[::-1])[::-1], [0]])
+    taken = above[np.searchsorted(ratio, tried)] / max(1, n.sum())
     cost = np.round(missed + weight * taken, 6)
-    return float(tried[cost <= cost.min() + slack][-1])
+    return float(tried[cost <= cost.min() + slack][-1] / 100)
 
 
-def fitted(counts: np.ndarray, words: list[str], smoothing: float) -> Models:
-    """Models from pair counts of ordinary strings and of matches' values, and the threshold from words."""
-    spelt = [log_chances(_pairs(b" ".join(random_strings(a, range(N_DIGESTS), 64))), smoothing) for a in ALPHABETS.values()]
-    models = Models(log_chances(counts[0], smoothing), np.array([log_chances(counts[1], smoothing), *spelt]), 0.0)
-    return Models(models.ordinary, models.random, learnt_threshold(models, words))
+def learnt_threshold(models: Models, words: list[str], weight: float = 20.0, slack: float = 0.02) -> float:
+    """least_cost with the identifiers made of words."""
+    return least_cost(models, ratios_of(models, words), weight, slack)
 
 
 def train(docs: DataFrame, text: str = "text", smoothing: float = 0.5) -> Models:
-    """Models from all texts; at most 2 * 67^2 sums and N_WORDS words reach the driver, whatever the number of texts."""
-    found = stored(docs.select(F.col(text)).mapInArrow(counting, "label long, pair long, n long, word string"), "characters")
+    """Models from all texts, and the threshold from all their words.
+
+    At most 2 * 67^2 sums and the number of identifiers by ratio in hundredths reach the driver, whatever the number of texts.
+    """
+    found = docs.select(F.col(text)).mapInArrow(counting, "label long, pair long, n long, word string")
+    found = stored(found.groupBy("label", "pair", "word").agg(F.sum("n").alias("n")), "characters")
     totals = np.zeros((2, N_CLASSES**2))
-    for label, pair, n in found.where("label < 2").groupBy("label", "pair").agg(F.sum("n").alias("n")).collect():
+    for label, pair, n in found.where("label < 2").select("label", "pair", "n").collect():
         totals[label, pair] = n
-    words = found.where("label = 2").select("pair", "word").distinct().orderBy("pair", "word").limit(N_WORDS).collect()
-    return fitted(totals, [r.word for r in words], smoothing)
+    spelt = [log_chances(_pairs(b" ".join(random_strings(a, range(N_DIGESTS), 64))), smoothing) for a in ALPHABETS.values()]
+    models = Models(log_chances(totals[0], smoothing), np.array([log_chances(totals[1], smoothing), *spelt]), 0.0)
+    words = found.where("label = 2").select("word")
+    groups = max(1, words.count() // N_WORDS)
+    ratios = words.groupBy(F.pmod(F.xxhash64("word"), F.lit(groups))).applyInArrow(counting_ratios(models), "ratio long, n long")
+    ordinary = {r.ratio: r.n for r in ratios.groupBy("ratio").agg(F.sum("n").alias("n")).collect()}
+    return Models(models.ordinary, models.random, least_cost(models, ordinary))
 
 
 def all_spans(text: bytes, models: Models, least_ratio: float | None = None) -> list[Span]:

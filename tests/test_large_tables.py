@@ -3,8 +3,10 @@
 import datetime as dt
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from tessera.llm import secrets
 from tessera.operators import collaborative as cf
 from tessera.operators import dense, features, text
 from tessera.plans import etl_queries
@@ -73,3 +75,16 @@ def test_top_of_windows_without_meeting_every_date(spark, monkeypatch):
 def test_released_lists_without_meeting_every_date(spark, monkeypatch):
     monkeypatch.setattr(cf, "popularity_window", None)
     assert etl_queries.top_popular_released(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_threshold_comes_from_all_words(spark, monkeypatch):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(5 * secrets.N_WORDS)})
+    df = spark.createDataFrame([(" ".join(words[k::40]),) for k in range(40)], "text string").repartition(3)
+    held, least_cost = {}, secrets.least_cost
+    monkeypatch.setattr(secrets, "least_cost", lambda models, ordinary: held.update(ordinary) or least_cost(models, ordinary))
+    trained = secrets.train(df)
+    assert sum(held.values()) >= 6 * (len(words) // 3)  # three words make an identifier, in six spellings
+    assert np.isfinite(trained.least_ratio)
+    spelt = secrets.ordinary_strings(["abc", "defghijklmnopqrstuv", "wxyz"])
+    assert all(any(w in x.decode().lower() for x in spelt) for w in ("abc", "defghijklmnopqrstuv", "wxyz"))
