@@ -1,11 +1,14 @@
 """Dense vectors: normalisation, centroids, cosines and exact top-k by blocks.
 
 Top-k against all rows goes by blocks of queries and blocks of the tower: each task multiplies one
-block by one and keeps k rows a query; nothing is broadcast and no pair becomes a row before it is scored.
+block by one, a slice of queries at a time, and keeps k rows a query; nothing is broadcast and no pair becomes a
+row before it is scored. Blocks grow with the rows up to a bound, so up to there what is sent grows as they do.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -64,6 +67,31 @@ def best_columns(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarra
     return row[top], col[top]
 
 
+#: Queries of a block whose scores are held at once: BLOCK x SLICE numbers.
+SLICE = 256
+
+#: Rows of a block once there are enough blocks to share: what is sent grows with the square of the rows over this.
+BLOCK, AT_LEAST = 32768, 64
+
+
+def _block(rows: int, block: int) -> int:
+    """Rows a block: `block`, or more where that gives over AT_LEAST pairs of blocks, up to BLOCK."""
+    return max(block, min(BLOCK, -(-rows // int(AT_LEAST**0.5))))
+
+
+def _by_slices(qi: np.ndarray, xi: np.ndarray, q: np.ndarray, x: np.ndarray, k: int, out: Callable[[slice], np.ndarray] | None = None) -> pa.Table:
+    """The k best rows of each query by product, itself and those marked by `out` left out, a slice of queries at a time."""
+    found = [_found(qi[:0], xi, np.zeros((0, len(xi))), k)]
+    for first in range(0, len(qi) if len(xi) else 0, SLICE):
+        some = slice(first, first + SLICE)
+        scores = np.round(q[some] @ x.T, 9)
+        scores[qi[some, None] == xi[None, :]] = -np.inf
+        if out is not None:
+            scores[out(some)] = -np.inf
+        found.append(_found(qi[some], xi, scores, k))
+    return pa.concat_tables(found)
+
+
 def _found(qi: np.ndarray, xi: np.ndarray, scores: np.ndarray, k: int) -> pa.Table:
     row, col = best_columns(scores, xi, k) if scores.size else (np.zeros(0, int), np.zeros(0, int))
     columns = [pa.array(qi[row], pa.int64()), pa.array(xi[col], pa.int64()), pa.array(scores[row, col], pa.float64())]
@@ -75,10 +103,9 @@ def best_in_block(k: int):
 
     def run(table: pa.Table) -> pa.Table:
         asks, ids = table.column("asks").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
-        qi, xi = ids[asks], ids[~asks]
-        scores = np.round(_matrix(table.column("vector"), asks) @ _matrix(table.column("vector"), ~asks).T, 9) if asks.any() and not asks.all() else np.zeros((len(qi), len(xi)))
-        scores[qi[:, None] == xi[None, :]] = -np.inf
-        return _found(qi, xi, scores, k)
+        if not asks.any() or asks.all():
+            return _by_slices(ids[:0], ids[:0], ids[:0], ids[:0], k)
+        return _by_slices(ids[asks], ids[~asks], _matrix(table.column("vector"), asks), _matrix(table.column("vector"), ~asks), k)
 
     return run
 
@@ -116,7 +143,7 @@ def dense_topk(queries: DataFrame, tower: DataFrame, k: int, block: int = 2048)
 
     Scores count at nine digits, ties go to the smaller id.
     """
-    found = _in_blocks(queries, tower, "vector", block).groupBy("qb", "xb").applyInArrow(best_in_block(k), "query_id long, id long, score double")
+    found = _in_blocks(queries, tower, "vector", _block(tower.count(), block)).groupBy("qb", "xb").applyInArrow(best_in_block(k), "query_id long, id long, score double")
     return topk_per_group(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
 
@@ -126,10 +153,10 @@ def best_outside_in_block(k: int):
     def run(table: pa.Table) -> pa.Table:
         asks, ids = table.column("asks").to_numpy(zero_copy_only=False), table.column("id").to_numpy()
         label = table.column("label").to_numpy(zero_copy_only=False)
-        qi, xi = ids[asks], ids[~asks]
-        scores = np.round(_matrix(table.column("vector"), asks) @ _matrix(table.column("vector"), ~asks).T, 9) if asks.any() and not asks.all() else np.zeros((len(qi), len(xi)))
-        scores[(qi[:, None] == xi[None, :]) | (label[asks][:, None] == label[~asks][None, :])] = -np.inf
-        return _found(qi, xi, scores, k)
+        if not asks.any() or asks.all():
+            return _by_slices(ids[:0], ids[:0], ids[:0], ids[:0], k)
+        away = lambda some: label[asks][some, None] == label[~asks][None, :]
+        return _by_slices(ids[asks], ids[~asks], _matrix(table.column("vector"), asks), _matrix(table.column("vector"), ~asks), k, away)
 
     return run
 
@@ -137,7 +164,7 @@ def best_outside_in_block(k: int):
 def dense_topk_outside(queries: DataFrame, tower: DataFrame, k: int, block: int = 2048) -> DataFrame:
     """dense_topk of queries (id, vector, away) over rows (id, vector, label), without rows whose label is the query's `away`."""
     pack = lambda df, label: df.select("id", F.struct("vector", F.col(label).cast("long").alias("label")).alias("v"))
-    rows = _in_blocks(pack(queries, "away"), pack(tower, "label"), "v", block).select("id", "v.vector", "v.label", "asks", "qb", "xb")
+    rows = _in_blocks(pack(queries, "away"), pack(tower, "label"), "v", _block(tower.count(), block)).select("id", "v.vector", "v.label", "asks", "qb", "xb")
     found = rows.groupBy("qb", "xb").applyInArrow(best_outside_in_block(k), "query_id long, id long, score double")
     return topk_per_group(found, ["query_id"], [F.col("score").desc(), F.col("id")], k)
 
@@ -198,7 +225,9 @@ def largest_in_block(asks: pa.Table, stand: pa.Table) -> pa.Table:
     if not asks.num_rows or not stand.num_rows:
         return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.float64())], names=["id", "score"])
     every = lambda t: _matrix(t.column("vector"), np.ones(t.num_rows, bool))
-    return pa.Table.from_arrays([asks.column("id").combine_chunks(), pa.array((every(asks) @ every(stand).T).max(axis=1))], names=["id", "score"])
+    q, x = every(asks), every(stand)
+    best = np.concatenate([(q[first : first + SLICE] @ x.T).max(axis=1) for first in range(0, len(q), SLICE)])
+    return pa.Table.from_arrays([asks.column("id").combine_chunks(), pa.array(best)], names=["id", "score"])
 
 
 def max_similarity_to_group(asks: DataFrame, rows: DataFrame, group: str, block: int = 2048) -> DataFrame:
@@ -206,7 +235,9 @@ def max_similarity_to_group(asks: DataFrame, rows: DataFrame, group: str, block:
 
     Groups are cut into blocks by a hash, so one of any size is shared by tasks; no pair becomes a row.
     """
-    na, nx = max(1, -(-asks.count() // block)), max(1, -(-rows.count() // block))
+    n_rows = rows.count()
+    block = _block(n_rows, block)
+    na, nx = max(1, -(-asks.count() // block)), max(1, -(-n_rows // block))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
     left = asks.select("id", "vector", group, F.pmod(F.xxhash64("id"), F.lit(na)).alias("qb"), every(nx).alias("xb"))
     right = rows.select("vector", group, every(na).alias("qb"), F.pmod(F.xxhash64("vector"), F.lit(nx)).alias("xb"))

@@ -88,3 +88,17 @@ def test_threshold_comes_from_all_words(spark, monkeypatch):
     assert np.isfinite(trained.least_ratio)
     spelt = secrets.ordinary_strings(["abc", "defghijklmnopqrstuv", "wxyz"])
     assert all(any(w in x.decode().lower() for x in spelt) for w in ("abc", "defghijklmnopqrstuv", "wxyz"))
+
+
+def test_blocks_grow_with_the_rows_and_are_scored_by_slices(spark, monkeypatch):
+    # up to 64 blocks of 32,768 rows what is sent grows as the rows do
+    assert [dense._block(n, 2048) for n in (10, 16384, 120000, 10**7)] == [2048, 2048, 15000, 32768]
+    monkeypatch.setattr(dense, "SLICE", 3)
+    v = np.random.default_rng(3).normal(size=(40, 4)).round(1)
+    df = spark.createDataFrame([(i, x.tolist(), i % 3) for i, x in enumerate(v)], "id long, vector array<double>, label long")
+    scores = np.round(v @ v.T, 9)
+    for away, found in ((False, dense.dense_topk(df, df, 4, 11)), (True, dense.dense_topk_outside(df.withColumnRenamed("label", "away"), df, 4, 11))):
+        want = [(i, n + 1, j) for i in range(40) for n, (_, j) in enumerate(sorted((-scores[i, j], j) for j in range(40) if j != i and not (away and i % 3 == j % 3))[:4])]
+        assert sorted((r.query_id, r["rank"], r.id) for r in found.collect()) == want
+    best = {r.id: r.max_similarity for r in dense.max_similarity_to_group(df, df, "label", 11).collect()}
+    assert all(np.isclose(best[i], max(v[i] @ v[j] for j in range(40) if j % 3 == i % 3)) for i in range(40))
