@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import secrets
 from tessera.operators import collaborative as cf
-from tessera.operators import dense, features, text
+from tessera.operators import dense, features, heuristic, text
 from tessera.plans import etl_queries
 
 
@@ -102,3 +102,31 @@ def test_blocks_grow_with_the_rows_and_are_scored_by_slices(spark, monkeypatch):
         assert sorted((r.query_id, r["rank"], r.id) for r in found.collect()) == want
     best = {r.id: r.max_similarity for r in dense.max_similarity_to_group(df, df, "label", 11).collect()}
     assert all(np.isclose(best[i], max(v[i] @ v[j] for j in range(40) if j % 3 == i % 3)) for i in range(40))
+
+
+def test_cells_of_artists_are_looked_up_where_albums_leave_them_open(spark, monkeypatch):
+    rows = [(20 * a + n, "a", f"a{a}", float(1 + 20 * a + n), 2000 + n % 3) for a in range(4) for n in range(20)] + [(90, "b", "b0", 5.0, 2001), (91, "b", "b1", 6.0, 2001)]
+    tracks = spark.createDataFrame(rows, "track_id long, artist string, album string, popularity double, year long")
+    history = spark.createDataFrame([(1, 1, 3), (1, 2, 25), (2, 1, 90)], "session_id long, turn long, track_id long")
+    kept, store = {}, heuristic.stored
+    monkeypatch.setattr(heuristic, "stored", lambda df, name: kept.setdefault(name, store(df, name)))
+    got = heuristic.additive_topk(history, tracks, 3, decade_n=2).collect()
+    cells = sorted((r.session_id, r.cell.split('"album":')[1]) for r in kept["asked-cells"].collect())
+    # the first session's last album is enough for it, so of its artist's cells only those it has heard are asked; the second needs all
+    assert cells == [(1, '"a0"}'), (1, '"a1"}'), (2, '"b0"}'), (2, '"b1"}')]
+    assert {r.track_id // 20 for r in got if r.session_id == 1} == {1} and [r.track_id for r in got if r.session_id == 2][0] == 91
+    assert len([r for r in got if r.session_id == 2]) == 3
+
+
+def test_a_years_tracks_count_as_far_as_they_are_needed(spark):
+    rows = [(i, "c", 2000 + i % 2, i % 3, i // 7 * 0.1) for i in range(60)]
+    tracks = spark.createDataFrame(rows, "track_id long, cell string, year long, bucket int, pop_z double")
+    wanted = spark.createDataFrame([("c", 1, 4), ("c", 2, 2)], "cell string, l_bucket int, most int")
+    w = heuristic.WEIGHTS
+    got = {}
+    for r in heuristic._heads_of_years(tracks, wanted, w).collect():
+        got.setdefault((r.l_bucket, r.year), set()).add(r.track_id)
+    for b, n in ((1, 4), (2, 2)):
+        for year in (2000, 2001):
+            best = sorted((-(w["pop_match"] * (x[3] == b) + w["pop_z"] * x[4]), x[0]) for x in rows if x[2] == year)
+            assert got[b, year] == {i for _, i in best[:n]}
