@@ -130,3 +130,32 @@ def test_a_years_tracks_count_as_far_as_they_are_needed(spark):
         for year in (2000, 2001):
             best = sorted((-(w["pop_match"] * (x[3] == b) + w["pop_z"] * x[4]), x[0]) for x in rows if x[2] == year)
             assert got[b, year] == {i for _, i in best[:n]}
+
+
+def test_negatives_meet_lists_not_their_tracks(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(i, f"a{i % 2}", f"a{i % 2}-{i % 6}", float(i + 1), 2000 + i % 4) for i in range(120)]
+    tracks = spark.createDataFrame(rows, "track_id long, artist string, album string, popularity double, year long")
+    plays = spark.createDataFrame([(i, rng.randrange(5)) for i in range(120)], "track_id long, plays long")
+    heard = [(s, rng.randrange(120)) for s in range(6) for _ in range(4)]
+    history = spark.createDataFrame(heard, "session_id long, track_id long")
+    targets = spark.createDataFrame([(s, 10 * s, "c") for s in range(6)], "session_id long, track_id long, category string")
+    lift = spark.createDataFrame([("c", 100 - n, n + 1) for n in range(40)], "category string, track_id long, place long")
+    sizes, top = [], heuristic.topk_per_group
+    monkeypatch.setattr(heuristic, "topk_per_group", lambda df, *a, **k: sizes.append(df.count()) or top(df, *a, **k))
+    got = heuristic.hard_negatives(targets, history, tracks, plays, lift, total=12).collect()
+    assert max(sizes) <= 120  # only the catalogue is ranked, whatever the sessions are
+    n = {r.track_id: r.plays for r in plays.collect()}
+    best = lambda ids: sorted(set(ids), key=lambda i: (-n[i], i))
+    q = np.quantile([r[3] for r in rows], [0.33, 0.67])
+    pop = lambda i: int(np.searchsorted(q, rows[i][3], side="right"))
+    for s in range(6):
+        gt, mine = 10 * s, {t for x, t in heard if x == s}
+        like = lambda c, of: [r[0] for r in rows if r[c] in {rows[i][c] for i in of}]
+        lists = [best(mine), best(like(2, mine)), best(like(1, mine)), best(like(2, [gt])), best(like(1, [gt])), best(i for i in range(120) if pop(i) == pop(gt)), best(r[0] for r in rows if abs(r[4] - rows[gt][4]) <= 5), [100 - k for k in range(40)], best(range(120))]
+        taken, want = [gt], []
+        for (name, most), ids in zip(heuristic.BUDGET.items(), lists, strict=True):
+            new = [i for i in ids if i not in taken][: min(most, 13 - len(taken))]
+            taken += new
+            want += [(name, i) for i in new]
+        assert [(r.bucket, r.track_id) for r in sorted(got, key=lambda r: r.place) if r.session_id == s] == want
