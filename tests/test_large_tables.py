@@ -4,11 +4,12 @@ import datetime as dt
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tessera.llm import secrets
 from tessera.operators import collaborative as cf
-from tessera.operators import dense, features, heuristic, text
+from tessera.operators import dense, factors, features, heuristic, text
 from tessera.plans import etl_queries
 
 
@@ -159,3 +160,32 @@ def test_negatives_meet_lists_not_their_tracks(spark, monkeypatch):
             taken += new
             want += [(name, i) for i in new]
         assert [(r.bucket, r.track_id) for r in sorted(got, key=lambda r: r.place) if r.session_id == s] == want
+
+
+def test_short_rows_are_dealt_as_vectors_and_long_ones_as_sums(spark):
+    f, rng = 3, np.random.default_rng(4)
+    rows = np.array([1] * 9 + [2, 3, 3, 4], dtype=np.int64)
+    y = rng.normal(size=(len(rows), f))
+    batch = pa.RecordBatch.from_arrays([pa.array(rows), pa.array(y.tolist())], names=["row", "vector"])
+    lines = [(r, x) for b in factors._partial(f)([batch]) for r, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+    assert sorted((r, len(x)) for r, x in lines) == [(1, f + f * f), (2, f), (3, f), (3, f), (4, f)]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(y)], "item long, vector array<double>")
+    entries = spark.createDataFrame([(int(r), i) for i, r in enumerate(rows)], "row long, item long")
+    for r in factors.half_step(entries.coalesce(1), items.coalesce(1), f, 2.0, 5.0).collect():
+        mine = y[rows == r.item]
+        want = np.linalg.solve(y.T @ y + 2 * np.eye(f) + 5 * mine.T @ mine, 6 * mine.sum(axis=0))
+        assert np.allclose(r.vector, want)
+
+
+def test_unseen_rows_by_slices_of_blocks_that_grow(spark, monkeypatch):
+    monkeypatch.setattr(dense, "SLICE", 3)
+    dealt, deal = [], dense._in_blocks
+    monkeypatch.setattr(dense, "_in_blocks", lambda q, x, v, block: dealt.append(block) or deal(q, x, v, block))
+    v = np.random.default_rng(5).normal(size=(40, 4)).round(1)
+    seen = [[(7 * i + j) % 45 for j in range(i % 5)] for i in range(40)]
+    queries = spark.createDataFrame([(i, x.tolist(), s) for i, (x, s) in enumerate(zip(v, seen, strict=True))], "id long, vector array<double>, seen array<long>")
+    found = dense.dense_topk_unseen(queries, queries.select("id", "vector"), 4, 2).collect()
+    assert dealt == [5]  # an eighth of the rows, not the 2 asked for
+    scores = np.round(v @ v.T, 9)
+    want = [(i, n + 1, j) for i in range(40) for n, (_, j) in enumerate(sorted((-scores[i, j], j) for j in range(40) if j not in seen[i])[:4])]
+    assert sorted((r.query_id, r["rank"], r.id) for r in found) == want
