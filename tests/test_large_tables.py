@@ -189,3 +189,16 @@ def test_unseen_rows_by_slices_of_blocks_that_grow(spark, monkeypatch):
     scores = np.round(v @ v.T, 9)
     want = [(i, n + 1, j) for i in range(40) for n, (_, j) in enumerate(sorted((-scores[i, j], j) for j in range(40) if j not in seen[i])[:4])]
     assert sorted((r.query_id, r["rank"], r.id) for r in found) == want
+
+
+def test_common_terms_meet_as_vectors(spark):
+    rng = random.Random(10)
+    side = lambda n: [(i, t, rng.randrange(1, 9) / 7) for i in range(n) for t in rng.sample("abcdef", rng.randrange(1, 4))]
+    asks, docs = side(7), side(20)
+    q, x = spark.createDataFrame(asks, "q long, term string, w double"), spark.createDataFrame(docs, "d long, term string, w double")
+    terms = spark.createDataFrame([(t,) for t in "abcdef"], "term string")
+    got = text.match_dense(q, "q", x, "d", terms, 4)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()  # no pair of texts is a row
+    want = text.match(q, "q", x, "d", 4)
+    plain = lambda df: sorted((r.q, r["rank"], r.d, round(r.score, 9)) for r in df.collect())
+    assert plain(got) == plain(want)
