@@ -202,3 +202,41 @@ def test_common_terms_meet_as_vectors(spark):
     want = text.match(q, "q", x, "d", 4)
     plain = lambda df: sorted((r.q, r["rank"], r.d, round(r.score, 9)) for r in df.collect())
     assert plain(got) == plain(want)
+
+
+def test_unseen_rows_by_chunks_equal_all_products(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    monkeypatch.setattr(dense, "CHUNK", 16)
+    for scale in (1.0, 1e20):
+        q, x = np.round(rng.normal(size=(40, 5)), 1) * scale, np.round(rng.normal(size=(90, 5)), 1)
+        x[45:] = x[:45]  # ties
+        ids = rng.permutation(90) + 1000
+        out = np.unique(rng.integers(0, 40 * 90, 300))
+        scores = np.round(q @ x.T, 9)
+        scores[out // 90, out % 90] = -np.inf
+        row, found, score = dense._above(q, x, ids, 7, out // 90, out % 90)
+        near = [np.lexsort((ids, -np.round(s / scale, 7)))[:7] for s in scores]
+        if scale == 1.0:
+            assert list(zip(row, found, strict=True)) == [(i, ids[j]) for i, n in enumerate(near) for j in n]
+        assert np.allclose(score / scale, [scores[i, j] / scale for i, n in enumerate(near) for j in n])
+
+
+def test_als_lists_meet_items_by_blocks(spark, monkeypatch):
+    from pyspark.ml.recommendation import ALSModel
+
+    from tessera.operators import learned
+
+    rng = random.Random(5)
+    data = {(u, rng.randrange(40)) for u in range(50) for _ in range(8)}
+    held = []
+    deal = dense._in_blocks
+    monkeypatch.setattr(dense, "_in_blocks", lambda q, x, *a: held.append((q.collect(), x.collect())) or deal(q, x, *a))
+    monkeypatch.delattr(ALSModel, "recommendForUserSubset")
+    got = learned.als_lists(spark.createDataFrame(sorted(data), "row long, item long"), 3, rank=4).collect()
+    (queries, items), = held
+    want = []
+    for r in queries:
+        near = sorted((-round(float(np.dot(r.v.vector, i.v.vector)), 9), i.id) for i in items if (r.id, i.id) not in data)[:3]
+        want += [(r.id, n + 1, i, -s) for n, (s, i) in enumerate(near)]
+    assert sorted((r.row, r["rank"], r.item) for r in got) == sorted(w[:3] for w in want)
+    assert np.allclose([r.score for r in sorted(got, key=lambda r: (r.row, r["rank"]))], [w[3] for w in sorted(want)], atol=2e-9)
