@@ -1,9 +1,9 @@
 """A pairwise ranker: boosted trees on lambda gradients, grown from distributed feature histograms.
 
-Features are binned once by quantiles. Each round turns scores into gradients (every relevant row of a
-group against the rows of lesser label, weighted by the change of nDCG that exchanging them would make),
-and grows one tree level by level: one grouped sum over (node, feature, bin) a level, combined
-map-side, so nodes x features x bins rows leave the tasks whatever the input. Running sums over the
+Features are binned once by quantiles, and each group's rows laid in one line. Each round turns scores into gradients (every relevant row of a
+group against the rows of lesser label, weighted by the change of nDCG that exchanging them would make), without an exchange,
+and grows one tree level by level: one grouped sum over (node, feature, bin) a level, summed by
+batches first, so nodes x features x bins rows leave the tasks whatever the input. Running sums over the
 bins give each node's best split; only these reach the driver, at most 2^depth a level. Trees are small
 tables of nodes; scoring and attribution walk them in Arrow batches.
 
@@ -22,8 +22,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.products import ROWS
 from tessera.sources.stored import stored
 
+#: Pairs of rows whose gradients are formed at once.
+PAIRS = 1 << 20
+
 
 @dataclass
 class Node:
@@ -71,43 +75,110 @@ def binned(features: list[str], edges: list[list[float]]) -> Column:
     return F.array(*out)
 
 
+def packed(rows: DataFrame, keys: list[str], item: str, columns: dict[str, Column]) -> DataFrame:
+    """keys and an array for each of the columns: a group's rows (stored) in one line, by item. Groups are dealt into partitions of about ROWS rows."""
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
+    one = F.struct(F.col(item).alias("_item"), *[c.alias(name) for name, c in columns.items()])
+    lines = rows.select(*keys, one.alias("_x")).repartition(n, *keys).groupBy(*keys).agg(F.array_sort(F.collect_list("_x")).alias("_x"))
+    return lines.select(*keys, *[F.col(f"_x.{name}").alias(name) for name in columns])
+
+
+def _pairwise(size: np.ndarray, y: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and second derivatives of the rows of groups (sizes, labels, scores), rows of a group by item; about PAIRS pairs are held at once."""
+    group, start = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+    gain = 2.0**y - 1
+
+    def disc(by: np.ndarray) -> np.ndarray:
+        out = np.empty(len(y))
+        out[np.lexsort((-by, group))] = 1 / np.log2(2.0 + np.arange(len(y)) - start[group])  # groups lie one after the other
+        return out
+
+    d, heads = disc(s), np.flatnonzero(y > 0)
+    ideal = np.bincount(group, gain * disc(y), minlength=len(size))
+    g, h = np.zeros(len(y)), np.zeros(len(y))
+    upto, low = np.cumsum(size[group[heads]]), 0
+    while low < len(heads):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + PAIRS, side="right")))
+        n = size[group[heads[low:high]]]
+        p = np.repeat(heads[low:high], n)
+        q = np.arange(len(p)) - np.repeat(np.cumsum(n) - n, n) + start[group[p]]
+        less = y[q] < y[p]
+        p, q = p[less], q[less]
+        with np.errstate(over="ignore"):
+            rho = 1 / (1 + np.exp(s[p] - s[q]))
+        delta = np.abs(gain[p] - gain[q]) * np.abs(d[p] - d[q]) / ideal[group[p]]
+        g += np.bincount(q, rho * delta, minlength=len(y)) - np.bincount(p, rho * delta, minlength=len(y))
+        h += np.bincount(q, rho * (1 - rho) * delta, minlength=len(y)) + np.bincount(p, rho * (1 - rho) * delta, minlength=len(y))
+        low = high
+    return g, h
+
+
+def _of(b: pa.RecordBatch, name: str) -> np.ndarray:
+    return b.column(b.schema.names.index(name)).flatten().to_numpy(zero_copy_only=False)
+
+
+def _listed(b: pa.RecordBatch, values: np.ndarray) -> pa.Array:
+    offsets = b.column(b.schema.names.index("_y")).offsets.to_numpy()
+    return pa.ListArray.from_arrays(pa.array(offsets - offsets[0], pa.int32()), pa.array(values))
+
+
+def _sizes(b: pa.RecordBatch) -> np.ndarray:
+    return np.diff(b.column(b.schema.names.index("_y")).offsets.to_numpy())
+
+
 def lambda_gradients(rows: DataFrame, keys: list[str], item: str, label: str = "label", score: str = "score") -> DataFrame:
     """rows with `g` and `h`: first and second derivative of the pairwise loss by the score.
 
-    Pairs are those of a relevant row with rows of lesser label in its group: relevant rows x rows, in one exchange by group.
+    Pairs are those of a relevant row with rows of lesser label in its group: relevant rows x rows, in one exchange by group. A group's rows are held together.
     """
-    w = Window.partitionBy(*keys)
-    place = lambda *order: F.row_number().over(w.orderBy(*order))
-    disc = lambda rank: 1 / F.log2(1.0 + rank)
-    x = rows.withColumn("_y", F.coalesce(F.col(label).cast("double"), F.lit(0.0)))
-    x = x.withColumns({"_gain": F.pow(F.lit(2.0), "_y") - 1, "_d": disc(place(F.col(score).desc(), F.col(item))), "_i": disc(place(F.col("_y").desc(), F.col(item)))})
-    x = x.withColumns({"_ideal": F.sum(F.col("_gain") * F.col("_i")).over(w), "_heads": F.collect_list(F.when(F.col("_y") > 0, F.struct(F.col(item).alias("p"), F.col("_y").alias("y"), F.col(score).alias("s"), F.col("_d").alias("d"), F.col("_gain").alias("gain")))).over(w)})
-    pairs = x.select(*keys, item, score, "_y", "_d", "_gain", "_ideal", F.explode(F.filter("_heads", lambda p: p["y"] > F.col("_y"))).alias("p"))
-    rho = 1 / (1 + F.exp(F.col("p.s") - F.col(score)))
-    delta = F.abs(F.col("p.gain") - F.col("_gain")) * F.abs(F.col("p.d") - F.col("_d")) / F.col("_ideal")
-    pairs = pairs.select(*keys, item, F.col("p.p").alias("_p"), (rho * delta).alias("_l"), (rho * (1 - rho) * delta).alias("_h"))
-    both = pairs.select(*keys, item, F.col("_l").alias("g"), F.col("_h").alias("h")).unionByName(pairs.select(*keys, F.col("_p").alias(item), (-F.col("_l")).alias("g"), F.col("_h").alias("h")))
-    sums = both.groupBy(*keys, item).agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
-    return rows.join(sums, [*keys, item], "left").na.fill(0.0, ["g", "h"])
+    names = rows.columns
+    rows = stored(rows, "ranked")
+    lines = packed(rows, keys, item, {"_y": _label(label), "_s": F.col(score).cast("double"), "_r": F.struct(*names)}).select("_y", "_s", "_r")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            g, h = _pairwise(_sizes(b), _of(b, "_y"), _of(b, "_s"))
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("_r")), _listed(b, g), _listed(b, h)], names=["_r", "g", "h"])
+
+    made = lines.mapInArrow(run, f"_r {lines.schema['_r'].dataType.simpleString()}, g array<double>, h array<double>")
+    return made.select(F.explode(F.arrays_zip("_r", "g", "h")).alias("_x")).select("_x._r.*", "_x.g", "_x.h")
 
-def node_of(tree: list[Node], bins: str = "bins") -> Column:
-    """The number of the leaf that a row falls into, or of the lowest node known so far."""
-    inner = {x.node: x for x in tree if x.feature >= 0}
 
-    def below(node: int) -> Column:
-        if node not in inner:
-            return F.lit(node)
-        x = inner[node]
-        return F.when(F.col(bins)[x.feature] <= x.bin, below(2 * node)).otherwise(below(2 * node + 1))
+def _label(label: str) -> Column:
+    return F.coalesce(F.col(label).cast("double"), F.lit(0.0))
 
-    return below(1)
 
+def _nodes(tree: list[Node], bins: np.ndarray) -> np.ndarray:
+    """The number of the leaf that each row of bins falls into, or of the lowest node known so far."""
+    node = np.ones(len(bins), np.int64)
+    for x in sorted(tree, key=lambda x: x.node):
+        if x.feature >= 0:
+            at = np.flatnonzero(node == x.node)
+            node[at] = 2 * x.node + (bins[at, x.feature] > x.bin)
+    return node
 
-def histograms(rows: DataFrame, node: Column) -> DataFrame:
-    """node, feature, bin, n, g, h of rows (bins, g, h): one grouped sum."""
-    cells = rows.select(node.alias("node"), "g", "h", F.posexplode("bins").alias("feature", "bin"))
-    return cells.groupBy("node", "feature", "bin").agg(F.count("*").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
+
+def histograms(lines: DataFrame, tree: list[Node], n_features: int, open_nodes: list[int]) -> DataFrame:
+    """node, feature, bin, n, g, h of the rows of groups (_bins, g, h) in these nodes: sums of batches, then one grouped sum."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bins = _of(b, "_bins").reshape(-1, n_features).astype(np.int64)
+            node = _nodes(tree, bins)
+            some = np.flatnonzero(np.isin(node, open_nodes))
+            if not len(some):
+                continue
+            node, bins, width = node[some], bins[some], int(bins.max()) + 1
+            g, h = _of(b, "g")[some], _of(b, "h")[some]
+            for f in range(n_features):
+                cell = node * width + bins[:, f]
+                n = np.bincount(cell)
+                at = np.flatnonzero(n)
+                columns = [at // width, np.full(len(at), f), at % width, n[at], np.bincount(cell, g)[at], np.bincount(cell, h)[at]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["node", "feature", "bin", "n", "g", "h"])
+
+    cells = lines.mapInArrow(run, "node int, feature int, bin int, n long, g double, h double")
+    return cells.groupBy("node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
 
 
 def best_splits(cells: DataFrame, l2: float = 1.0, least_rows: int = 20, least_gain: float = 1e-9) -> DataFrame:
@@ -125,16 +196,15 @@ def best_splits(cells: DataFrame, l2: float = 1.0, least_rows: int = 20, least_g
     return top.select("node", F.when(split, F.col("feature")).otherwise(-1).alias("feature"), "bin", F.coalesce("gain", F.lit(0.0)).alias("gain"), F.col("nt").alias("n"), F.col("gt").alias("g"), F.col("ht").alias("h"), "nl", "gl", "hl")
 
 
-def grow_tree(rows: DataFrame, depth: int, l2: float = 1.0, least_rows: int = 20) -> list[Node]:
-    """One tree on rows (bins, g, h), a grouped sum a level."""
+def grow_tree(lines: DataFrame, n_features: int, depth: int, l2: float = 1.0, least_rows: int = 20) -> list[Node]:
+    """One tree on groups (_bins, g, h), a grouped sum a level."""
     tree: dict[int, Node] = {}
     value = lambda g, h: -g / (h + l2)
     open_nodes = [1]
-    for level in range(depth):
-        at = node_of(list(tree.values()))
-        some = rows if level == 0 else rows.where(at.isin(open_nodes))
+    for _ in range(depth):
+        cells = histograms(lines, list(tree.values()), n_features, open_nodes)
         open_nodes = []
-        for s in best_splits(histograms(some, at), l2, least_rows).collect():
+        for s in best_splits(cells, l2, least_rows).collect():
             tree[s.node] = Node(s.node, s.feature, s.bin if s.feature >= 0 else -1, value(s.g, s.h), s.gain, s.n)
             if s.feature >= 0:
                 tree[2 * s.node] = Node(2 * s.node, -1, -1, value(s.gl, s.hl), 0.0, s.nl)
@@ -145,28 +215,38 @@ def grow_tree(rows: DataFrame, depth: int, l2: float = 1.0, least_rows: int = 20
     return [tree[k] for k in sorted(tree)]
 
 
-def _leaf_values(tree: list[Node]) -> Column:
-    """The value of the leaf that a row of bins falls into."""
-    known = {x.node: x for x in tree}
+def _next_round(tree: list[Node], n_features: int, rate: float):
+    """Arrow function of groups (_y, _bins, _s): scores with this tree's values, and their gradients."""
+    values = np.zeros(max((x.node for x in tree), default=1) + 1)
+    for x in tree:
+        values[x.node] = x.value
 
-    def below(node: int) -> Column:
-        x = known[node]
-        return F.lit(x.value) if x.feature < 0 else F.when(F.col("bins")[x.feature] <= x.bin, below(2 * node)).otherwise(below(2 * node + 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = _of(b, "_s")
+            if tree:
+                s = s + rate * values[_nodes(tree, _of(b, "_bins").reshape(-1, n_features))]
+            g, h = _pairwise(_sizes(b), _of(b, "_y"), s)
+            yield pa.RecordBatch.from_arrays([b.column(b.schema.names.index("_y")), b.column(b.schema.names.index("_bins")), _listed(b, s), _listed(b, g), _listed(b, h)], names=["_y", "_bins", "_s", "g", "h"])
 
-    return below(1) if tree else F.lit(0.0)
+    return run
 
 
 def fit_ranker(train: DataFrame, keys: list[str], item: str, features: list[str], label: str = "label", rounds: int = 20, depth: int = 3, rate: float = 0.3, bins: int = 32, l2: float = 1.0, least_rows: int = 20, edges: list[list[float]] | None = None) -> Forest:
-    """Trees fitted to rank each group's rows by label. Every round stores its scores and gradients once."""
+    """Trees fitted to rank each group's rows by label.
+
+    Groups are laid in lines once; a round is one pass that stores scores and gradients, and a pass a level. A group's rows are held together.
+    """
+    train = stored(train.select(*keys, item, _label(label).alias("_y"), *[F.col(c).cast("double").alias(c) for c in features]), "training")
     forest = Forest(features, edges or quantile_edges(train, features, bins), rate)
-    rows = train.select(*keys, item, F.col(label).alias("label"), binned(features, forest.edges).alias("bins"), F.lit(0.0).alias("score"))
+    lines = packed(train, keys, item, {"_y": F.col("_y"), "_b": binned(features, forest.edges).cast("array<smallint>"), "_s": F.lit(0.0)})
+    lines, tree = stored(lines.select("_y", F.flatten("_b").alias("_bins"), "_s"), "groups"), []
     for _ in range(rounds):
-        rows = stored(lambda_gradients(rows, keys, item), "gradients")
-        tree = grow_tree(rows, depth, l2, least_rows)
+        lines = stored(lines.select("_y", "_bins", "_s").mapInArrow(_next_round(tree, len(features), rate), "_y array<double>, _bins array<smallint>, _s array<double>, g array<double>, h array<double>"), "gradients")
+        tree = grow_tree(lines, len(features), depth, l2, least_rows)
         if not tree or tree[0].feature < 0:
             break
         forest.trees.append(tree)
-        rows = rows.drop("g", "h").withColumn("score", F.col("score") + rate * _leaf_values(tree))
     return forest
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import features as X
 from tessera.operators import fusion, metrics
+from tessera.operators.products import spread
 from tessera.operators.ranking import as_list, fill_short, graft_first, rank_average, topk_per_group
 from tessera.plans.sql import CONTEXT, INTER, TRACKS, with_
 from tessera.sources import tables as T
@@ -38,7 +39,9 @@ norm AS (SELECT *, (score - min(score) OVER w) / nullif(max(score) OVER w - min(
 
 def _pool(spark, d):
     lines, orders = T.table(spark, d, "lineitem"), T.table(spark, d, "orders")
-    rows = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("track_id"))
+    of_user = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("track_id"), "l_extendedprice", "l_quantity", "l_shipdate")
+    # dealt by user once: sums, lists, normalisation and what is joined by user follow in place, a bounded number of lines a task
+    rows = spread(of_user, "user_id", lines.count()).groupBy("user_id", "track_id")
     rows = rows.agg(F.round(F.sum("l_extendedprice"), 2).alias("price"), F.sum("l_quantity").alias("quantity"), F.max(F.unix_timestamp("l_shipdate") / 86400).alias("recent"))
     long = rows.select("user_id", "track_id", F.inline(F.array(*[F.struct(F.lit(c).alias("cg"), F.col(c).alias("score")) for c in CGS])))
     return topk_per_group(long, ["user_id", "cg"], [F.col("score").desc(), F.col("track_id")], 10)

@@ -240,3 +240,23 @@ def test_als_lists_meet_items_by_blocks(spark, monkeypatch):
         want += [(r.id, n + 1, i, -s) for n, (s, i) in enumerate(near)]
     assert sorted((r.row, r["rank"], r.item) for r in got) == sorted(w[:3] for w in want)
     assert np.allclose([r.score for r in sorted(got, key=lambda r: (r.row, r["rank"]))], [w[3] for w in sorted(want)], atol=2e-9)
+
+
+def test_groups_of_rows_are_dealt_once_by_their_number(spark, monkeypatch):
+    from tessera.operators import boosting, products
+    from tessera.plans import fusion_queries
+
+    monkeypatch.setattr(boosting, "ROWS", 50)
+    rows = [(q, i, float(i == q % 7), float(i % 3)) for q in range(57) for i in range(7)]
+    df = spark.createDataFrame(rows, "q long, item long, label double, score double")
+    lines = boosting.packed(df, ["q"], "item", {"_y": F.col("label")})
+    assert lines.rdd.getNumPartitions() == 8 and lines.count() == 57
+    forest = boosting.fit_ranker(df, ["q"], "item", ["score"], rounds=1, depth=1, least_rows=5)
+    assert {x.n for x in forest.trees[0]} <= {399, 114, 171, 228, 285}
+    g = np.array([r.g for r in boosting.lambda_gradients(df, ["q"], "item").collect()])
+    monkeypatch.setattr(boosting, "PAIRS", 10)
+    size, y, s = np.full(57, 7), np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
+    assert np.allclose(sorted(boosting._pairwise(size, y, s)[0]), sorted(g), atol=1e-12)
+    monkeypatch.setattr(products, "ROWS", 600)
+    plan = fusion_queries._norm(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(user_id") == 1 and "hashpartitioning(user_id#" in plan and ", 10)" in plan
