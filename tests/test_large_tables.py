@@ -260,3 +260,21 @@ def test_groups_of_rows_are_dealt_once_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(products, "ROWS", 600)
     plan = fusion_queries._norm(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(user_id") == 1 and "hashpartitioning(user_id#" in plan and ", 10)" in plan
+
+
+def test_texts_meet_terms_by_blocks_of_texts(spark, monkeypatch):
+    rng = random.Random(11)
+    monkeypatch.setattr(text, "LINES", 15)
+    docs = spark.createDataFrame([(i % 27, " ".join(rng.choices("abcdefgh", k=rng.randrange(0, 9)))) for i in range(30)], "d int, t string")  # three ids twice
+    asks = spark.createDataFrame([(i, " ".join(rng.sample("abcxyz", 3))) for i in range(6)], "q long, t string")
+    posts, asked = text.postings(docs, "d", F.col("t")), text.postings(asks, "q", F.col("t")).withColumn("w", F.lit(1.0))
+    n = docs.agg(F.count("*").alias("n"))
+    some = text.postings(docs, "d", F.col("t"), terms=asked)
+    weights = text.bm25_weights(some, "d", n, length=text.lengths(docs, "d", F.col("t")))
+    got = text.match(asked, "q", weights, "d", 4)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString() and dict(got.dtypes)["d"] == "int"
+    score = {}
+    for r in asked.join(text.bm25_weights(posts, "d", n), "term").collect():
+        score[r.q, r.d] = score.get((r.q, r.d), 0.0) + r[-1]
+    near = {q: sorted((-round(s, 9), d) for (a, d), s in score.items() if a == q)[:4] for q in range(6)}
+    assert sorted((r.q, r["rank"], r.d) for r in got.collect()) == [(q, i + 1, d) for q in range(6) for i, (_, d) in enumerate(near[q])]
