@@ -158,8 +158,20 @@ def _nodes(tree: list[Node], bins: np.ndarray) -> np.ndarray:
     return node
 
 
+#: A derivative as two whole numbers, so that sums don't depend on their order: millionths, and what is left in 10^-15.
+COARSE, FINE = 1e6, 1e9
+
+
+def _whole(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    coarse = np.floor(x * COARSE)
+    return coarse, np.round((x * COARSE - coarse) * FINE)
+
+
 def histograms(lines: DataFrame, tree: list[Node], n_features: int, open_nodes: list[int]) -> DataFrame:
-    """node, feature, bin, n, g, h of the rows of groups (_bins, g, h) in these nodes: sums of batches, then one grouped sum."""
+    """node, feature, bin, n, g, h of the rows of groups (_bins, g, h) in these nodes: sums of batches, then one grouped sum.
+
+    Sums are exact decimals of 15 places: the same rows give the same sum whatever bins and batches they stand in, so equal splits have equal gains.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -169,25 +181,28 @@ def histograms(lines: DataFrame, tree: list[Node], n_features: int, open_nodes:
             if not len(some):
                 continue
             node, bins, width = node[some], bins[some], int(bins.max()) + 1
-            g, h = _of(b, "g")[some], _of(b, "h")[some]
+            parts = [*_whole(_of(b, "g")[some]), *_whole(_of(b, "h")[some])]
             for f in range(n_features):
                 cell = node * width + bins[:, f]
                 n = np.bincount(cell)
                 at = np.flatnonzero(n)
-                columns = [at // width, np.full(len(at), f), at % width, n[at], np.bincount(cell, g)[at], np.bincount(cell, h)[at]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=["node", "feature", "bin", "n", "g", "h"])
+                columns = [at // width, np.full(len(at), f), at % width, n[at], *[np.bincount(cell, x)[at].astype(np.int64) for x in parts]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int32()] * 3 + [pa.int64()] * 5, strict=True)], names=["node", "feature", "bin", "n", "g1", "g0", "h1", "h0"])
 
-    cells = lines.mapInArrow(run, "node int, feature int, bin int, n long, g double, h double")
-    return cells.groupBy("node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("g").alias("g"), F.sum("h").alias("h"))
+    cells = lines.mapInArrow(run, "node int, feature int, bin int, n long, g1 long, g0 long, h1 long, h0 long")
+    whole = lambda c: F.expr(f"cast(sum({c}1) as decimal(20, 0)) * 0.000001BD + cast(sum({c}0) as decimal(20, 0)) * 0.000000000000001BD").alias(c)
+    return cells.groupBy("node", "feature", "bin").agg(F.sum("n").alias("n"), whole("g"), whole("h"))
 
 
 def best_splits(cells: DataFrame, l2: float = 1.0, least_rows: int = 20, least_gain: float = 1e-9) -> DataFrame:
-    """node, feature, bin, gain and the sums n, g, h of the node and nl, gl, hl of its lower side; feature -1 where no split gains."""
+    """node, feature, bin, gain and the sums n, g, h of the node and nl, gl, hl of its lower side; feature -1 where no split gains. Sums become doubles once they are whole."""
     side = Window.partitionBy("node", "feature")
     upto = side.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = cells.withColumns({f"{c}l": F.sum(c).over(upto) for c in ("n", "g", "h")} | {f"{c}t": F.sum(c).over(side) for c in ("n", "g", "h")})
-    part = lambda g, h: F.pow(g, F.lit(2.0)) / (h + l2)
-    gain = part(F.col("gl"), F.col("hl")) + part(F.col("gt") - F.col("gl"), F.col("ht") - F.col("hl")) - part(F.col("gt"), F.col("ht"))
+    x = x.withColumns({f"{c}r": F.col(f"{c}t") - F.col(f"{c}l") for c in "gh"})
+    x = x.withColumns({f"{c}{k}": F.col(f"{c}{k}").cast("double") for c in "gh" for k in "ltr"})
+    part = lambda k: F.pow(F.col(f"g{k}"), F.lit(2.0)) / (F.col(f"h{k}") + l2)
+    gain = part("l") + part("r") - part("t")
     able = (F.col("nl") >= least_rows) & (F.col("nt") - F.col("nl") >= least_rows) & (gain > least_gain)
     x = x.withColumn("gain", F.when(able, F.round(gain, 9)))
     first = Window.partitionBy("node").orderBy(F.col("gain").desc_nulls_last(), "feature", "bin")

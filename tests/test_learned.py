@@ -161,3 +161,16 @@ def test_unseen_topk(spark):
     for i in range(9):
         order = [j for j in np.argsort(-(x @ q[i])) if not i or j not in (i, 7)][:5]
         assert [got[i, k + 1] for k in range(5)] == order
+
+
+def test_equal_splits_go_to_the_first_feature(spark):
+    """Two features that part the rows alike, one in many bins and one in two: their gains are equal however the sums are put together."""
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        fine = np.concatenate([rng.integers(0, 15, 400), rng.integers(15, 30, 400)])
+        g, h = rng.normal(np.where(fine < 15, 900.0, -900.0), 50.0), rng.random(800) + 0.1
+        bins = np.stack([fine, np.where(fine < 15, 1, 2)], 1)
+        lines = spark.createDataFrame([(bins[k::20].ravel().tolist(), g[k::20].tolist(), h[k::20].tolist()) for k in range(20)], "_bins array<smallint>, g array<double>, h array<double>")
+        (best,) = boosting.best_splits(boosting.histograms(lines, [], 2, [1])).collect()
+        assert (best.feature, best.bin, best.nl, best.n) == (0, 14, 400, 800)
+        assert abs(best.g - g.sum()) < 1e-6 and abs(best.hl - h[:400].sum()) < 1e-6
