@@ -1,6 +1,7 @@
 """What must hold for large tables: plans, and operators against plain counting."""
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm import secrets
 from tessera.operators import collaborative as cf
-from tessera.operators import dense, factors, features, heuristic, text
+from tessera.operators import dense, factors, features, heuristic, products, text
 from tessera.plans import etl_queries
+from tessera.sources import stored
 
 
 def joins(df):
@@ -278,3 +280,36 @@ def test_texts_meet_terms_by_blocks_of_texts(spark, monkeypatch):
         score[r.q, r.d] = score.get((r.q, r.d), 0.0) + r[-1]
     near = {q: sorted((-round(s, 9), d) for (a, d), s in score.items() if a == q)[:4] for q in range(6)}
     assert sorted((r.q, r["rank"], r.d) for r in got.collect()) == [(q, i + 1, d) for q in range(6) for i, (_, d) in enumerate(near[q])]
+
+
+def test_singular_vectors_keep_no_step(spark, monkeypatch):
+    """A step sends each vector once a block, and is deleted once the next one stands; only the result stays."""
+    monkeypatch.setattr(products, "LINES", 60)
+    monkeypatch.setattr(factors, "PLACES", 3)
+    rng = np.random.default_rng(8)
+    a = rng.integers(0, 3, (50, 12)) * (rng.random((50, 12)) < 0.4) * 1.0
+    rows = spark.createDataFrame([(int(i), f"i{j:02}", float(a[i, j])) for i, j in np.argwhere(a)], "row long, item string, value double")
+    blocks = factors.row_blocks(rows)
+    held = blocks.collect()
+    assert len(held) > 2 and all(len(set(b["items"])) == len(b["items"]) for b in held) and sum(len(b["at"]) for b in held) == int((a > 0).sum())
+    x, y = rng.random((12, 4)), rng.random((12, 4))
+    start = spark.createDataFrame([(f"i{j:02}", x[j].tolist(), y[j].tolist()) for j in range(12)], "item string, a array<double>, b array<double>")
+    got = factors.step(blocks, factors._turned(start, np.eye(4)), 4, 2.0, -0.5, 3.0).orderBy("item").collect()
+    assert np.allclose([np.frombuffer(r.a) for r in got], y) and np.allclose([np.frombuffer(r.b) for r in got], 2 * a.T @ (a @ y) - 0.5 * y + 3 * x)
+    before = set(os.listdir(stored.session_dir(spark).removeprefix("file://")))
+    vectors, values = factors.singular_vectors(rows, 2, extra=2)
+    left = [n.split("-")[0] for n in set(os.listdir(stored.session_dir(spark).removeprefix("file://"))) - before]
+    assert np.allclose(values, np.linalg.svd(a)[1][:2]) and vectors.count() == 12
+    assert left.count("block") <= 1 and left.count("blocks") == 0
+
+
+def test_shuffles_go_once_a_table_is_stored(spark):
+    assert spark.conf.get(stored.CLEANUP, None) != "true"
+    with stored.shuffles_dropped(spark):
+        assert spark.conf.get(stored.CLEANUP) == "true"
+    assert spark.conf.get(stored.CLEANUP, None) != "true"
+    df = stored.stored(spark.range(100).repartition(3), "some")
+    path = df._stored_at.removeprefix("file://")
+    assert df.count() == 100 and os.path.isdir(path)
+    stored.dropped(df, None, df.where("id > 3"))
+    assert not os.path.exists(path)
