@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import secrets
 from tessera.operators import collaborative as cf
-from tessera.operators import dense, factors, features, heuristic, products, text
+from tessera.operators import calibration, dense, factors, features, heuristic, products, text
 from tessera.plans import etl_queries
 from tessera.sources import stored
 
@@ -313,3 +313,14 @@ def test_shuffles_go_once_a_table_is_stored(spark):
     assert df.count() == 100 and os.path.isdir(path)
     stored.dropped(df, None, df.where("id > 3"))
     assert not os.path.exists(path)
+
+
+def test_launcher_terms_meet_in_one_exchange(spark):
+    pool = spark.createDataFrame([(1, 10, 2.0), (1, 11, 1.0), (1, 12, 4.0), (2, 10, 1.0)], "s long, track_id long, base double")
+    signal = spark.createDataFrame([(1, 10, 3.0), (1, 12, 1.0), (1, 99, 50.0), (2, 10, 7.0)], "s long, track_id long, value double")
+    flag = spark.createDataFrame([(1, 11), (1, 11), (3, 10)], "s long, track_id long")
+    got = calibration.launcher_scores(pool, {"a": (signal, 0.5)}, {"b": (flag, 0.25, True), "c": (flag, -0.5, False)}, ["s"], 2)
+    assert sorted(map(tuple, got.select("s", "track_id", "base", "a", "b", "c", "score", "rank").collect())) == [
+        (1, 10, 2.0, 0.5, 0.0, 0.0, 2.5, 2), (1, 12, 4.0, 0.5 / 3, 0.0, 0.0, 4 + 0.5 / 3, 1), (2, 10, 1.0, 0.0, 0.0, 0.0, 1.0, 1),
+    ]
+    assert joins(got) == [] and got._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
